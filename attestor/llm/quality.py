@@ -36,7 +36,7 @@ RULES = (
     Rule("symbols", "symbols_per_word", high=0.10),
     Rule("marks", "marks_per_word", high=0.30),
     Rule("stop_words", "stop_word_ratio", low=0.04),
-    Rule("repeated_lines", "dup_line_ratio", high=0.30),
+    Rule("repeated_lines", "dup_line_ratio", high=0.50),
 )
 
 

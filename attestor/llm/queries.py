@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import mixing, quality, sharding
+from attestor.llm import mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +47,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 100000000
   AND word_chars::DOUBLE / greatest(n_words, 1) BETWEEN 2.0 AND 15.0 AND n_symbols::DOUBLE / greatest(n_words, 1) <= 0.10
   AND n_marks::DOUBLE / greatest(n_words, 1) <= 0.30 AND n_stop::DOUBLE / greatest(n_words, 1) >= 0.04
-  AND n_dup_lines::DOUBLE / greatest(n_lines, 1) <= 0.30 AS kept FROM c
+  AND n_dup_lines::DOUBLE / greatest(n_lines, 1) <= 0.50 AS kept FROM c
 """
 
 
@@ -89,3 +89,9 @@ SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN budget > 0
 @query("op7_weighted_mix", MIXING_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_components")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
