@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import mixing, quality, sharding, simhash, warc
+from attestor.llm import mixing, pii, quality, sharding, simhash, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path, with_html=False).drop("url", "html")
+
+
+@query("op10_pii_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_values", "kinds", "text")
