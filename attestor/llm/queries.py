@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import mixing, pii, quality, sharding, simhash, warc
+from attestor.llm import html_text, mixing, pii, quality, sharding, simhash, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_values", "kinds", "text")
+
+
+@query("op5_html_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
