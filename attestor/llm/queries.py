@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import html_text, mixing, pii, quality, sharding, simhash, warc
+from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_main_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+_SEED = ["w[x + {}]".format, [[k + 1 for k in m] for m in decontam.MASKS]]
+
+
+def _seed_sql(rows: str, key: str) -> str:
+    parts = [f"SELECT {key}, x, {i} AS m, concat_ws(' ', {', '.join(_SEED[0](k) for k in mask)}) AS seed FROM {rows}" for i, mask in enumerate(_SEED[1])]
+    return " UNION ALL ".join(parts)
+
+
+DECONTAM_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
+b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 9 GROUP BY w),
+dx AS (SELECT doc_id, w, unnest(range(0, len(w) - 8)) AS x FROM d WHERE len(w) >= 9),
+bx AS (SELECT item_id, w, unnest(range(0, len(w) - 8)) AS x FROM b),
+ds AS ({_seed_sql('dx', 'doc_id')}), bs AS ({_seed_sql('bx', 'item_id')}),
+hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.x - bs.x AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
+f AS (SELECT h.doc_id, h.item_id, h.shift, least(20, len(b.w)) AS win,
+  list_transform(range(0, len(b.w)), lambda j: CASE WHEN h.shift + j >= 0 AND d.w[h.shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS m
+  FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
+s AS (SELECT doc_id, item_id, shift, win, list_max(list_transform(range(0, len(m) - win + 1), lambda k: list_sum(m[k + 1:k + win])))::BIGINT AS matched FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS rn FROM s WHERE matched >= win * 0.8)
+SELECT doc_id, item_id, matched, win::BIGINT AS "window", shift::BIGINT AS shift FROM o WHERE rn = 1
+"""
+
+
+@query("op6_spaced_seed_decontamination", DECONTAM_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
