@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, warc
+from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, substring, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ SELECT doc_id, item_id, matched, win::BIGINT AS "window", shift::BIGINT AS shift
 @query("op6_spaced_seed_decontamination", DECONTAM_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_paragraph_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_paragraphs(_table(spark, sf_dir, "documents"))
