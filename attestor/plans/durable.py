@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends at files in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast hint where the counted table has at most ``most`` (short) rows; else the join is left to shuffle."""
+    return broadcast(table) if table.limit(most + 1).count() <= most else table
