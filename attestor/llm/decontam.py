@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.plans.durable import durable
+from attestor.plans.durable import durable, small
 
 #: Token positions that a seed reads; the others may differ (fixed values).
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8))
 SPAN = 9
 #: Overlaps are judged in windows of so many words, of which so large a share must agree.
 WINDOW, AGREE = 20, 0.8
-#: Tables of at most so many short rows are broadcast; larger ones are shuffled.
-MOST_BROADCAST = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -21,11 +19,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A broadcast hint where a counted table is small; else the join is left to shuffle."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def seeds(rows: DataFrame, key: str, words: str) -> DataFrame:
     """``(key, at, seed)``: two masked hashes for every window of SPAN tokens.
 

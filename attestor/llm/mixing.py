@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.llm.quality import WORD
-from attestor.plans.durable import durable
+from attestor.plans.durable import durable, small
 
 BINS = 4096
 
@@ -45,7 +45,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", text: str = "text") -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for every document.
+    """``(doc_id, size, source_size, target, taken, copies, source)`` for every document.
 
     ``taken`` counts complete epochs of the source and, for what is left of the
     target, documents in the ascending order of exponential keys -ln(u) / quality
@@ -90,7 +90,17 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[f
     at_edge = F.col("__bin") == F.col("__edge_bin")
     run = W.partitionBy("source", "__bin").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     inside = placed.where(at_edge).withColumn("__run", F.col("__edge_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-    inside = inside.withColumn("__extra", F.when(F.col("__run") + F.col("size") / 2 <= F.col("__budget"), F.col("size")).otherwise(F.lit(0))).drop("__run")
-    others = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("__extra", F.when((F.col("__edge_bin").isNull()) | (F.col("__bin") < F.col("__edge_bin")), F.col("size")).otherwise(F.lit(0)))
+    inside = inside.withColumn("__extra", F.col("__run") + F.col("size") / 2 <= F.col("__budget")).drop("__run")
+    others = placed.where(~F.coalesce(at_edge, F.lit(False))).withColumn("__extra", F.col("__edge_bin").isNull() | (F.col("__bin") < F.col("__edge_bin")))
     both = inside.unionByName(others)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("__epochs") * F.col("size") + F.when(F.col("__budget") > 0, F.col("__extra")).otherwise(F.lit(0))).cast("long").alias("taken"))
+    extra = F.when(F.col("__budget") > 0, F.col("__extra")).otherwise(F.lit(False))
+    copies = (F.col("__epochs") + extra.cast("long")).alias("copies")
+    return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, "source")
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The documents as often as the mix takes them (0, 1 or 2 times); rows alike in doc_id and source share the larger count."""
+    counts = durable(mix_sources(docs, **settings).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s")).agg(F.max("copies").alias("__copies")).where("__copies > 0"), "copies")
+    joined = docs.join(small(counts), docs["doc_id"].eqNullSafe(F.col("__d")) & docs["source"].eqNullSafe(F.col("__s")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)

@@ -44,7 +44,7 @@ def _same(a: Column, b: Column) -> Column:
     return (a["h"] == b["h"]) & (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
 
 
-def quality_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def quality_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pinned: bool = False) -> DataFrame:
     """Adds the counts that the rules read; ``keep`` names the columns carried along (default: all).
 
     Three-word windows are compared inside each text: the windows' hashes are
@@ -70,7 +70,7 @@ def quality_features(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.get(words, i + 2).alias("c"),
         i.alias("i"),
     )
-    names = [c for c in parts.columns if not c.startswith("__")]
+    names = [c for c in parts.columns if c not in ("__words", "__lines", "__symbols", "__marks")]
     carried = [F.col(f"`{c}`") for c in names]
     sorted_windows = parts.select(
         *carried,
@@ -95,6 +95,7 @@ def quality_features(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.size("__lines").cast("long").alias("n_lines"),
         F.col("__marks").cast("long").alias("n_marks"),
         "n_stop_words",
+        *([F.spark_partition_id().alias("__pin")] if pinned else []),
     )
 
 
@@ -132,3 +133,16 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     judged = quality_features(docs, text, keep)
     judged = judged.drop(*[c for c in ("base_failed", "kept") if c in judged.columns])
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with the columns of ``docs`` alone.
+
+    A filter on a computed column is pushed below the projections that compute it, with the
+    column's expression written out at every mention; here that would evaluate the
+    sorted windows again for each of their elements.  The partition number beside the features, which the
+    optimizer may not evaluate elsewhere, keeps the filter above them.
+    """
+    judged = quality_features(docs.withColumnsRenamed({c: f"__doc_{c}" for c in docs.columns}), f"__doc_{text}", pinned=True)
+    passed = judged.withColumn("__kept", ~base_failed() & verdict(rules)).where(F.col("__kept") & (F.col("__pin") >= 0))
+    return passed.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, substring, warc
+from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, substring, token_output, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +90,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN budget > 0
 
 @query("op7_weighted_mix", MIXING_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
 @query("op2_simhash_components")
@@ -146,3 +147,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_paragraph_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_blocks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, _table(spark, sf_dir, "documents"))
+
+
+def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """Writes the documents' ids, reads the files and tells what they hold."""
+    path = fresh_path(spark, "ids")
+    token_output.write_tokens(docs, path, public_tokenizers.path(tokenizer))
+    return token_output.read_tokens(spark, path)

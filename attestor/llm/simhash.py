@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.buckets import deal_blocks, spanning_links
 from attestor.operators.graph import connected_components
-from attestor.plans.durable import durable
+from attestor.plans.durable import durable, small
 
 THRESHOLD = 3
 
@@ -145,7 +145,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """
     found = simhash_components(docs, text, key)
     first = durable(found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__first")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-first")
-    once = docs.join(first.where("__rows = 1"), docs[key] == F.col("__first"), "left_semi")
+    once = docs.join(small(first.where("__rows = 1")), docs[key] == F.col("__first"), "left_semi")
     unnamed = docs.where(F.col(f"`{key}`").isNull())
     repeated = first.where("__rows > 1")
     if repeated.isEmpty():
