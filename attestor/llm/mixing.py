@@ -19,7 +19,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     ``share`` times all words.  A target stops at ``cap`` times its source's size; the
     excess goes to the others by weight until none is above.  That fixed point is
     a water level: sources are passed in the order of cap / weight, and the first
-    at which the level of the rest does not reach its cap fixes it.  The table has one
+    at which the level of the rest does not exceed its cap fixes it (later ones give lower levels).  The table has one
     row for each source, so the windows without a key hold no rows of documents.
     """
     cycle = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
@@ -32,7 +32,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
         .withColumn("__full", F.sum("__cap").over(by_level.rowsBetween(W.unboundedPreceding, -1)))
         .withColumn("__rest", F.sum("__weight").over(by_level.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("__level", (F.col("__pot") - F.coalesce(F.col("__full"), F.lit(0.0))) / F.col("__rest"))
-        .withColumn("__level", F.min(F.when(F.col("__level") * F.col("__weight") <= F.col("__cap"), F.col("__level"))).over(every))
+        .withColumn("__level", F.max(F.when(F.col("__level") * F.col("__weight") <= F.col("__cap"), F.col("__level"))).over(every))
     )
     wanted = F.coalesce(F.least(F.col("__cap"), F.col("__level") * F.col("__weight")), F.col("__cap"))
     return t.select("source", "source_size", wanted.alias("target"))

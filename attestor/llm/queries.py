@@ -77,7 +77,7 @@ r AS (SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY
 l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_,
   sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r),
 v AS (SELECT *, (pot - full_) / rest AS level FROM l),
-t AS (SELECT source, source_size, coalesce(least(cap, min(CASE WHEN level * w <= cap THEN level END) OVER () * w), cap)::DOUBLE AS target FROM v),
+t AS (SELECT source, source_size, coalesce(least(cap, max(CASE WHEN level * w <= cap THEN level END) OVER () * w), cap)::DOUBLE AS target FROM v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 k AS (SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
   -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
