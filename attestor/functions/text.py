@@ -26,9 +26,12 @@ def hash31(x: Column) -> Column:
 
 
 def minhash(shingles: Column, n: int = 64) -> Column:
-    """n least values of affine hashes; null without shingles."""
-    hashes = F.transform(shingles, hash31)
-    return F.when(F.size(shingles) > 0, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_min(F.transform(hashes, lambda h: ((i.cast("long") * 1103515245 + 12345) % PRIME * h + i * 7919) % PRIME))))
+    """n least values of affine hashes; null without shingles.
+
+    The shingles are hashed once: the array of hashes is bound as the variable of an outer transform.
+    """
+    least = lambda hs: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array_min(F.transform(hs, lambda h: ((i.cast("long") * 1103515245 + 12345) % PRIME * h + i * 7919) % PRIME)))
+    return F.when(F.size(shingles) > 0, F.element_at(F.transform(F.array(F.transform(shingles, hash31)), least), 1))
 
 
 def equal_share(a: Column, b: Column, n: int = 64) -> Column:

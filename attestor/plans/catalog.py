@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from attestor.plans import q_corroboration, q_intake, q_text  # noqa: F401
+from attestor.plans import q_corroboration, q_intake, q_linking, q_text  # noqa: F401
 from attestor.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
