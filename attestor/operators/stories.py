@@ -128,3 +128,40 @@ def departures(rows: DataFrame, key: str, own: str, cluster: str, value: str, ma
     mine = m.where(F.col(own) == F.col(cluster)).select(key, F.col("m").alias("mine"))
     other = first_by(m.where((F.col(own) != F.col(cluster)) & (F.col("n") >= least) & (F.col("m") > 0)), [key], [F.desc("m"), F.col(cluster)]).select(key, F.col(cluster).alias("to"), F.col("m").alias("theirs"))
     return other.join(mine, key, "left").where(F.col("theirs") - F.coalesce("mine", F.lit(0.0)) >= margin).select(key, "to")
+
+
+def spectral_trials(affinity: DataFrame, ks: tuple[int, ...] = (2, 3, 4), rounds: int = 50) -> DataFrame:
+    """``(k, unit, cluster, silhouette)``: spectral clustering of a unit-by-unit affinity for every k, one task a trial.
+
+    The table holds pairs of sources (some hundreds of sources), not of documents; missing pairs count 0.5.
+    """
+
+    def trial(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf.k.iloc[0])
+        units = sorted(set(pdf.a) | set(pdf.b))
+        at = {u: i for i, u in enumerate(units)}
+        m = np.full((len(units), len(units)), 0.5)
+        for a, b, v in zip(pdf.a, pdf.b, pdf.affinity):
+            m[at[a], at[b]] = m[at[b], at[a]] = v
+        np.fill_diagonal(m, 1.0)
+        d = 1 / np.sqrt(m.sum(axis=1))
+        _, vectors = np.linalg.eigh(d[:, None] * m * d[None, :])
+        x = vectors[:, -k:]
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        centres = [x[0]]
+        while len(centres) < k:  # farthest first: the same on every run
+            centres.append(x[np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0).argmax()])
+        centres = np.array(centres)
+        for _ in range(rounds):
+            label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        score = []
+        for i in range(len(units)):
+            means = [far[i, (label == c) & (np.arange(len(units)) != i)].mean() if ((label == c) & (np.arange(len(units)) != i)).any() else np.inf for c in range(k)]
+            own, other = means[label[i]], min(v for c, v in enumerate(means) if c != label[i])
+            score.append(0.0 if not np.isfinite(own) or not np.isfinite(other) else (other - own) / max(own, other, 1e-12))
+        return pd.DataFrame({"k": k, "unit": units, "cluster": label.astype("int64"), "silhouette": float(np.mean(score))})
+
+    trials = affinity.select("a", "b", "affinity", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return trials.groupBy("k").applyInPandas(trial, "k long, unit string, cluster long, silhouette double")
