@@ -140,3 +140,21 @@ def story_threads(links: DataFrame, child: str = "child_id", parent: str = "pare
 
 def components_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return connected_components(pairs, a, b)
+
+
+def ancestors(links: DataFrame, child: str, parent: str, max_hops: int = 40) -> DataFrame:
+    """``(node, ancestor, hops)``: every ancestor of every node, hop by hop; a cycle raises."""
+    from attestor.plans.durable import checkpointed
+
+    step = links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+    up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
+    layers = [checkpointed(step.withColumn("hops", F.lit(1)))]
+    for hop in range(2, max_hops + 1):
+        layer = checkpointed(layers[-1].join(up, "ancestor").select("node", F.col("__next").alias("ancestor"), F.lit(hop).alias("hops")).distinct())
+        if layer.isEmpty():
+            out = layers[0]
+            for x in layers[1:]:
+                out = out.unionByName(x)
+            return out
+        layers.append(layer)
+    raise RuntimeError("the links are deeper than max_hops or have a cycle")

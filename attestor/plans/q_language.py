@@ -108,3 +108,46 @@ def _(t: Tables):
     return J.run_to_table(J.late_rows(s, "ts", closed, "user_id").select("event_id"), "late")
 
 
+
+STEM = "regexp_replace(x, '(ingly|edly|ation|tion|ing|ed|ly|es|s)$', '')"
+
+
+@query("root_words", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter({WORDS}, lambda x: length(x) > 4 AND x NOT IN ('their', 'there', 'which')), lambda x: {STEM}))), ' ') AS roots FROM documents")
+def _(t: Tables):
+    w = F.filter(words(F.col("text")), lambda x: (F.length(x) > 4) & ~x.isin("their", "there", "which"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(w, lambda x: F.regexp_replace(x, "(ingly|edly|ation|tion|ing|ed|ly|es|s)$", "")))), " ").alias("roots"))
+
+
+NAMES = r"list_distinct(regexp_extract_all(text, '[^.!?\s]\s+(\p{Lu}\p{L}{2,})', 1))"
+
+
+@query("unsupported_person", f"WITH p AS (SELECT conv_id, turn, {NAMES} AS names, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS src FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_filter(names, lambda x: NOT contains(src, x))), ',') AS absent FROM p WHERE src IS NOT NULL")
+def _(t: Tables):
+    from pyspark.sql import Window as W
+
+    n = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^.!?\s]\s+(\p{Lu}\p{L}{2,})"), F.lit(1)))
+    p = t.conversations.select("conv_id", "turn", n.alias("names"), F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("src")).where("src IS NOT NULL")
+    return p.select("conv_id", "turn", F.array_join(F.array_sort(F.filter("names", lambda x: ~F.contains(F.col("src"), x))), ",").alias("absent"))
+
+
+@query("title_before_strip", r"SELECT article_id, nullif(regexp_extract(title, '^(The|Of|And|La|De|Die|Der|El) ', 1), '') AS title_word, regexp_replace(title, '^(The|Of|And|La|De|Die|Der|El) ', '') AS rest FROM v_articles")
+def _(t: Tables):
+    p = "^(The|Of|And|La|De|Die|Der|El) "
+    return t.v_articles.select("article_id", F.nullif(F.regexp_extract("title", p, 1), F.lit("")).alias("title_word"), F.regexp_replace("title", p, "").alias("rest"))
+
+
+@query("title_relation", "WITH RECURSIVE l AS (SELECT DISTINCT child_id AS node, parent_id AS ancestor FROM v_links), a AS (SELECT node, ancestor, 1 AS hops FROM l UNION ALL SELECT a.node, l.ancestor, hops + 1 FROM a JOIN l ON a.ancestor = l.node) SELECT node, ancestor, CASE WHEN hops = 1 THEN 'is' ELSE 'is_a' END AS relation FROM a")
+def _(t: Tables):
+    from attestor.operators.linking import ancestors
+
+    a = ancestors(t.v_links, "child_id", "parent_id")
+    return a.select("node", "ancestor", F.when(F.col("hops") == 1, "is").otherwise("is_a").alias("relation"))
+
+
+@query("topic_proposals", "WITH r AS (SELECT story_id, loaded_word, canonical_id, ceil(row_number() OVER (PARTITION BY story_id, loaded_word ORDER BY canonical_id) / 12.0)::BIGINT AS part FROM (SELECT DISTINCT story_id, loaded_word, canonical_id FROM v_claims)) SELECT story_id, loaded_word, part, count(*) AS n, min(canonical_id) AS first_id FROM r GROUP BY ALL")
+def _(t: Tables):
+    from pyspark.sql import Window as W
+
+    d = t.v_claims.select("story_id", "loaded_word", "canonical_id").distinct()
+    part = F.ceil(F.row_number().over(W.partitionBy("story_id", "loaded_word").orderBy("canonical_id")) / 12.0)
+    return d.withColumn("part", part).groupBy("story_id", "loaded_word", "part").agg(F.count(F.lit(1)).alias("n"), F.min("canonical_id").alias("first_id"))
