@@ -16,79 +16,86 @@ from __future__ import annotations
 import numpy as np
 
 EVENTS, LEARN, FREQUENT, MOST_TOTAL = 5, 32, 4, 30000
-_TABLE, _SLOTS, _CONTEXTS = 4096, 8192, 32
+#: Entries of the tables of a block: small, so that those of a thousand blocks stay near the processor.
+_TABLE, _SLOTS, _CONTEXTS = 1024, 2048, 32
+MOST_STEPS = 4096
 _U = np.uint64
 _TOP, _BOT, _16, _48 = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
-#: Initial weights of the events: nothing is known but that new ids are likely.
-_START = np.array([8, 8, 8, 16, 64, 0, 0, 0], dtype=np.uint16)
+#: Cumulative weights of the events at the start (nothing is known but that new ids are likely), and what each event adds.
+_START = np.array([0, 8, 16, 24, 40, 104, 0, 0], dtype=np.int32)
+_GAIN = np.array([[LEARN if e < c <= EVENTS else 0 for c in range(8)] for e in range(EVENTS)], dtype=np.int32)
 
 
 class _Model:
-    """The predictors of all lanes; arrays are flat, lane after lane."""
+    """The predictors of all lanes; arrays are flat, lane after lane.
+
+    A prediction packs its id with its confidence; a slot packs an id, its count and its place in a tier.
+    """
 
     def __init__(self, lanes: int, steps: int, vocab: int):
-        self.vocab, self.steps = vocab, steps
-        self.id2, self.sure2 = np.zeros(lanes * _TABLE, np.uint16), np.zeros(lanes * _TABLE, np.uint8)
-        self.id1, self.sure1 = np.zeros(lanes * _TABLE, np.uint16), np.zeros(lanes * _TABLE, np.uint8)
+        self.order2, self.order1 = np.zeros(lanes * _TABLE, np.int32), np.zeros(lanes * _TABLE, np.int32)
         self.weights = np.tile(_START, (lanes * _CONTEXTS, 1))
-        self.slot_id, self.slot_n = np.zeros(lanes * _SLOTS, np.uint16), np.zeros(lanes * _SLOTS, np.uint8)
-        self.slot_at = np.zeros(lanes * _SLOTS, np.uint16)
+        if steps > MOST_STEPS:
+            raise ValueError("a place in a tier has 12 bits")
+        self.slot = np.zeros(lanes * _SLOTS, np.int32)
         self.frequent, self.seen = np.zeros(lanes * steps, np.uint16), np.zeros(lanes * steps, np.uint16)
-        self.n_frequent, self.n_seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # how many values an event can have: one for the named ids, the sizes of the tiers, the vocabulary
+        self.sizes = np.ones((EVENTS, lanes), np.int64)
+        self.sizes[2:4], self.sizes[4] = 0, vocab
         lane = np.arange(lanes, dtype=np.int64)
         self.lane, self.table, self.slots, self.rows, self.lists = lane, lane * _TABLE, lane * _SLOTS, lane * _CONTEXTS, lane * steps
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, k: int) -> None:
-        a, b = self.before1[:k], self.before2[:k]
-        h = a * 40503
+        h = self.before1[:k] * 40503
         self.at1 = self.table[:k] + ((h >> 4) & (_TABLE - 1))
-        self.at2 = self.table[:k] + (((h ^ (b * 30011)) >> 3) & (_TABLE - 1))
-        self.p1, self.p2 = self.id1[self.at1].astype(np.int64), self.id2[self.at2].astype(np.int64)
-        self.k1, self.k2 = self.sure1[self.at1].astype(np.int64), self.sure2[self.at2].astype(np.int64)
-        self.row = self.rows[:k] + self.k2 * 8 + self.k1 * 2 + (self.p1 == self.p2)
-        self.cum = np.cumsum(self.weights[self.row], axis=1, dtype=np.uint64)
+        self.at2 = self.table[:k] + (((h ^ (self.before2[:k] * 30011)) >> 3) & (_TABLE - 1))
+        e1, e2 = self.order1.take(self.at1), self.order2.take(self.at2)
+        self.p1, self.p2, self.k1, self.k2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
+        self.row = self.rows[:k] + (self.k2 * 8 + self.k1 * 2 + (self.p1 == self.p2))
+        self.cum = self.weights.take(self.row, axis=0)
 
     def find(self, x: np.ndarray) -> None:
         """Looks the ids up in the order-0 slots."""
-        self.slot = self.slots[: len(x)] + (((x * 40503) >> 2) & (_SLOTS - 1))
-        self.n = self.slot_n[self.slot].astype(np.int64)
-        self.known = (self.slot_id[self.slot] == x) & (self.n > 0)
+        self.at = self.slots[: len(x)] + (((x * 40503) >> 2) & (_SLOTS - 1))
+        entry = self.slot.take(self.at)
+        self.n = (entry >> 16) & 7
+        self.known = ((entry & 0xFFFF) == x) & (self.n > 0)
+        self.place = entry >> 19
 
     def update(self, x: np.ndarray, event: np.ndarray) -> None:
         k = len(x)
-        self.weights[self.row, event] += np.uint16(LEARN)
-        full = np.flatnonzero(self.cum[:, -1] > MOST_TOTAL)
+        full = np.flatnonzero(self.cum[:, EVENTS] > MOST_TOTAL)
+        self.cum += _GAIN.take(event, axis=0)
         if full.size:
-            r = self.row[full]
-            self.weights[r, :EVENTS] = (self.weights[r, :EVENTS] >> 1) | 1
-        for at, ids, sure, p, n in ((self.at2, self.id2, self.sure2, self.p2, self.k2), (self.at1, self.id1, self.sure1, self.p1, self.k1)):
+            parts = np.diff(self.cum[full, : EVENTS + 1], axis=1) >> 1
+            self.cum[full, 1 : EVENTS + 1] = np.cumsum(parts | 1, axis=1)
+        self.weights[self.row] = self.cum
+        for at, table, p, n in ((self.at2, self.order2, self.p2, self.k2), (self.at1, self.order1, self.p1, self.k1)):
             right = p == x
-            lost = ~right & (n < 2)
-            sure[at] = np.where(right, np.minimum(n + 1, 3), np.where(lost, 1, n >> 1)).astype(np.uint8)
-            ids[at] = np.where(lost, x, p).astype(np.uint16)
+            table[at] = np.where(right, p | (np.minimum(n + 1, 3) << 16), np.where(n < 2, x | 0x10000, p | ((n >> 1) << 16)))
+        n = np.where(self.known, np.minimum(self.n + 1, 7), 1)
+        seen = self.sizes[3, :k]
+        place = np.where(self.known, self.place, seen)
+        up = np.flatnonzero(self.known & (self.n == FREQUENT - 1))
+        if up.size:
+            rank = self.sizes[2].take(up)
+            place[up] = rank
+            self.frequent[self.lists[up] + rank] = x[up]
+            self.sizes[2, up] = rank + 1
+        self.slot[self.at] = x | (n << 16) | (place << 19)
         new = np.flatnonzero(~self.known)
-        old = np.flatnonzero(self.known)
-        if new.size:
-            s = self.slot[new]
-            self.slot_id[s], self.slot_n[s], self.slot_at[s] = x[new], 1, self.n_seen[new]
-            self.seen[self.lists[new] + self.n_seen[new]] = x[new]
-            self.n_seen[new] += 1
-        if old.size:
-            s, n = self.slot[old], self.n[old]
-            self.slot_n[s] = np.minimum(n + 1, 255)
-            up = old[n + 1 == FREQUENT]
-            if up.size:
-                self.slot_at[self.slot[up]] = self.n_frequent[up]
-                self.frequent[self.lists[up] + self.n_frequent[up]] = x[up]
-                self.n_frequent[up] += 1
+        self.seen[self.lists[new] + seen[new]] = x[new]
+        self.sizes[3, new] += 1
         self.before2[:k] = self.before1[:k]
         self.before1[:k] = x
 
-    def totals(self, event: np.ndarray) -> np.ndarray:
-        """How many values the second part of an event can have."""
+    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of the events among the weights, and the number of values within."""
         k = len(event)
-        return np.where(event == 2, self.n_frequent[:k], np.where(event == 3, self.n_seen[:k], np.where(event == 4, self.vocab, 1))).astype(np.uint64)
+        flat, at = self.cum.ravel(), self.lane[:k] * 8 + event
+        lo = flat.take(at)
+        return lo.astype(np.uint64), (flat.take(at + 1) - lo).astype(np.uint64), self.sizes[event, self.lane[:k]].astype(np.uint64)
 
 
 def encode(ids: np.ndarray, size: int, vocab: int) -> list[bytes]:
@@ -110,11 +117,10 @@ def encode(ids: np.ndarray, size: int, vocab: int) -> list[bytes]:
         model.predict(k)
         model.find(x)
         event = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(model.known, np.where(model.n >= FREQUENT, 2, 3), 4)))
-        value = np.where(event == 4, x, np.where(event >= 2, model.slot_at[model.slot], 0)).astype(np.uint64)
-        hi = model.cum[model.lane[:k], event]
-        lo = np.where(event > 0, model.cum[model.lane[:k], event - 1], _U(0))
-        step = width[:k] // model.cum[:, -1]
-        inner = step * (hi - lo) // model.totals(event)
+        value = np.where(event == 4, x, np.where(event >= 2, model.place, 0)).astype(np.uint64)
+        lo, share, total = model.share(event)
+        step = width[:k] // model.cum[:, EVENTS].astype(np.uint64)
+        inner = step * share // total
         low[:k] += step * lo + inner * value
         width[:k] = inner
         some = np.arange(k)
@@ -156,14 +162,12 @@ def decode(blocks: list[bytes], counts: list[int], size: int, vocab: int) -> np.
         if not k:
             break
         model.predict(k)
-        total = model.cum[:, -1]
+        total = model.cum[:, EVENTS].astype(np.uint64)
         step = width[:k] // total
-        v = np.minimum((code[:k] - low[:k]) // step, total - _U(1))
-        event = (model.cum[:, : EVENTS - 1] <= v[:, None]).sum(axis=1)
-        hi = model.cum[model.lane[:k], event]
-        lo = np.where(event > 0, model.cum[model.lane[:k], event - 1], _U(0))
-        totals = model.totals(event)
-        inner = step * (hi - lo) // totals
+        v = np.minimum((code[:k] - low[:k]) // step, total - _U(1)).astype(np.int32)
+        event = (model.cum[:, 1:EVENTS] <= v[:, None]).sum(axis=1)
+        lo, share, totals = model.share(event)
+        inner = step * share // totals
         low[:k] += step * lo
         value = np.minimum((code[:k] - low[:k]) // inner, totals - _U(1))
         low[:k] += inner * value

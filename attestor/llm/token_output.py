@@ -17,7 +17,7 @@ from attestor.plans.durable import durable
 
 END_ID = 2
 #: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 1024, 2048
 #: Stands between blocks; a reader that lost its place can look for it.
 SYNC = b"\xf5\xf7sync\xf7\xf5"
 _MAGIC = b"ATB1"
