@@ -85,8 +85,8 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[f
         .select(F.col("source").alias("__e"), F.col("__edge.__bin").alias("__edge_bin"), F.col("__edge.__before").alias("__edge_before"))
     )
     plan = budgets.join(edge, F.col("source").eqNullSafe(F.col("__e")), "left").drop("__e").withColumnRenamed("source", "__s")
-    # the plan has one row for each source
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    # one row for each source: written down, counted and then broadcast, so a hot source's documents are not dealt by it
+    placed = sized.join(small(durable(plan, "mix-plan")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     at_edge = F.col("__bin") == F.col("__edge_bin")
     run = W.partitionBy("source", "__bin").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     inside = placed.where(at_edge).withColumn("__run", F.col("__edge_before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
