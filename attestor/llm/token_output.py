@@ -134,11 +134,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
 
     Files follow each other by their part numbers, and blocks inside a file; a block
     notes the documents that begin in it.  Null keys come first, null texts are empty, rows alike in
-    key are ordered by text.  Spark's text writer carries the blocks to any file
+    key are ordered by a hash of the text.  Spark's text writer carries the blocks to any file
     system, with SYNC as its line separator.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("binary").alias("t"))
-    ordered = rows.repartitionByRange(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
+    # the range is sampled on the driver, so a hash stands for the text there
+    place = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc()]
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, F.col("t").asc_nulls_first())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer_path)
@@ -183,8 +185,8 @@ def _parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
         at = end + mark
 
 
-def read_ids(data: bytes, lanes: int = LANES) -> Iterator[tuple[int | None, np.ndarray]]:
-    """``(key, ids)`` pieces of a file in order; a document that goes on in a later group of blocks comes in pieces (key ... repeated as False)."""
+def read_ids(data: bytes, lanes: int = LANES) -> Iterator[tuple[int | None | bool, np.ndarray]]:
+    """``(key, ids)`` pieces of a file in order; where a document goes on in a later group of blocks, the key of that piece is False."""
     group: list[tuple[int, int, int, np.ndarray, bytes]] = []
 
     def flush() -> Iterator[tuple[int | None | bool, np.ndarray]]:
