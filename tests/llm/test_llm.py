@@ -153,6 +153,36 @@ def test_near_dedup_keeps_one(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, rows)).collect()) == [3, 9]
 
 
+def test_near_dedup_reaches_similarity_of_four_fifths(spark):
+    """Planted copies of Jaccard 0.8 to 0.95 and pairs just below 0.8, against brute force."""
+    rng = random.Random(12)
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    jaccard = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    rows, near = [], []
+    for i in range(400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        copy, least = list(base), rng.uniform(0.7, 0.95)
+        while jaccard(base, copy) > least:
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base), "s"), (2 * i + 1, " ".join(copy), "s")]
+        near.append(jaccard(base, copy) >= 0.8)
+    kept = {r.doc_id for r in simhash.near_dedup(docs_of(spark, rows)).collect()}
+    assert kept >= {2 * i for i in range(400)}
+    assert [2 * i + 1 not in kept for i in range(400)] == near and 100 < sum(near) < 380
+
+
+def test_near_copies_of_a_hot_group_are_connected(spark):
+    """A large group of near copies of one text is compared in blocks and keeps one document."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(copy), "s"))
+    assert [r.doc_id for r in simhash.near_dedup(docs_of(spark, rows)).collect()] == [0]
+
+
 def test_repeated_passages_are_found_wherever_they_stand(spark):
     rng = random.Random(1)
     words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
