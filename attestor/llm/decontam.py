@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds."""
+"""Benchmark decontamination by seeds that no overlap can be without."""
 
 from __future__ import annotations
 
@@ -7,29 +7,50 @@ from pyspark.sql import functions as F
 
 from attestor.plans.durable import durable, small
 
-#: Token positions that a seed reads; the others may differ (fixed values).
+#: Token positions that the seeds of the SQL read (fixed values).
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8))
-SPAN = 9
+#: Benchmark texts from LEAST words, but under SPAN, must stand in a document word for word.
+LEAST, SPAN = 4, 9
 #: Overlaps are judged in windows of so many words, of which so large a share must agree.
 WINDOW, AGREE = 20, 0.8
 
 
+def run_length(n: int) -> int:
+    """Words of a seed for a window of ``n`` words: a run so long agrees in every window that agrees enough.
+
+    With d words that may differ, the n - d others stand in d + 1 runs at most, and the longest has
+    at least the mean.  Below SPAN the seed is the whole text.
+    """
+    if n < SPAN:
+        return n
+    need = next(m for m in range(n + 1) if m >= n * AGREE)
+    return -(-need // (n - need + 1))
+
+
+#: The run length by window size, from 1.
+RUNS = [run_length(n) for n in range(1, WINDOW + 1)]
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, marks and digits; null gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def seeds(rows: DataFrame, key: str, words: str) -> DataFrame:
-    """``(key, at, seed)``: two masked hashes for every window of SPAN tokens.
+def seeds(rows: DataFrame, key: str, words: str, lengths: list[int], only: str | None = None) -> DataFrame:
+    """``(key, at, seed)``: a hash of every run of each of the ``lengths``, or of the row's own length ``only``.
 
     The windows are columns of a zip of shifted arrays, so the hashing runs in generated code.
     """
-    hashed = rows.where(F.size(words) >= SPAN).select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+    span, own = max(lengths), [only] if only else []
+    hashed = rows.where(F.size(words) >= min(lengths)).select(key, *own, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
     n = F.size("__h")
-    shifted = [F.slice("__h", F.lit(k + 1), n - (SPAN - 1)).alias(f"w{k}") for k in range(SPAN)]
-    windows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("at", "__w"))
-    masked = [F.xxhash64(F.lit(i), *[F.col(f"__w.w{k}") for k in mask]) for i, mask in enumerate(MASKS)]
-    return windows.select(key, "at", *[m.alias(f"m{i}") for i, m in enumerate(masked)]).select(key, "at", F.stack(F.lit(len(MASKS)), *[F.col(f"m{i}") for i in range(len(MASKS))]).alias("seed"))
+    shifted = [F.slice("__h", F.lit(k + 1), n).alias(f"w{k}") for k in range(span)]
+    windows = hashed.select(key, *own, n.alias("__n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "__w"))
+    runs = [F.xxhash64(F.lit(k), *[F.col(f"__w.w{i}") for i in range(k)]).alias(f"m{k}") for k in lengths]
+    columns = [x for k in lengths for x in (F.lit(k), F.col(f"m{k}"))]
+    each = windows.select(key, *own, "at", "__n", *runs).select(key, *own, "at", "__n", F.stack(F.lit(len(lengths)), *columns).alias("__k", "seed"))
+    whole = each.where(F.col("at") + F.col("__k") <= F.col("__n"))
+    return (whole.where(F.col("__k") == F.col(only)) if only else whole).select(key, "at", "seed")
 
 
 def _flags(doc: Column, item: Column, shift: Column) -> Column:
@@ -42,25 +63,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
     Seeds of both sides are joined; each hit fixes a shift between the two texts,
     along which the words are compared: an overlap holds if in some window of 20
     benchmark words (the whole text if shorter) at least 80 % stand at the same
-    place in the document.  Only the best shift is returned.  Texts of fewer than SPAN
-    words, null and empty ones among them, overlap with nothing.  Equal benchmark
+    place in the document (all, for texts under SPAN words).  The seeds are runs of words so short that
+    no such window is without one (``run_length``), so no overlap is missed.  Only the best shift is
+    returned.  Benchmark texts of fewer than LEAST words, null and empty ones among them, overlap with nothing.  Equal benchmark
     texts are one, named by the smallest id.  Documents that share a key are looked up together.
     """
     items = durable(
-        benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), tokens(F.col(f"`{item_text}`")).alias("__iw")).where(F.size("__iw") >= SPAN).groupBy("__iw").agg(F.min("item_id").alias("item_id")),
+        benchmark.select(F.col(f"`{item}`").cast("long").alias("item_id"), tokens(F.col(f"`{item_text}`")).alias("__iw"))
+        .where(F.size("__iw") >= LEAST)
+        .groupBy("__iw")
+        .agg(F.min("item_id").alias("item_id"))
+        .withColumn("__run", F.element_at(F.array(*map(F.lit, RUNS)), F.least(F.lit(WINDOW), F.size("__iw")))),
         "items",
     )
-    marks = durable(seeds(items, "item_id", "__iw").withColumnRenamed("at", "__p"), "seeds")
+    lengths = sorted(r[0] for r in items.select("__run").distinct().collect()) or [RUNS[-1]]  # a handful: RUNS has no more
+    marks = durable(seeds(items, "item_id", "__iw", lengths, "__run").withColumnRenamed("at", "__p"), "seeds")
     slim = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    found = seeds(slim.select("__key", tokens(F.col("__text")).alias("__dw")), "__key", "__dw")
+    found = seeds(slim.select("__key", tokens(F.col("__text")).alias("__dw")), "__key", "__dw", lengths)
     hits = durable(found.join(small(marks), "seed").select("__key", "item_id", (F.col("at") - F.col("__p")).alias("shift")).distinct(), "hits")
     keys = hits.select(F.col("__key").alias("__k")).distinct()
     texts = slim.join(small(keys), F.col("__key").eqNullSafe(F.col("__k")), "left_semi").select(F.col("__key").alias("__k"), tokens(F.col("__text")).alias("__dw"))
-    pairs = texts.join(small(hits), F.col("__key").eqNullSafe(F.col("__k"))).join(small(items), "item_id")
+    pairs = texts.join(small(hits), F.col("__key").eqNullSafe(F.col("__k"))).join(small(items.drop("__run")), "item_id")
     flagged = pairs.select("__key", "item_id", "shift", _flags(F.col("__dw"), F.col("__iw"), F.col("shift")).alias("__f"), F.least(F.lit(WINDOW), F.size("__iw")).alias("window"))
     f, w = F.col("__f"), F.col("window")
     sums = F.transform(F.sequence(F.lit(1), F.size(f) - w + 1), lambda s: F.aggregate(F.slice(f, s, w), F.lit(0), lambda a, x: a + x))
-    best = flagged.select("__key", "item_id", "shift", "window", F.array_max(sums).alias("matched")).where(F.col("matched") >= F.col("window") * F.lit(AGREE))
+    best = flagged.select("__key", "item_id", "shift", "window", F.array_max(sums).alias("matched")).where(
+        F.col("matched") >= F.col("window") * F.when(F.col("window") < SPAN, F.lit(1.0)).otherwise(F.lit(AGREE))
+    )
     return (
         best.groupBy("__key", "item_id", "window")
         .agg(F.max(F.struct(F.col("matched"), (-F.col("shift")).alias("back"))).alias("b"))

@@ -298,6 +298,45 @@ def test_spaced_seeds_tolerate_substitutions(spark):
     assert {r.doc_id for r in decontam.decontaminate(docs_of(spark, rows), bench).collect()} == {2, 4}
 
 
+def test_every_window_that_agrees_enough_has_a_seed():
+    """All patterns of as many substitutions as a window may have."""
+    from itertools import combinations
+
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+        lost = max(d for d in range(n) if n - d >= n * decontam.AGREE)
+        for places in combinations(range(n), lost):
+            ends = [-1, *places, n]
+            assert max(b - a - 1 for a, b in zip(ends, ends[1:])) >= decontam.run_length(n)
+
+
+def test_contamination_is_found_like_by_brute_force_over_all_shifts(spark):
+    rng = random.Random(14)
+    items = [(i, [f"b{rng.randrange(3000)}" for _ in range(n)]) for i, n in enumerate([4, 5, 7, 8, 9, 10, 10, 11, 12, 12, 14, 15, 15, 15, 16, 18, 19, 20, 20, 20, 25, 40])]
+    rows = []
+    for i, words in items * 6:
+        copy = list(words)
+        n = min(20, len(copy))
+        for p in rng.sample(range(n), rng.randint(0, max(1, n // 5 + (n < 9)))):
+            copy[p] = "zz"
+        rows.append((len(rows), [f"d{rng.randrange(500)}" for _ in range(rng.randint(0, 30))] + copy, "s"))
+    spread = items[17][1][:]
+    for p in (3, 7, 11, 15):
+        spread[p] = "zz"
+    rows.append((len(rows), spread, "s"))
+    want = set()
+    for d, words, _ in rows:
+        for i, item in items:
+            n, need = min(20, len(item)), 1.0 if len(item) < 9 else 0.8
+            for shift in range(-len(item), len(words)):
+                same = [0 <= shift + j < len(words) and words[shift + j] == w for j, w in enumerate(item)]
+                if max(sum(same[a : a + n]) for a in range(len(item) - n + 1)) >= need * n:
+                    want.add((d, i))
+    docs = docs_of(spark, [(d, " ".join(w), s) for d, w, s in rows])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == want
+    assert (len(rows) - 1, 17) in want
+
+
 def test_targets_are_the_fixed_point_of_resharing(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 50), ("d", 400), ("e", 0), (None, 70)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
