@@ -22,7 +22,7 @@ _PATTERN = re.compile(
     |(?P<secret>(?<![\w])AKIA[0-9A-Z]{16}(?![\w])|(?<![\w])[0-9a-f]{32,}(?![\w])|(?<=password=)[^\s"',;]+|(?<=passwd=)[^\s"',;]+)
     |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w]))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-    |(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))
+    |(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d{2}:?\d{2})|(?![\w/-]|\.\d)))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)\d{4}|\d{4}(?P<s6>[ -])\d{6}(?P=s6)\d{5})(?![\w-]))
     |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\))(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))""",
@@ -168,13 +168,39 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(digits) % 97:02d}"
 
 
+#: Length of the bank numbers of each country (the registry's fixed values); other countries are judged by mod 97 alone.
+_IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
+
+
+def _iban_end(text: str) -> int | None:
+    """Where the bank number that a match begins with ends: at its country's length, else with the match or, for countries not listed, at a group before, if mod 97 holds."""
+    ends = [i + 1 for i, c in enumerate(text) if c != " " and (i + 1 == len(text) or text[i + 1] == " ")][::-1]
+    length = _IBAN_LENGTHS.get(text[:2])
+    own = [e for e in ends if e - text.count(" ", 0, e) == length]
+    for end in own + ends[:1] if length else ends:
+        plain = text[:end].replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            return end
+    return None
+
+
 def _iban(text: str, p: Permuter) -> str | None:
-    plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_check(plain[:2], plain[4:]) != plain[2:4]:
+    """The bank number at the head of ``text``; words that the pattern took along stay as they are."""
+    end = _iban_end(text)
+    if end is None:
         return None
+    plain = text[:end].replace(" ", "")
     body = p.characters(plain[4:], b"iban" + plain[:2].encode())
     new = iter(plain[:2] + _iban_check(plain[:2], body) + body)
-    return "".join(c if c == " " else next(new) for c in text)
+    return "".join(c if c == " " else next(new) for c in text[:end])
 
 
 def _email(text: str, p: Permuter) -> str:
@@ -198,16 +224,21 @@ def pseudonymize(text: str | None, p: Permuter) -> tuple[str | None, list[str]]:
     if not text or not _ANY.search(text):
         return text, []
     found: list[str] = []
-
-    def swap(m: re.Match) -> str:
+    out: list[str] = []
+    done = 0
+    while m := _PATTERN.search(text, done):
         kind = next(k for k in _KINDS if m.group(k) is not None)
-        new = _KINDS[kind](m.group(), p)
-        if new is None:
-            return m.group()
-        found.append(kind)
-        return new
-
-    return _PATTERN.sub(swap, text), found
+        value = m.group()
+        if kind == "iban":  # what the pattern took along is searched again, and so is all behind the head of what fails
+            end = _iban_end(value)
+            value = value[: value.find(" ") if " " in value else len(value)] if end is None else value[:end]
+        new = _KINDS[kind](value, p)
+        if new is not None:
+            found.append(kind)
+        out += [text[done : m.start()], value if new is None else new]
+        done = m.start() + len(value)
+    out.append(text[done:])
+    return "".join(out), found
 
 
 def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:

@@ -380,6 +380,22 @@ def test_pseudonyms_keep_format_links_and_check_sums():
     assert len({p.below(i, 777, b"t") for i in range(777)}) == 777
 
 
+def test_values_beside_other_words_are_replaced():
+    p = pii.Permuter(b"k")
+    for value, rest in (("BE68 5390 0754 7034", " I paid"), ("ES91 2100 0418 4502 0005 1332", " 2024"), ("BE68539007547034", " EUR 12"), ("DE89 3704 0044 0532 0130 00", " OK")):
+        alone, kinds = pii.pseudonymize(value, p)
+        assert kinds == ["iban"] and alone != value
+        assert pii.pseudonymize(f"to {value}{rest}", p) == (f"to {alone}{rest}", ["iban"])
+    two = "BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332"
+    assert pii.pseudonymize(two, p)[1] == ["iban", "iban"]
+    assert pii.pseudonymize("AB12 3456 4785380592391139", p)[1] == ["card"]
+    assert pii.pseudonymize("BE69 5390 0754 7034 I paid", p) == ("BE69 5390 0754 7034 I paid", [])
+    day = pii.pseudonymize("2024-05-06", p)[0]
+    for tail in ("T12:30:00Z", "T12:30", "T123000+02:00"):
+        assert pii.pseudonymize(f"at 2024-05-06{tail}.", p) == (f"at {day}{tail}.", ["date"])
+    assert pii.pseudonymize("2024-05-06Total", p)[1] == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
