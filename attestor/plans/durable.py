@@ -1,8 +1,8 @@
 """Intermediate tables that outlive a lost executor.
 
 Everything is written below ``spark.checkpoint.dir``, which all executors and
-the driver of a cluster share.  Only where that setting is absent (unit tests,
-a laptop) is a temporary folder chosen.
+the driver of a cluster share.  Where that setting is absent a temporary folder is
+chosen in local mode (unit tests, a laptop); a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -45,6 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A broadcast hint where the counted table has at most ``most`` (short) rows; else the join is left to shuffle."""
-    return broadcast(table) if table.limit(most + 1).count() <= most else table
+def small(table: DataFrame, most: int = 1_000_000, weight: Column | None = None) -> DataFrame:
+    """A broadcast hint where the table has at most ``most`` (short) rows, or entries by ``weight``; else the join is left to shuffle."""
+    if weight is None:
+        fits = table.limit(most + 1).count() <= most
+    else:
+        fits = (table.agg(F.sum(weight)).first()[0] or 0) <= most
+    return broadcast(table) if fits else table
