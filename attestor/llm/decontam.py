@@ -1,4 +1,4 @@
-"""Benchmark decontamination by seeds that no overlap can be without."""
+"""Benchmark decontamination by spaced seeds that no overlap can be without."""
 
 from __future__ import annotations
 
@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 
 from attestor.plans.durable import durable, small
 
-#: Token positions that the seeds of the SQL read (fixed values).
-MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8))
+#: Word positions that a seed reads, by the shortest window that the masks serve; the words between are ignored.  Every
+#: window of that size or more, up to the next entry's or WINDOW, that agrees by AGREE holds one of the masks
+#: somewhere, wherever its substitutions stand (tests/llm enumerates them all).
+MASKS = {
+    9: ((0, 1, 3, 4, 5), (0, 1, 2, 6, 7), (0, 1, 3, 5, 6)),
+    15: ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 9, 10), (0, 1, 2, 3, 7, 9)),
+}
 #: Benchmark texts from LEAST words, but under SPAN, must stand in a document word for word.
-LEAST, SPAN = 4, 9
+LEAST, SPAN = 4, min(MASKS)
 #: Overlaps are judged in windows of so many words, of which so large a share must agree.
 WINDOW, AGREE = 20, 0.8
+#: So many words of benchmark texts are broadcast at most; beyond that the joins shuffle.
+MOST_WORDS = 4_000_000
 
 
-def run_length(n: int) -> int:
-    """Words of a seed for a window of ``n`` words: a run so long agrees in every window that agrees enough.
-
-    With d words that may differ, the n - d others stand in d + 1 runs at most, and the longest has
-    at least the mean.  Below SPAN the seed is the whole text.
-    """
-    if n < SPAN:
-        return n
-    need = next(m for m in range(n + 1) if m >= n * AGREE)
-    return -(-need // (n - need + 1))
+def masks(family: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of a family: those of the window size it is named by; under SPAN one that reads every word."""
+    return MASKS.get(family) or (tuple(range(family)),)
 
 
-#: The run length by window size, from 1.
-RUNS = [run_length(n) for n in range(1, WINDOW + 1)]
+def family_of(size: Column) -> Column:
+    """The mask family of a text of ``size`` words."""
+    family = F.when(size < SPAN, size)
+    bounds = sorted(MASKS)
+    for low, high in zip(bounds, bounds[1:]):
+        family = family.when(size < high, F.lit(low))
+    return family.otherwise(F.lit(bounds[-1]))
 
 
 def tokens(text: Column) -> Column:
@@ -36,21 +41,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
-def seeds(rows: DataFrame, key: str, words: str, lengths: list[int], only: str | None = None) -> DataFrame:
-    """``(key, at, seed)``: a hash of every run of each of the ``lengths``, or of the row's own length ``only``.
+def seeds(rows: DataFrame, key: str, words: str, families: list[int], only: str | None = None) -> DataFrame:
+    """``(key, at, seed)``: a hash of the words under every mask of the ``families`` at every place, or of the row's own family ``only``.
 
     The windows are columns of a zip of shifted arrays, so the hashing runs in generated code.
     """
-    span, own = max(lengths), [only] if only else []
-    hashed = rows.where(F.size(words) >= min(lengths)).select(key, *own, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+    used = [(f, i, m) for f in families for i, m in enumerate(masks(f))]
+    own = [only] if only else []
+    hashed = rows.where(F.size(words) >= min(m[-1] + 1 for _, _, m in used)).select(key, *own, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
     n = F.size("__h")
-    shifted = [F.slice("__h", F.lit(k + 1), n).alias(f"w{k}") for k in range(span)]
+    shifted = [F.slice("__h", F.lit(k + 1), n).alias(f"w{k}") for k in sorted({p for _, _, m in used for p in m})]
     windows = hashed.select(key, *own, n.alias("__n"), F.posexplode(F.arrays_zip(*shifted)).alias("at", "__w"))
-    runs = [F.xxhash64(F.lit(k), *[F.col(f"__w.w{i}") for i in range(k)]).alias(f"m{k}") for k in lengths]
-    columns = [x for k in lengths for x in (F.lit(k), F.col(f"m{k}"))]
-    each = windows.select(key, *own, "at", "__n", *runs).select(key, *own, "at", "__n", F.stack(F.lit(len(lengths)), *columns).alias("__k", "seed"))
+    under = [F.xxhash64(F.lit(f), F.lit(i), *[F.col(f"__w.w{p}") for p in m]).alias(f"m{j}") for j, (f, i, m) in enumerate(used)]
+    columns = [x for j, (f, _, m) in enumerate(used) for x in (F.lit(f), F.lit(m[-1] + 1), F.col(f"m{j}"))]
+    each = windows.select(key, *own, "at", "__n", *under).select(key, *own, "at", "__n", F.stack(F.lit(len(used)), *columns).alias("__f", "__k", "seed"))
     whole = each.where(F.col("at") + F.col("__k") <= F.col("__n"))
-    return (whole.where(F.col("__k") == F.col(only)) if only else whole).select(key, "at", "seed")
+    return (whole.where(F.col("__f") == F.col(only)) if only else whole).select(key, "at", "seed")
 
 
 def _flags(doc: Column, item: Column, shift: Column) -> Column:
@@ -60,11 +66,11 @@ def _flags(doc: Column, item: Column, shift: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """``(key, item, matched, window, shift)`` for every document and benchmark text that overlap.
 
-    Seeds of both sides are joined; each hit fixes a shift between the two texts,
+    Spaced seeds of both sides are joined; each hit fixes a shift between the two texts,
     along which the words are compared: an overlap holds if in some window of 20
     benchmark words (the whole text if shorter) at least 80 % stand at the same
-    place in the document (all, for texts under SPAN words).  The seeds are runs of words so short that
-    no such window is without one (``run_length``), so no overlap is missed.  Only the best shift is
+    place in the document (all, for texts under SPAN words).  The masks of a text's family leave
+    no such window without a seed, so no overlap is missed.  Only the best shift is
     returned.  Benchmark texts of fewer than LEAST words, null and empty ones among them, overlap with nothing.  Equal benchmark
     texts are one, named by the smallest id.  Documents that share a key are looked up together.
     """
@@ -73,17 +79,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: s
         .where(F.size("__iw") >= LEAST)
         .groupBy("__iw")
         .agg(F.min("item_id").alias("item_id"))
-        .withColumn("__run", F.element_at(F.array(*map(F.lit, RUNS)), F.least(F.lit(WINDOW), F.size("__iw")))),
+        .withColumn("__family", family_of(F.size("__iw"))),
         "items",
     )
-    lengths = sorted(r[0] for r in items.select("__run").distinct().collect()) or [RUNS[-1]]  # a handful: RUNS has no more
-    marks = durable(seeds(items, "item_id", "__iw", lengths, "__run").withColumnRenamed("at", "__p"), "seeds")
+    families = sorted(r[0] for r in items.select("__family").distinct().collect()) or [max(MASKS)]  # at most one for each length under SPAN and one for each entry of MASKS
+    marks = durable(seeds(items, "item_id", "__iw", families, "__family").withColumnRenamed("at", "__p"), "seeds")
     slim = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    found = seeds(slim.select("__key", tokens(F.col("__text")).alias("__dw")), "__key", "__dw", lengths)
+    found = seeds(slim.select("__key", tokens(F.col("__text")).alias("__dw")), "__key", "__dw", families)
     hits = durable(found.join(small(marks), "seed").select("__key", "item_id", (F.col("at") - F.col("__p")).alias("shift")).distinct(), "hits")
     keys = hits.select(F.col("__key").alias("__k")).distinct()
     texts = slim.join(small(keys), F.col("__key").eqNullSafe(F.col("__k")), "left_semi").select(F.col("__key").alias("__k"), tokens(F.col("__text")).alias("__dw"))
-    pairs = texts.join(small(hits), F.col("__key").eqNullSafe(F.col("__k"))).join(small(items.drop("__run")), "item_id")
+    pairs = texts.join(small(hits), F.col("__key").eqNullSafe(F.col("__k"))).join(small(items.drop("__family"), MOST_WORDS, F.size("__iw")), "item_id")
     flagged = pairs.select("__key", "item_id", "shift", _flags(F.col("__dw"), F.col("__iw"), F.col("shift")).alias("__f"), F.least(F.lit(WINDOW), F.size("__iw")).alias("window"))
     f, w = F.col("__f"), F.col("window")
     sums = F.transform(F.sequence(F.lit(1), F.size(f) - w + 1), lambda s: F.aggregate(F.slice(f, s, w), F.lit(0), lambda a, x: a + x))

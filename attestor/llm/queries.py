@@ -115,26 +115,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
-_SEED = ["w[x + {}]".format, [[k + 1 for k in m] for m in decontam.MASKS]]
+_FAMILIES = [*range(decontam.LEAST, decontam.SPAN), *sorted(decontam.MASKS)]
 
 
-def _seed_sql(rows: str, key: str) -> str:
-    parts = [f"SELECT {key}, x, {i} AS m, concat_ws(' ', {', '.join(_SEED[0](k) for k in mask)}) AS seed FROM {rows}" for i, mask in enumerate(_SEED[1])]
-    return " UNION ALL ".join(parts)
+def _seed_sql(rows: str, key: str, own: str = "true") -> str:
+    """A row for each mask at each place where it fits; ``own`` tells the family of a row."""
+    return " UNION ALL ".join(
+        f"SELECT {key}, x, '{f}-{i}' AS m, concat_ws(' ', {', '.join(f'w[x + {p + 1}]' for p in mask)}) AS seed FROM {rows} WHERE x + {mask[-1] + 1} <= len(w) AND {own.format(f=f)}"
+        for f in _FAMILIES
+        for i, mask in enumerate(decontam.masks(f))
+    )
 
 
 DECONTAM_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents),
-b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 9 GROUP BY w),
-dx AS (SELECT doc_id, w, unnest(range(0, len(w) - 8)) AS x FROM d WHERE len(w) >= 9),
-bx AS (SELECT item_id, w, unnest(range(0, len(w) - 8)) AS x FROM b),
-ds AS ({_seed_sql('dx', 'doc_id')}), bs AS ({_seed_sql('bx', 'item_id')}),
+b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= {decontam.LEAST} GROUP BY w),
+dx AS (SELECT doc_id, w, unnest(range(0, len(w))) AS x FROM d),
+bx AS (SELECT item_id, w, CASE WHEN len(w) < {decontam.SPAN} THEN len(w) {" ".join(f"WHEN len(w) < {high} THEN {low}" for low, high in zip(sorted(decontam.MASKS), sorted(decontam.MASKS)[1:]))} ELSE {max(decontam.MASKS)} END AS family,
+  unnest(range(0, len(w))) AS x FROM b),
+bs AS ({_seed_sql('bx', 'item_id', 'family = {f}')}), ds AS (SELECT * FROM ({_seed_sql('dx', 'doc_id')}) WHERE seed IN (SELECT seed FROM bs)),
 hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.x - bs.x AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
-f AS (SELECT h.doc_id, h.item_id, h.shift, least(20, len(b.w)) AS win,
+f AS (SELECT h.doc_id, h.item_id, h.shift, least({decontam.WINDOW}, len(b.w)) AS win,
   list_transform(range(0, len(b.w)), lambda j: CASE WHEN h.shift + j >= 0 AND d.w[h.shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS m
   FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
 s AS (SELECT doc_id, item_id, shift, win, list_max(list_transform(range(0, len(m) - win + 1), lambda k: list_sum(m[k + 1:k + win])))::BIGINT AS matched FROM f),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS rn FROM s WHERE matched >= win * 0.8)
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS rn FROM s
+  WHERE matched >= win * CASE WHEN win < {decontam.SPAN} THEN 1.0 ELSE {decontam.AGREE} END)
 SELECT doc_id, item_id, matched, win::BIGINT AS "window", shift::BIGINT AS shift FROM o WHERE rn = 1
 """
 

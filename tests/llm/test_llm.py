@@ -304,9 +304,9 @@ def test_every_window_that_agrees_enough_has_a_seed():
 
     for n in range(decontam.SPAN, decontam.WINDOW + 1):
         lost = max(d for d in range(n) if n - d >= n * decontam.AGREE)
-        for places in combinations(range(n), lost):
-            ends = [-1, *places, n]
-            assert max(b - a - 1 for a, b in zip(ends, ends[1:])) >= decontam.run_length(n)
+        family = max(f for f in decontam.MASKS if f <= n)
+        seeds = [{x + p for p in mask} for mask in decontam.masks(family) for x in range(n - mask[-1])]
+        assert all(any(seed.isdisjoint(places) for seed in seeds) for places in combinations(range(n), lost)), n
 
 
 def test_contamination_is_found_like_by_brute_force_over_all_shifts(spark):
