@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 #: blocks of this size would make more than MOST_HOT hot buckets.
 BLOCK, MOST_HOT = 4096, 65536
 
-Linked = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: The distances of the rows of the first array from the rows opposite in the second, which must obey the triangle
+#: inequality.  Beyond the threshold a lower bound (above the threshold) will do.
+Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Buckets up to so many rows are compared together with others of their size.
+FEW = 8
 
 
 def deal_blocks(rows: DataFrame, homes: DataFrame, n_members: int, salt: Column, block: int = BLOCK) -> DataFrame:
@@ -32,11 +36,34 @@ def deal_blocks(rows: DataFrame, homes: DataFrame, n_members: int, salt: Column,
     return dealt.withColumn("home", F.col("home") & (F.col("block") == F.col("__own"))).drop("__blocks", "__own")
 
 
+def _few(distance: Distance, most: int, starts: np.ndarray, sizes: np.ndarray, home: np.ndarray, ids: np.ndarray, load: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links inside small buckets: the pairs of a place and another are compared for all buckets of a size in one step."""
+    out = []
+    for size in range(2, FEW + 1):
+        at = starts[sizes == size]
+        if not len(at):
+            continue
+        for i in range(size):
+            for j in range(i):
+                a, b = at + i, at + j
+                met = (home[a] | home[b]) & (ids[a] != ids[b])
+                a, b = a[met], b[met]
+                near = distance(load[a], load[b]) <= most
+                out.append((ids[a[near]], ids[b[near]]))
+    return out
+
+
 class _Bucket:
-    """Homes of the bucket at hand, and a forest that keeps the links short."""
+    """Homes of the bucket at hand: leaders, and behind each the homes within the threshold of it.
+
+    What is within the threshold of a leader is linked to it and so to all behind it.  What is
+    more than twice as far from it can be near none of them; only in between are they compared one by one.
+    """
 
-    def __init__(self, linked: Linked, width: tuple[int, ...]):
-        self.linked, self.ids, self.load, self.root = linked, np.empty(0, np.int64), np.empty((0, *width), np.int64), []
+    def __init__(self, distance: Distance, most: int, width: tuple[int, ...]):
+        self.distance, self.most, self.root = distance, most, []
+        self.ids, self.load = [], np.empty((0, *width), np.int64)
+        self.behind: list[list[tuple[int, np.ndarray]]] = []
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -46,38 +73,47 @@ class _Bucket:
 
     def add(self, ids: np.ndarray, load: np.ndarray, home: np.ndarray, out: list[tuple[int, int]]) -> None:
         """Homes come before visitors; each row gets a link to every group of homes that it touches."""
-        for lo in range(0, len(ids), 1024):
-            part, weight, at_home = ids[lo : lo + 1024], load[lo : lo + 1024], home[lo : lo + 1024]
-            known = len(self.ids)
-            if at_home.any():
-                self.ids = np.concatenate([self.ids, part[at_home]])
-                self.load = np.concatenate([self.load, weight[at_home]])
-                self.root += range(known, len(self.ids))
-            if not len(self.ids):
-                continue
-            near = self.linked(weight, self.load)
-            for row in np.flatnonzero(near.any(axis=1)):
-                first = -1
-                for j in np.flatnonzero(near[row]):
-                    if self.ids[j] == part[row]:
-                        first = j if first < 0 and at_home[row] else first
+        for row in range(len(ids)):
+            n, one = len(self.ids), int(ids[row])
+            met: list[int] = []
+            leads = False
+            if n:
+                far = self.distance(np.broadcast_to(load[row], (n, *load.shape[1:])), self.load[:n])
+                for j in np.flatnonzero(far <= 2 * self.most).tolist():
+                    if far[j] <= self.most:
+                        if self.ids[j] != one:
+                            out.append((one, self.ids[j]))
+                        met.append(j)
                         continue
-                    r = self.find(int(j))
-                    if first < 0:
-                        first = r
-                        out.append((int(part[row]), int(self.ids[j])))
-                    elif self.find(int(first)) != r:
-                        out.append((int(part[row]), int(self.ids[j])))
-                        self.root[r] = self.find(int(first))
-
-
-def spanning_links(rows: DataFrame, linked: Linked, payload: str, width: int = 0) -> DataFrame:
-    """Links ``(src, dst)`` that connect what ``linked`` connects within every (key, block).
+                    others = self.behind[j]
+                    if others and not any(self.find(j) == self.find(k) for k in met):
+                        near = np.flatnonzero(self.distance(np.broadcast_to(load[row], (len(others), *load.shape[1:])), np.stack([x for _, x in others])) <= self.most)
+                        near = [k for k in near.tolist() if others[k][0] != one]
+                        if near:
+                            out.append((one, others[near[0]][0]))
+                            met.append(j)
+                            leads = True
+                for j in met[1:]:
+                    self.root[self.find(j)] = self.find(met[0])
+                close = [j for j in met if far[j] <= self.most]
+                if home[row] and close:
+                    self.behind[close[0]].append((one, load[row].copy()))
+            if home[row] and not (n and close):
+                if n == len(self.load):
+                    self.load = np.concatenate([self.load, np.empty((max(16, n), *load.shape[1:]), np.int64)])
+                self.ids.append(one)
+                self.load[n] = load[row]
+                self.behind.append([])
+                self.root.append(self.find(met[0]) if leads or met else n)
+
+
+def spanning_links(rows: DataFrame, distance: Distance, most: int, payload: str, width: int = 0) -> DataFrame:
+    """Links ``(src, dst)`` that connect what is within ``most`` by ``distance`` in every (key, block).
 
     ``rows`` has key, block, home, id and a payload (a long, or an array of
-    ``width`` longs).  The rows of a block arrive together and sorted, homes
+    ``width`` longs).  Small buckets are compared many at a time.  The rows of a block arrive together and sorted, homes
     first; only the homes (a bounded block) are held, and visitors pass by in
-    batches.  At most one link leaves for each row and group of homes it joins.
+    batches.  At most one link leaves for each row and group of homes it joins (in small buckets, one for each pair that is linked).
     """
     dealt = rows.select("key", "block", "home", "id", payload).repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
 
@@ -94,11 +130,16 @@ def spanning_links(rows: DataFrame, linked: Linked, payload: str, width: int = 0
             load = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, width) if width else batch.column(4).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
             ends = np.concatenate([starts[1:], [n]])
-            work = (home[starts] & (ends - starts > 1)) | (starts == 0) | (ends == n)
+            edge = (starts == 0) | (ends == n)  # the bucket may go on in another batch
+            few = ~edge & (ends - starts <= FEW)
+            work = (home[starts] & (ends - starts > FEW)) | edge
+            for src, dst in _few(distance, most, starts[few], (ends - starts)[few], home, ids, load):
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
             out: list[tuple[int, int]] = []
             for a, b in zip(starts[work].tolist(), ends[work].tolist()):
                 if at != (key[a], block[a]):
-                    at, bucket = (key[a], block[a]), _Bucket(linked, shape)
+                    at, bucket = (key[a], block[a]), _Bucket(distance, most, shape)
                 bucket.add(ids[a:b], load[a:b], home[a:b], out)
             if out:
                 src, dst = np.array(out, dtype=np.int64).T

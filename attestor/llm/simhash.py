@@ -97,11 +97,9 @@ def anchor_rows(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "key long, home boolean, id long")
 
 
-def _near(threshold: int):
-    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= threshold
-
-    return linked
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ from those opposite."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -118,7 +116,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     rows = anchor_rows(distinct)
     homes = rows.where("home").select("key")
     dealt = deal_blocks(rows, homes, 2 * n, F.col("id")).withColumn("fp", F.col("id"))
-    return spanning_links(dealt, _near(THRESHOLD), "fp").distinct()
+    return spanning_links(dealt, bits_apart, THRESHOLD, "fp").distinct()
 
 
 def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
