@@ -6,47 +6,66 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-DEFAULT_KEY = b"replace this key in production"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.attestor.pii.key"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HEX = "0123456789abcdef"
 
+#: Names of the months in written dates (fixed values).
+_MONTHS = "January February March April May June July August September October November December".split()
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<secret>(?<![\w])AKIA[0-9A-Z]{16}(?![\w])|(?<![\w])[0-9a-f]{32,}(?![\w])|(?<=password=)[^\s"',;]+|(?<=passwd=)[^\s"',;]+)
+    |(?P<secret>(?<![\w])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\w])|(?<![\w])[0-9a-f]{32,}(?![\w])
+      |(?<![\w])(?:gh[pousr]_|github_pat_|(?:sk|pk|rk)_(?:live|test)_|sk-|glpat-|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}(?![\w])
+      |(?<![\w])(?:password|passwd|pwd)=[^\s"',;]+
+      |(?<![\w])(?i:api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?token|access[_-]?token|secret|token)["']?\s?[=:]\s?["']?(?=[^\s"',;]*\d)[^\s"',;]{8,})
     |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w]))
+    |(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))
+    |(?P<written>(?<![\w])(?:\d{1,2}[ ](?:%(months)s)[ ]\d{4}|(?:%(months)s)[ ]\d{1,2},[ ]\d{4})(?![\w]))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
     |(?P<date>(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?:(?=T\d{2}:?\d{2})|(?![\w/-]|\.\d)))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)\d{4}|\d{4}(?P<s6>[ -])\d{6}(?P=s6)\d{5})(?![\w-]))
-    |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\))(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))""",
+    |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\))(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"""
+    % {"months": "|".join([*_MONTHS, *(m[:3] for m in _MONTHS)])},
     re.VERBOSE,
 )
 _ANY = re.compile(r"[0-9@=]")
 
 
 class Permuter:
-    """Keyed permutations of strings that keep every character in its alphabet."""
+    """Keyed permutations of strings that keep every character in its alphabet; ``back`` undoes them.
 
-    def __init__(self, key: bytes):
+    A Feistel network orders the domain at random and every value goes to the next
+    in that order, so no value stays as it is, however small the domain.
+    """
+
+    def __init__(self, key: bytes, back: bool = False):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.step = -1 if back else 1
 
     def _draw(self, tweak: bytes, round_: int, value: int, below: int) -> int:
         message = b"%b|%d|%d|%d" % (tweak, round_, below, value)
         return int.from_bytes(hashlib.blake2b(message, key=self.key, digest_size=32).digest()[: 16 + below.bit_length() // 8], "big") % below
 
     def number(self, value: int, left: int, right: int, tweak: bytes) -> int:
-        """A permutation of 0 .. left * right - 1: an alternating Feistel network on (value div right, value mod right)."""
+        """A permutation of 0 .. left * right - 1: an alternating Feistel network on (value div right, value mod right), one place on, and back."""
         a, b = divmod(value, right)
         for k in range(0, ROUNDS, 2):
             a = (a + self._draw(tweak, k, b, left)) % left
             b = (b + self._draw(tweak, k + 1, a, right)) % right
+        a, b = divmod((a * right + b + self.step) % (left * right), right)
+        for k in range(ROUNDS - 2, -1, -2):
+            b = (b - self._draw(tweak, k + 1, a, right)) % right
+            a = (a - self._draw(tweak, k, b, left)) % left
         return a * right + b
 
     def below(self, value: int, n: int, tweak: bytes) -> int:
@@ -203,20 +222,55 @@ def _iban(text: str, p: Permuter) -> str | None:
     return "".join(c if c == " " else next(new) for c in text[:end])
 
 
+def _caseless(text: str, p: Permuter, tweak: bytes) -> str:
+    """Digits and letters permuted alike in either case; the places of capitals stay."""
+    new = p.characters(text.lower(), tweak, (_DIGITS, _LOWER))
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(text, new))
+
+
 def _email(text: str, p: Permuter) -> str:
+    """The name before the at sign, and the domain but for its last label, in either case alike."""
     local, _, domain = text.partition("@")
-    return p.characters(local, b"email") + "@" + domain
+    name, _, top = domain.rpartition(".")
+    return _caseless(local, p, b"email") + "@" + _caseless(name, p, b"domain") + "." + top
 
 
 def _secret(text: str, p: Permuter) -> str:
-    if text.startswith("AKIA"):
-        return "AKIA" + p.characters(text[4:], b"key", (_DIGITS + _UPPER,))
     if re.fullmatch(r"[0-9a-f]+", text):
         return p.characters(text, b"hex", (_HEX,))
-    return p.characters(text, b"password")
+    head = re.match(r"AKIA|ASIA|gh[pousr]_|github_pat_|(?:sk|pk|rk)_(?:live|test)_|sk-|glpat-|xox[abprs]-|AIza", text) or re.match(r"""[A-Za-z_-]+["']?\s?[=:]\s?["']?""", text)
+    cut = head.end() if head else 0
+    if text[:4] in ("AKIA", "ASIA"):
+        return text[:4] + p.characters(text[4:], b"key", (_DIGITS + _UPPER,))
+    return text[:cut] + p.characters(text[cut:], b"password")
 
 
-_KINDS: dict[str, Callable[[str, Permuter], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+def _ipv6(text: str, p: Permuter) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(p.number(value, 1 << 64, 1 << 64, b"ipv6"))) if value > 1 else None
+
+
+def _written(text: str, p: Permuter) -> str | None:
+    """Dates with the month's name, in the order and length of name they had."""
+    parts = text.replace(",", "").split(" ")
+    first = parts[0].isdigit()
+    name = parts[1 if first else 0]
+    month = next(i for i, m in enumerate(_MONTHS) if m.startswith(name[:3]))
+    try:
+        day = (datetime.date(int(parts[2]), month + 1, int(parts[0 if first else 1])) - _EPOCH).days
+    except ValueError:
+        return None
+    if not 0 <= day < _DAYS:
+        return None
+    new = _EPOCH + datetime.timedelta(p.below(day, _DAYS, b"date"))
+    said = _MONTHS[new.month - 1] if len(name) > 3 or name == "May" else _MONTHS[new.month - 1][:3]
+    return f"{new.day} {said} {new.year}" if first else f"{said} {new.day}, {new.year}"
+
+
+_KINDS: dict[str, Callable[[str, Permuter], str | None]] = {"email": _email, "secret": _secret, "iban": _iban, "ipv6": _ipv6, "written": _written, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def pseudonymize(text: str | None, p: Permuter) -> tuple[str | None, list[str]]:
@@ -241,12 +295,18 @@ def pseudonymize(text: str | None, p: Permuter) -> tuple[str | None, list[str]]:
     return "".join(out), found
 
 
-def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def secret_key(spark: SparkSession) -> bytes:
+    """The key that the session names in KEY_SETTING; where it names none, a fresh one, whose pseudonyms link inside one result only."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
+def pseudonyms(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``docs`` with its text pseudonymised, ``n_values`` (long) and ``kinds`` (sorted, distinct).
 
-    Card and bank numbers that pass their check sums, valid dates, addresses,
-    telephone and social security numbers, mail addresses and secrets are replaced by
-    keyed Feistel permutations within their format: equal values give equal
+    Card and bank numbers that pass their check sums, valid dates, internet addresses of both kinds,
+    telephone and social security numbers, mail addresses (domains too) and secrets are replaced by
+    keyed Feistel permutations within their format, and none stays what it was: equal values give equal
     pseudonyms in all documents, and check sums hold again.  Numbers that fail validation
     stay.  Null stays null, empty stays empty; other columns pass; columns named n_values or kinds give way.
     """

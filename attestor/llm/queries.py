@@ -108,7 +108,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_values", "kinds", "text")
+    return pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.secret_key(spark)).select("doc_id", "n_values", "kinds", "text")
 
 
 @query("op5_html_main_text")
