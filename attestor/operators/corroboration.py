@@ -9,102 +9,213 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.operators.graph import connected_components
-
-#: Weights of kinds of evidence (fixed values).
-EVIDENCE = {"none": 1.0, "official_statement": 1.5, "named_witness": 2.0, "unnamed_source": 0.5, "fir": 2.5, "video": 3.0, "court_record": 3.0}
+from attestor.plans.durable import durable
+
+#: Weights of kinds of evidence, and the bounds of the established rule (fixed values).
+EVIDENCE = {"fir": 3.0, "court_record": 3.0, "official_data": 3.0, "video": 3.0, "official_statement": 2.0, "named_witness": 1.5, "unnamed_source": 0.5, "none": 1.0}
+LEAST_OUTLETS, LEAST_ORIGINS, STANDS_HOURS, KEPT_WITHIN = 3, 2, 6, 2
+#: Attributions that mean the outlet itself, and those that name nobody (fixed values).
+OWN_WORDS = ["", "article", "the article", "report", "the report", "news report", "reporter", "correspondent", "this article", "outlet", "editorial", "our correspondent"]
+ANON_WORDS = [
+    "unnamed source", "unnamed sources", "source", "sources", "reports", "media reports", "unknown", "none", "people familiar", "insiders", "sources said", "a source", "social media", "viral video",
+    "anonymous", "reportedly", "it is said", "local media", "media", "media report", "report", "news reports", "witness", "witnesses", "eyewitness", "eyewitnesses", "named witness", "a witness", "locals",
+    "residents", "local residents", "villagers", "people", "family", "relatives", "officials", "an official", "official", "data", "official data", "records", "documents", "document", "video", "statement",
+    "a statement", "complaint", "fir", "audit", "survey", "study", "experts", "analysts", "observers", "critics", "supporters", "netizens", "users", "x users", "a post", "posts",
+]
+AGENCY_NAMES = {
+    "pti": "pti", "press trust of india": "pti", "ani": "ani", "asian news international": "ani", "ians": "ians", "indo-asian news service": "ians", "uni": "uni", "united news of india": "uni",
+    "reuters": "reuters", "afp": "afp", "agence france-presse": "afp", "ap": "ap", "associated press": "ap", "bhasha": "pti", "भाषा": "pti",
+}
+POOL_NAMES = ["एजेंसी", "agencies", "agency"]
+GOVERNMENT_KINDS = ["police", "government", "official", "ministry", "agency_gov"]
+POOL = "pool"
+#: Authors who are no named person, and what a dateline looks like (fixed values).
+GENERIC_AUTHOR = r"(?i)\b(staff|desk|bureau|team|news|web|correspondent|reporter|online|editor|agencies|agency|trending|digital|ht|toi|express|network)\b|संवाददाता|डेस्क|ब्यूरो|एजेंसी|टीम|न्यूज़|न्यूज"
+DATELINE = r"^\s*(?:[A-Z][A-Z.\- ]{2,28}(?:,\s*[A-Z][a-z]{2,8}\.?\s*\d{1,2}(?:,\s*\d{4})?)?\s*[:—–(]|[A-Z][a-z]+(?:\s[A-Z][a-z]+)?,\s*(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?\s*\d{1,2}\b)"
 STANCE = {"asserts": 1.0, "attributes": 0.5, "denies": -1.0}
 
 
-def mapped(column: str, values: dict[str, float]) -> Column:
+def mapped(column: str, values: dict[str, float], default: float | None = None) -> Column:
     """A lookup written as a CASE, which stays in generated code."""
-    return reduce(lambda acc, kv: acc.when(F.col(column) == kv[0], F.lit(kv[1])), list(values.items())[1:], F.when(F.col(column) == next(iter(values)), F.lit(next(iter(values.values())))))
+    cases = reduce(lambda acc, kv: acc.when(F.col(column) == kv[0], F.lit(kv[1])), list(values.items())[1:], F.when(F.col(column) == next(iter(values)), F.lit(next(iter(values.values())))))
+    return cases if default is None else cases.otherwise(F.lit(default))
+
 
+def plain_name(c: Column) -> Column:
+    """Lower case, one space between words, no punctuation at the ends; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"^[.,:;\"']+|[.,:;\"']+$", ""), r"\s+", " ")
 
-def independence_edges(rows: DataFrame, key: str, shared: list[str]) -> DataFrame:
-    """A star to the least id for every value of a shared attribute: linear in the rows, however hot the value."""
+
+def independence_edges(rows: DataFrame, node: str, shared: list[str], within: list[str]) -> DataFrame:
+    """A star to the least node for every value of a shared attribute: linear in the rows, however hot the value."""
     parts = []
     for c in shared:
-        known = rows.where(F.col(c).isNotNull()).select(F.col(key).alias("dst"), F.col(c).cast("string").alias("v"))
-        parts.append(known.join(known.groupBy("v").agg(F.min("dst").alias("src")), "v").select("src", "dst"))
+        known = rows.where(F.col(c).isNotNull()).select(*within, F.col(node).alias("dst"), F.col(c).cast("string").alias("v"))
+        parts.append(known.join(known.groupBy(*within, "v").agg(F.min("dst").alias("src")), [*within, "v"]).select("src", "dst"))
     return reduce(DataFrame.unionByName, parts).where("src <> dst").distinct()
 
 
-def independence_groups(rows: DataFrame, key: str, shared: list[str], government: str = "government") -> DataFrame:
-    """``(key, grp)``: rows that share any attribute are one group ``g<least id>``; a state voice in it names it ``gov:<x>``."""
-    parts = connected_components(independence_edges(rows, key, shared))
-    joined = rows.select(key, government).join(parts.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("component", F.col(key)))
-    state = joined.where(F.col(government).isNotNull()).groupBy("root").agg(F.max_by(government, key).alias("gov"))
-    name = F.coalesce(F.concat(F.lit("gov:"), F.col("gov")), F.concat(F.lit("g"), F.col("root").cast("string")))
-    return joined.join(state, "root", "left").select(key, name.alias("grp"))
+def independence_groups(rows: DataFrame, key: str, shared: list[str], government: str = "government", within: list[str] | None = None) -> DataFrame:
+    """``(within, key, grp)``: rows that share any attribute are one group ``g<least id>``; a state voice in it names it ``gov:<x>``.
+
+    Groups are formed inside each value of ``within`` (a story); a row is named there by
+    the hash of both, so one pass of connected components serves all stories.
+    """
+    within = within or []
+    at = durable(rows.select(*within, key, government, *[c for c in shared if c != government], F.xxhash64(*within, key).alias("__node")), "independence")
+    parts = connected_components(independence_edges(at, "__node", shared, within))
+    joined = at.select(*within, key, government, "__node").join(parts.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__root", F.coalesce("component", "__node"))
+    known = F.col(government).isNotNull()
+    names = joined.groupBy("__root").agg(F.min(key).alias("__least"), F.max_by(F.when(known, F.col(government)), F.when(known, F.col(key))).alias("__gov"))
+    name = F.coalesce(F.concat(F.lit("gov:"), F.lower("__gov")), F.concat(F.lit("g"), F.col("__least").cast("string")))
+    return joined.join(names, "__root").select(*within, key, name.alias("grp"))
+
+
+def _article_keys(groups: DataFrame) -> list[str]:
+    return [c for c in ("story_id", "article_id") if c in groups.columns]
+
 
+def support_summary(claims: DataFrame, groups: DataFrame, perspectives: DataFrame | None = None, statement: str = "canonical_id") -> DataFrame:
+    """Per statement: the groups on either side, the weight in support (the best row of each group counts), perspectives, articles.
 
-def support_summary(claims: DataFrame, groups: DataFrame, statement: str = "canonical_id") -> DataFrame:
-    """Per statement: weights for and against (the best row of each group counts), groups on either side, articles."""
-    w = mapped("evidence", EVIDENCE) * F.when(F.col("stance") == "attributes", 0.5).otherwise(1.0)
-    rows = claims.join(groups, "article_id").withColumn("weight", w).withColumn("side", F.when(F.col("stance") == "denies", "against").otherwise("for"))
-    best = rows.groupBy(statement, "side", "grp").agg(F.max("weight").alias("weight"))
+    State voices add weight but are no supporting group.  ``perspectives`` is (story_id, grp, perspective).
+    """
+    w = mapped("evidence", EVIDENCE, 1.0) * F.when(F.col("stance") == "attributes", 0.5).otherwise(1.0)
+    rows = claims.join(groups, _article_keys(groups)).withColumn("weight", w).withColumn("against", F.col("stance") == "denies")
+    best = rows.groupBy("story_id", statement, "against", "grp").agg(F.max("weight").alias("weight"))
+    best = best.join(perspectives, ["story_id", "grp"], "left") if perspectives is not None else best.withColumn("perspective", F.lit(None).cast("string"))
     state = F.col("grp").startswith("gov:")
+    named = lambda cond, c: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col(c)))), ",")
     sums = best.groupBy(statement).agg(
-        F.coalesce(F.sum(F.when(F.col("side") == "for", F.col("weight"))), F.lit(0.0)).alias("support"),
-        F.coalesce(F.sum(F.when(F.col("side") == "against", F.col("weight"))), F.lit(0.0)).alias("denial"),
-        F.array_join(F.array_sort(F.collect_set(F.when((F.col("side") == "for") & ~state, F.col("grp")))), ",").alias("supporters"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("side") == "against", F.col("grp")))), ",").alias("deniers"),
+        F.round(F.coalesce(F.sum(F.when(~F.col("against"), F.col("weight"))), F.lit(0.0)), 2).alias("support_weight"),
+        named(~F.col("against") & ~state, "grp").alias("support_groups"),
+        named(F.col("against"), "grp").alias("deny_groups"),
+        named(~F.col("against"), "perspective").alias("support_perspectives"),
+        named(F.col("against"), "perspective").alias("deny_perspectives"),
     )
     return sums.join(rows.groupBy(statement).agg(F.count_distinct("article_id").alias("n_articles")), statement)
 
 
 def independent_count(claims: DataFrame, groups: DataFrame, statement: str = "canonical_id") -> DataFrame:
     """Distinct groups behind a statement that are no state voices."""
-    return claims.join(groups, "article_id").groupBy(statement).agg(F.count_distinct(F.when(~F.col("grp").startswith("gov:"), F.col("grp"))).alias("independent"))
+    return claims.join(groups, _article_keys(groups)).groupBy(statement).agg(F.count_distinct(F.when(~F.col("grp").startswith("gov:"), F.col("grp"))).alias("independent"))
 
 
-def origin_key(kind: Column, outlet: Column) -> Column:
-    """Where a report comes from: own work, an agency, a named source, or the pool of anonymous ones."""
+def attribution_key(raw: Column, name: Column, kind: Column, government: Column, outlet_owner: Column) -> Column:
+    """Whom an attribution names: OWN (the outlet's own voice), pool (nobody), agency:, outlet:, gov:, court: or src:.
+
+    ``name``, ``kind`` and ``government`` are what is known of the source (null kind: nothing, which
+    is the pool), ``outlet_owner`` the owner if the name is an outlet.
+    """
+    n, known = plain_name(raw), plain_name(F.coalesce(name, raw))
+    agency = lambda x: reduce(lambda acc, kv: acc.when(x == kv[0], F.lit("agency:" + kv[1])), AGENCY_NAMES.items(), F.when(x.isin(POOL_NAMES), F.lit(POOL)))
+    gov = F.concat(F.lit("gov:"), plain_name(government))
     return (
-        F.when(kind == "article", F.concat(F.lit("OWN:"), outlet))
-        .when(kind.isin("PTI", "ANI", "Reuters", "AP", "AFP"), F.concat(F.lit("agency:"), F.lower(kind)))
-        .when(kind.isin("sources", "officials", "reports"), F.lit("POOL"))
-        .when(kind == "police", F.lit("gov:police"))
-        .otherwise(F.concat(F.lit("src:"), F.lower(kind)))
+        F.when(n.isin(OWN_WORDS), F.lit("OWN"))
+        .when(n.isin(ANON_WORDS) | n.rlike("^(unnamed|anonymous|sources )"), F.lit(POOL))
+        .when(agency(n).isNotNull(), agency(n))
+        .when(kind.isNull() | (kind == "anonymous") | (known == ""), F.lit(POOL))
+        .when(agency(known).isNotNull(), agency(known))
+        .when(outlet_owner.isNotNull(), F.concat(F.lit("outlet:"), plain_name(outlet_owner)))
+        .when(kind.isin(GOVERNMENT_KINDS), F.when(government.isNotNull(), gov).otherwise(POOL))
+        .when(government.isNotNull(), gov)
+        .when(kind == "court", F.concat(F.lit("court:"), known))
+        .otherwise(F.concat(F.lit("src:"), known))
+    )
+
+
+def original_articles(articles: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(story_id, article_id, original)``: a named author, no agency, and a dateline or two first reports and one of its own.
+
+    ``firsts`` has firsts and soles by story and article.
+    """
+    author = F.trim(F.coalesce("author", F.lit("")))
+    named = (author != "") & (F.length(author) <= 60) & ~author.rlike(GENERIC_AUTHOR) & (plain_name(author) != plain_name(F.col("outlet")))
+    own = F.coalesce("text", F.lit("")).rlike(DATELINE) | ((F.coalesce("firsts", F.lit(0)) >= 2) & (F.coalesce("soles", F.lit(0)) >= 1))
+    return articles.join(firsts, ["story_id", "article_id"], "left").select("story_id", "article_id", (F.col("agency").isNull() & named & own).alias("original"))
+
+
+def claim_origins(claims: DataFrame, articles: DataFrame, original: DataFrame, attributions: DataFrame, outlets: DataFrame) -> DataFrame:
+    """``claims`` with the article's columns and ``origin``: who knew it by their own means.
+
+    An article's own voice counts if the article is original; state media speak for their
+    government, wire copies for the agency; "X reported" counts if X has an original article in the story.  ``outlets`` (outlet, owner) are all that are known.
+    """
+    owner = plain_name(F.col("owner"))
+    told = articles.join(original, ["story_id", "article_id"])
+    own_work = told.where("original").select(F.col("story_id").alias("__story"), owner.alias("__worked")).distinct()
+    names = outlets.groupBy(plain_name(F.col("outlet")).alias("__name")).agg(F.min("owner").alias("__outlet_owner"))
+    known = attributions.withColumn("__name", plain_name(F.coalesce("name", "attributed_to"))).join(names, "__name", "left")
+    keys = known.select("attributed_to", attribution_key(F.col("attributed_to"), F.col("name"), F.col("kind"), F.col("source_government"), F.col("__outlet_owner")).alias("__key"))
+    rows = claims.join(told, ["story_id", "article_id"]).join(keys, "attributed_to", "left").withColumn("__key", F.coalesce("__key", F.lit("OWN")))
+    rows = rows.withColumn("__other", F.when(F.col("__key").startswith("outlet:"), F.substring("__key", 8, 1000)))
+    rows = rows.join(own_work, (F.col("story_id") == F.col("__story")) & (F.col("__other") == F.col("__worked")), "left").drop("__story")
+    own = (
+        F.when(F.col("government").isNotNull(), F.concat(F.lit("gov:"), plain_name(F.col("government"))))
+        .when(F.col("agency").isNotNull(), F.concat(F.lit("agency:"), plain_name(F.col("agency"))))
+        .when(F.col("original"), F.concat(F.lit("own:"), owner))
+        .otherwise(POOL)
     )
+    origin = F.when(F.col("__other").isNotNull(), F.coalesce(F.concat(F.lit("own:"), F.col("__worked")), F.lit(POOL))).when(F.col("__key") == "OWN", own).otherwise(F.col("__key"))
+    return rows.withColumn("origin", origin).drop("__key", "__other", "__worked")
 
 
-def statement_origins(claims: DataFrame, outlets: DataFrame, statement: str = "canonical_id") -> DataFrame:
-    """Origins of the supporting rows of each statement: the sorted list, the count without POOL, outlets and the first report."""
-    rows = claims.where("stance <> 'denies'").join(outlets, "article_id").withColumn("origin", origin_key(F.col("attributed_to"), F.col("outlet")))
+def statement_origins(origins: DataFrame, groups: DataFrame, statement: str = "canonical_id") -> DataFrame:
+    """Of the supporting rows of each statement: sorted origins, their number without the pool, independent outlets that were read, first report."""
+    rows = origins.where(F.col("stance").isin("asserts", "attributes")).join(groups, _article_keys(groups))
+    read = F.col("text_source") != "summary"
     return rows.groupBy(statement).agg(
         F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"),
-        F.count_distinct(F.when(F.col("origin") != "POOL", F.col("origin"))).alias("n_origins"),
-        F.count_distinct("outlet").alias("n_outlets"),
-        F.min("t_start").alias("first_seen"),
+        F.count_distinct(F.when(F.col("origin") != POOL, F.col("origin"))).alias("n_origins"),
+        F.count_distinct(F.when(read & ~F.col("grp").startswith("gov:"), F.col("grp"))).alias("n_outlets"),
+        F.min("published_at").alias("first_seen"),
     )
 
 
-def first_and_sole(claims: DataFrame, statement: str = "canonical_id") -> DataFrame:
+def first_and_sole(claims: DataFrame, at: str = "t_start", statement: str = "canonical_id", keys: list[str] | None = None) -> DataFrame:
     """Per article: statements that it reported first (ties to the least id) and that it alone reports."""
-    per = claims.groupBy(statement).agg(F.min(F.struct("t_start", "article_id")).alias("f"), F.count_distinct("article_id").alias("n"), F.min("article_id").alias("one"))
-    firsts = per.groupBy(F.col("f.article_id").alias("article_id")).agg(F.count(F.lit(1)).alias("firsts"))
-    soles = per.where("n = 1").groupBy(F.col("one").alias("article_id")).agg(F.count(F.lit(1)).alias("soles"))
-    return claims.select("article_id").distinct().join(firsts, "article_id", "left").join(soles, "article_id", "left").select("article_id", F.coalesce("firsts", F.lit(0)).alias("firsts"), F.coalesce("soles", F.lit(0)).alias("soles"))
-
-
-def base_verdict(summary: DataFrame, counts: DataFrame, origins: DataFrame, statement: str = "canonical_id") -> DataFrame:
-    """disputed, corroborated (3 groups and 2 origins), developing (2 groups) or unverified."""
-    rows = summary.join(counts, statement).join(origins.select(statement, "n_origins"), statement, "left")
-    verdict = (
-        F.when((F.col("denial") > 0) & (F.col("denial") * 2 >= F.col("support")), "disputed")
-        .when((F.col("independent") >= 3) & (F.coalesce("n_origins", F.lit(0)) >= 2), "corroborated")
-        .when(F.col("independent") >= 2, "developing")
-        .otherwise("unverified")
+    keys = keys or ["article_id"]
+    per = claims.groupBy(statement).agg(F.min(F.struct(F.col(at).alias("at"), "article_id", *[k for k in keys if k != "article_id"])).alias("f"), F.count_distinct("article_id").alias("n"))
+    firsts = per.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("firsts"), F.count_if(F.col("n") == 1).alias("soles"))
+    return claims.select(*keys).distinct().join(firsts, keys, "left").select(*keys, F.coalesce("firsts", F.lit(0)).alias("firsts"), F.coalesce("soles", F.lit(0)).alias("soles"))
+
+
+def base_verdict(support: DataFrame, origins: DataFrame, statements: DataFrame, conflicts: DataFrame, now: Column) -> DataFrame:
+    """``(canonical_id, verdict, met_at)`` by the established rule.
+
+    A statement that some groups support and some deny, or that contradicts a supported one, is
+    disputed.  Otherwise it needs support, no conflict of names, LEAST_OUTLETS independent outlets that were read,
+    LEAST_ORIGINS origins, to be checkable, and in a story with global sides two of them.  From the moment that all holds it is
+    developing, and corroborated once it has stood STANDS_HOURS; what does not hold is unverified and
+    loses its clock.  A checked verdict (false, confirmed) stays while the number of articles moved by KEPT_WITHIN at most.
+
+    ``statements``: canonical_id, checkable, met_at, name_conflict, mode, old_verdict, checked_members; ``conflicts``: canonical_id, other.
+    """
+    supported = support.where("support_groups <> ''").select(F.col("canonical_id").alias("other"))
+    live = conflicts.join(supported, "other").select("canonical_id").distinct().withColumn("__live", F.lit(True))
+    rows = statements.join(support, "canonical_id").join(origins.select("canonical_id", "n_origins", "n_outlets"), "canonical_id", "left").join(live, "canonical_id", "left")
+    has = F.col("support_groups") != ""
+    contested = (has & (F.col("deny_groups") != "")) | F.coalesce("__live", F.lit(False))
+    sides = F.when(F.col("support_perspectives") == "", 0).otherwise(F.size(F.split("support_perspectives", ",")))
+    rule = (
+        (F.coalesce("n_outlets", F.lit(0)) >= LEAST_OUTLETS)
+        & (F.coalesce("n_origins", F.lit(0)) >= LEAST_ORIGINS)
+        & F.coalesce("checkable", F.lit(False))
+        & ~((F.coalesce("mode", F.lit("")) == "global") & (sides < 2))
     )
-    return rows.select(statement, verdict.alias("verdict"))
-
-
-def story_qualifies(claims: DataFrame, groups: DataFrame, outlets: DataFrame, least_groups: int = 3, least_origins: int = 2) -> DataFrame:
-    """Stories with enough independent groups and distinct origins that are not the pool."""
-    rows = claims.join(groups, "article_id").join(outlets.select("article_id", "outlet"), "article_id").withColumn("origin", origin_key(F.col("attributed_to"), F.col("outlet")))
-    agg = rows.groupBy("story_id").agg(
-        F.count_distinct(F.when(~F.col("grp").startswith("gov:"), F.col("grp"))).alias("n_groups"), F.count_distinct(F.when(F.col("origin") != "POOL", F.col("origin"))).alias("n_origins")
+    meets = ~contested & has & rule & ~F.coalesce("name_conflict", F.lit(False))
+    rows = rows.withColumn("__meets", meets).withColumn("__contested", contested).withColumn("__met", F.when(meets, F.coalesce("met_at", now)))
+    stood = F.unix_timestamp(now) - F.unix_timestamp("__met") >= STANDS_HOURS * 3600
+    fresh = F.when(F.col("__contested"), "disputed").when(F.col("__meets") & stood, "corroborated").when(F.col("__meets"), "developing").otherwise("unverified")
+    keep = F.coalesce(F.col("old_verdict").isin("false", "confirmed") & (F.abs(F.coalesce("checked_members", F.lit(0)) - F.col("n_articles")) <= KEPT_WITHIN), F.lit(False))
+    return rows.select("canonical_id", F.when(keep, F.col("old_verdict")).otherwise(fresh).alias("verdict"), F.col("__met").alias("met_at"))
+
+
+def story_qualifies(origins: DataFrame, groups: DataFrame, least_groups: int = LEAST_OUTLETS, least_origins: int = LEAST_ORIGINS) -> DataFrame:
+    """Stories with enough independent outlets that were read, and enough distinct origins that are not the pool."""
+    read = F.col("text_source") != "summary"
+    agg = origins.join(groups, _article_keys(groups)).groupBy("story_id").agg(
+        F.count_distinct(F.when(read & ~F.col("grp").startswith("gov:"), F.col("grp"))).alias("n_groups"), F.count_distinct(F.when(F.col("origin") != POOL, F.col("origin"))).alias("n_origins")
     )
     return agg.withColumn("qualifies", (F.col("n_groups") >= least_groups) & (F.col("n_origins") >= least_origins))
 

@@ -10,57 +10,103 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import shingle_set, words
 from attestor.operators.graph import connected_components
-from attestor.plans.durable import durable
+from attestor.plans.durable import checkpointed, durable, small
 
 
-def shingle_classes(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
-    """``(rep, n, sh)``: each distinct shingle set once, with its least key and its number of rows."""
-    s = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("__t")).select("id", F.array_sort(shingle_set(F.col("__t"), k)).alias("sh"))
-    return s.groupBy(F.md5(F.to_json("sh")).alias("set")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sh").alias("sh")).drop("set")
+def shingle_chains(docs: DataFrame, key: str, text: str, at: str, hours: int = 72, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the same shingles, as ``(sets, chains, members)``.
+
+    ``sets`` is (set, sh): each distinct set of hashed shingles once.  A chain is a run of rows of one set, none more than ``hours``
+    after the one before: ``chains`` is (set, chain, first_at, last_at), named by its first row, and ``members`` is (key, set, chain).
+    Rows without a time stand alone.
+    """
+    hashed = F.array_sort(F.transform(shingle_set(F.col("__t"), k), lambda x: F.xxhash64(x)))
+    rows = docs.select(F.col(key).alias("id"), F.col(at).alias("at"), words(F.coalesce(F.col(text), F.lit(""))).alias("__t")).select("id", "at", hashed.alias("sh"))
+    rows = rows.withColumn("set", F.struct(F.xxhash64("sh").alias("x"), F.xxhash64(F.lit(k), "sh").alias("y")))
+    sets = durable(rows.groupBy("set").agg(F.first("sh").alias("sh")), "shingles")
+    order = W.partitionBy("set").orderBy("at", "id")
+    begins = F.coalesce(F.unix_micros("at") - F.unix_micros(F.lag("at").over(order)) > hours * 3600 * 1_000_000, F.lit(True))
+    head = F.max(F.when(F.col("begins"), F.struct("at", "id"))).over(order.rowsBetween(W.unboundedPreceding, 0))
+    members = durable(rows.drop("sh").withColumn("begins", begins).withColumn("chain", head["id"]).select("id", "at", "set", "chain"), "members")
+    chains = members.groupBy("set", "chain").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return sets, chains, members.select(F.col("id").alias(key), "set", "chain")
 
 
-def near_pairs(docs: DataFrame, key: str = "article_id", text: str = "text", threshold: float = 0.45, k: int = 5) -> DataFrame:
-    """``(a, b, similarity)`` for representatives of distinct shingle sets with Jaccard at the threshold or above.
+def near_sets(sets: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """``(a, b, similarity)`` in both directions for distinct shingle sets with Jaccard at the threshold or above.
 
     Exact, by prefix filtering: with the shingles of each set in ascending order of
     their frequency, two sets that reach the threshold share a shingle among the
     first |s| - ceil(t |s|) + 1 of each.  So frequent shingles (a notice in a third of
-    all texts) make no candidates.  Copies stand behind one representative.
+    all texts) make no candidates.
     """
-    sets = durable(shingle_classes(docs, key, text, k), "shingles")
-    each = sets.select("rep", F.size("sh").alias("size"), F.explode("sh").alias("s"))
+    named = durable(sets.select(F.col("set.x").alias("rep"), "set", "sh"), "named")
+    each = named.select("set", F.size("sh").alias("size"), F.explode("sh").alias("s"))
     df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     shared = each.join(df.where("df > 1"), "s")
     # shingles of a single set come first in the order and take up places of the prefix
-    alone = sets.select("rep", F.size("sh").alias("size")).join(shared.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "rep").withColumn("single", F.col("size") - F.col("m"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "s"))
-    prefix = shared.join(alone.select("rep", "single"), "rep").withColumn("place", place + F.col("single")).where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
-    p = durable(prefix.select("rep", "size", "s"), "prefixes")
-    q = p.select(F.col("rep").alias("other"), F.col("size").alias("other_size"), "s")
-    cand = p.join(q, "s").where((F.col("rep") < F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))).select("rep", "other").distinct()
-    both = cand.join(sets.select("rep", F.col("sh").alias("x")), "rep").join(sets.select(F.col("rep").alias("other"), F.col("sh").alias("y")), "other")
+    alone = named.select("set", F.size("sh").alias("size")).join(shared.groupBy("set").agg(F.count(F.lit(1)).alias("m")), "set").withColumn("single", F.col("size") - F.col("m"))
+    place = F.row_number().over(W.partitionBy("set").orderBy("df", "s"))
+    prefix = shared.join(alone.select("set", "single"), "set").withColumn("place", place + F.col("single")).where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
+    p = durable(prefix.select("set", "size", "s"), "prefixes")
+    q = p.select(F.col("set").alias("other"), F.col("size").alias("other_size"), "s")
+    cand = p.join(q, "s").where((F.col("set") < F.col("other")) & (F.least("size", "other_size") >= F.lit(threshold) * F.greatest("size", "other_size"))).select("set", "other").distinct()
+    both = cand.join(named.select("set", F.col("sh").alias("x")), "set").join(named.select(F.col("set").alias("other"), F.col("sh").alias("y")), "other")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select(F.col("rep").alias("a"), F.col("other").alias("b"), (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    found = durable(both.select("set", "other", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold), "near")
+    return found.select(F.col("set").alias("a"), F.col("other").alias("b"), "similarity").unionByName(found.select(F.col("other").alias("a"), F.col("set").alias("b"), "similarity"))
+
+
+def _near_chains(chains: DataFrame, near: DataFrame, hours: int) -> DataFrame:
+    """``(chain, other, similarity, ...)``: chains of similar sets that come within ``hours`` of each other."""
+    one = chains.select(F.col("set").alias("a"), "chain", "first_at", "last_at")
+    two = chains.select(F.col("set").alias("b"), F.col("chain").alias("other"), F.col("first_at").alias("other_first"), F.col("last_at").alias("other_last"))
+    reach = F.expr(f"INTERVAL {hours} HOURS")
+    return near.join(one, "a").join(two, "b").where((F.col("other_first") <= F.col("last_at") + reach) & (F.col("other_last") >= F.col("first_at") - reach))
+
+
+def near_dup_classes(docs: DataFrame, key: str = "article_id", text: str = "text", at: str = "published_at", threshold: float = 0.45, hours: int = 72) -> DataFrame:
+    """``(key, class_id, copies, n_links)`` for every row.
+
+    A class is a chain of rows with the same shingles, each within ``hours`` of the next, named by its first row; ``copies`` are its rows and
+    ``n_links`` the classes of other texts at the threshold or above that come within ``hours`` of it.
+    """
+    sets, chains, members = shingle_chains(docs, key, text, at, hours)
+    chains = durable(chains, "chains")
+    links = _near_chains(chains, near_sets(sets, threshold), hours).groupBy("chain").agg(F.count(F.lit(1)).alias("n_links"))
+    per = chains.select("chain", "n").join(links, "chain", "left")
+    return members.join(per, "chain").select(key, F.col("chain").alias("class_id"), F.col("n").alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
 
+def wire_groups(docs: DataFrame, key: str = "article_id", text: str = "text", at: str = "published_at", threshold: float = 0.45, hours: int = 72) -> DataFrame:
+    """``(key, wire_group)`` for every row: it joins the group of its most similar earlier row within ``hours``, the earliest on a tie, or founds its own.
 
-def chain_roots(parents: DataFrame, node: str, parent: str, max_rounds: int = 40) -> DataFrame:
-    """``(node, root)``: the end of every parent chain, by pointer doubling; parents come before their children."""
-    from attestor.plans.durable import checkpointed
+    A copy follows the copy before it, so the parent is sought once for each chain of copies, among the chains that are
+    under way in the ``hours`` before its first row; the root of the parents names the group.
+    """
+    sets, chains, members = shingle_chains(docs, key, text, at, hours)
+    chains = durable(chains, "chains")
+    found = _near_chains(chains, near_sets(sets, threshold), hours)
+    earlier = found.where(((F.col("other_first") < F.col("first_at")) | ((F.col("other_first") == F.col("first_at")) & (F.col("other") < F.col("chain")))) & (F.col("other_last") >= F.col("first_at") - F.expr(f"INTERVAL {hours} HOURS")))
+    best = earlier.groupBy("chain").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "other_first", "other")).alias("best"))
+    roots = chain_roots(chains.select("chain").join(best.select("chain", F.col("best.other").alias("parent")), "chain", "left"), "chain", "parent")
+    return members.join(roots, "chain").select(key, F.col("root").alias("wire_group"))
+
+
+def chain_roots(parents: DataFrame, node: str, parent: str) -> DataFrame:
+    """``(node, root)``: the end of every parent chain, by pointer doubling, until nothing moves: n hops take log2(n) rounds.
 
+    Nodes of a cycle never end; what still moves after as many rounds as the longest chain could take has no root (null).
+    """
     p = checkpointed(parents.select(F.col(node).alias("n"), F.coalesce(F.col(parent), F.col(node)).alias("p")))
-    for _ in range(max_rounds):
+    for _ in range(p.count().bit_length() + 1):
         up = p.select(F.col("n").alias("p"), F.col("p").alias("g"))
         q = checkpointed(p.join(up, "p", "left").select("n", F.coalesce("g", "p").alias("q"), (F.coalesce("g", "p") != F.col("p")).alias("moved")))
         p = q.select("n", F.col("q").alias("p"))
         if q.where("moved").isEmpty():
             return p.select(F.col("n").alias(node), F.col("p").alias("root"))
-    raise RuntimeError("parent chains do not end")
-
-
-def wire_groups(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Each row joins its most similar earlier row (the least on a tie); the root of that chain names the group."""
-    best = pairs.groupBy(F.col("b").alias(key)).agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("parent"))
-    return chain_roots(rows.select(key).join(best, key, "left"), key, "parent").withColumnRenamed("root", "wire_group")
+    up = p.select(F.col("n").alias("p"), F.col("p").alias("g"))
+    return p.join(up, "p", "left").select(F.col("n").alias(node), F.when(F.col("g") == F.col("p"), F.col("p")).alias("root"))
 
 
 def owner_resolve(rows: DataFrame, owners: DataFrame, name: str, host: Column) -> DataFrame:
@@ -68,11 +114,11 @@ def owner_resolve(rows: DataFrame, owners: DataFrame, name: str, host: Column) -
     plain = lambda c: F.regexp_replace(F.lower(c), r"^the |[^a-z0-9]", "")
     by_name = owners.select(F.col("name").alias("__n1"), F.col("owner").alias("__o1"))
     by_plain = owners.groupBy(plain(F.col("name")).alias("__n2")).agg(F.min("owner").alias("__o2"))
-    x = rows.join(F.broadcast(by_name), F.col(name) == F.col("__n1"), "left").join(F.broadcast(by_plain), plain(F.col(name)) == F.col("__n2"), "left").withColumn("__host", host)
+    x = rows.join(small(by_name), F.col(name) == F.col("__n1"), "left").join(small(by_plain), plain(F.col(name)) == F.col("__n2"), "left").withColumn("__host", host)
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     doms = owners.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.min("owner").alias("__o3"))
-    hit = x.select("__host").distinct().withColumn("domain", F.explode(suffixes)).join(F.broadcast(doms), "domain").groupBy("__host").agg(F.max_by("__o3", F.length("domain")).alias("__o3"))
+    hit = x.select("__host").distinct().withColumn("domain", F.explode(suffixes)).join(small(doms), "domain").groupBy("__host").agg(F.max_by("__o3", F.length("domain")).alias("__o3"))
     return x.join(hit, "__host", "left").withColumn("owner", F.coalesce("__o1", "__o2", "__o3", F.col(name))).drop("__n1", "__o1", "__n2", "__o2", "__o3", "__host")
 
 
@@ -101,15 +147,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, group: str, key: str, at:
     return both.select(group, F.col("__k").alias(key), pick.alias(value))
 
 
-def cosine_topk(queries: DataFrame, base: DataFrame, key: str = "article_id", vector: str = "embedding", k: int = 40, blocks: int = 16) -> DataFrame:
+def cosine_topk(queries: DataFrame, base: DataFrame, key: str = "article_id", vector: str = "embedding", k: int = 40, block_rows: int = 4096) -> DataFrame:
     """The k most similar rows of ``base`` for every query, exact, by blocks.
 
-    Queries are dealt to ``blocks`` groups and every group visits every block of the base: a
-    block pair is one matrix product in an Arrow task and leaves its own top k, which
-    a window then merges.
+    Both sides are dealt to blocks of about ``block_rows`` rows, counted first, and every pair of
+    blocks meets: it is one matrix product in an Arrow task and leaves its own top k, which
+    a window then merges.  So a task holds two blocks at any size of the tables.
     """
-    q = queries.select(F.lit(1).alias("side"), F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = base.select(F.lit(0).alias("side"), F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    n_q, n_b = (max(1, -(-df.count() // block_rows)) for df in (queries, base))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    q = queries.select(F.lit(1).alias("side"), F.col(key).alias("id"), F.col(vector).alias("v"), dealt(n_q).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = base.select(F.lit(0).alias("side"), F.col(key).alias("id"), F.col(vector).alias("v"), dealt(n_b).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     rows = q.select("side", "id", "v", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).unionByName(b.select("side", "id", "v", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,23 +186,18 @@ def story_threads(links: DataFrame, child: str = "child_id", parent: str = "pare
     return chain_roots(nodes, "n", "p")
 
 
-def components_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    return connected_components(pairs, a, b)
-
+def ancestors(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """``(node, ancestor, hops)``: every ancestor of every node with the fewest hops to it, however deep the links go.
 
-def ancestors(links: DataFrame, child: str, parent: str, max_hops: int = 40) -> DataFrame:
-    """``(node, ancestor, hops)``: every ancestor of every node, hop by hop; a cycle raises."""
-    from attestor.plans.durable import checkpointed
-
-    step = links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+    Each round adds the pairs not known yet, so a cycle ends too (its nodes are ancestors of themselves).
+    """
+    step = checkpointed(links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
     up = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
-    layers = [checkpointed(step.withColumn("hops", F.lit(1)))]
-    for hop in range(2, max_hops + 1):
-        layer = checkpointed(layers[-1].join(up, "ancestor").select("node", F.col("__next").alias("ancestor"), F.lit(hop).alias("hops")).distinct())
-        if layer.isEmpty():
-            out = layers[0]
-            for x in layers[1:]:
-                out = out.unionByName(x)
-            return out
-        layers.append(layer)
-    raise RuntimeError("the links are deeper than max_hops or have a cycle")
+    known = layer = checkpointed(step.withColumn("hops", F.lit(1)))
+    hop = 1
+    while not layer.isEmpty():
+        hop += 1
+        further = layer.join(up, "ancestor").select("node", F.col("__next").alias("ancestor")).distinct()
+        layer = checkpointed(further.join(known, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
+        known = checkpointed(known.unionByName(layer))
+    return known

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attestor.operators.graph import connected_components
 from attestor.operators.intake import first_by
 
 
@@ -80,19 +84,52 @@ def two_sided(pairs: DataFrame, story: str = "story_id") -> DataFrame:
     return pairs.select(story, "a", "b", "value").groupBy(story).applyInPandas(split, f"{story} long, unit string, side long")
 
 
-def timeline_tiers(rows: DataFrame, edges: DataFrame, story: str, key: str, max_depth: int = 64) -> DataFrame:
-    """Layer of every event of an acyclic order: the longest path to it, grown layer by layer until nothing moves."""
-    from attestor.plans.durable import checkpointed
+def timeline_tiers(events: DataFrame, story: str = "story_id", key: str = "canonical_id", start: str = "t_start", end: str = "t_end") -> DataFrame:
+    """``(story, key, tier)``: the longest chain of events before each, where a comes before b if it ends before b starts.
 
-    nodes = checkpointed(rows.select(story, key).distinct().withColumn("tier", F.lit(0)))
-    links = checkpointed(edges.select(story, "a", "b").distinct())
-    for _ in range(max_depth):
-        pushed = links.join(nodes.select(F.col(key).alias("a"), "tier"), "a").groupBy("b").agg((F.max("tier") + 1).alias("__t"))
-        grown = checkpointed(nodes.join(pushed, F.col(key) == F.col("b"), "left").select(story, key, F.greatest("tier", F.coalesce("__t", F.lit(0))).alias("tier"), (F.coalesce("__t", F.lit(0)) > F.col("tier")).alias("moved")))
-        nodes = grown.drop("moved")
-        if grown.where("moved").isEmpty():
-            return nodes
-    raise RuntimeError("the order has a cycle or is deeper than max_depth")
+    The longest chain that ends before a moment takes the earliest end, then the earliest end among
+    what starts after it, and so on.  One pass over the events of a story in order of their ends finds these
+    moments, holding the last of them; the tier is how many lie before the start.  Stories are sorted, never gathered.
+    Events without a start or an end have no tier (null).
+    """
+    known = events.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    dated = known.select(F.col(story).alias("s"), F.unix_micros(F.col(start)).alias("a"), F.unix_micros(F.col(end)).alias("b")).repartition("s").sortWithinPartitions("s", "b", "a")
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, n = None, 0, 0
+        for batch in batches:
+            found = []
+            for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != at or a > last:
+                    at, last, n = s, b, 1 if s != at else n + 1
+                    found.append((s, b, n))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["s", "b", "n"])
+
+    chain = dated.mapInArrow(moments, "s long, b long, n long")
+    rows = known.select(F.col(story).alias("s"), F.col(key).alias("k"), F.unix_micros(F.col(start)).alias("b"), F.lit(None).cast("long").alias("n")).unionByName(chain.select("s", F.lit(None).cast("long").alias("k"), "b", "n"))
+    before = F.max("n").over(W.partitionBy("s").orderBy("b").rangeBetween(W.unboundedPreceding, -1))
+    tiers = rows.select("s", "k", "n", F.coalesce(before, F.lit(0)).alias("tier")).where("n IS NULL")
+    undated = events.where(F.col(start).isNull() | F.col(end).isNull()).select(F.col(story).alias("s"), F.col(key).alias("k"), F.lit(None).cast("long").alias("tier"))
+    return tiers.select("s", "k", "tier").unionByName(undated).select(F.col("s").alias(story), F.col("k").alias(key), F.col("tier"))
+
+
+def merge_statements(claims: DataFrame, same: DataFrame, apart: DataFrame, statement: str = "canonical_id") -> DataFrame:
+    """``claims`` repointed to the best statement of each same-fact group: the most articles, then the longest text, then the least id.
+
+    ``same`` and ``apart`` have pairs (a, b): what is said to be the same fact, and disputes or updates, which are never merged.
+    A merged statement is an event if any of its own was.
+    """
+    either = apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    allowed = same.join(either, ["a", "b"], "left_anti")
+    groups = connected_components(allowed, "a", "b").withColumnRenamed("node", statement)
+    stats = claims.groupBy(statement).agg(F.count_distinct("article_id").alias("__n"), F.max(F.length("text")).alias("__len"))
+    placed = stats.join(groups, statement, "left").withColumn("component", F.coalesce("component", statement))
+    best = placed.groupBy("component").agg(F.min(F.struct((-F.col("__n")).alias("n"), (-F.col("__len")).alias("l"), F.col(statement).alias("id"))).alias("__best"))
+    map_ = placed.join(best, "component").select(statement, F.col("__best.id").alias("__to"))
+    moved = claims.join(map_, statement)
+    kinds = moved.groupBy("__to").agg(F.max(F.col("kind") == "event").alias("__event"))
+    return moved.join(kinds, "__to").select("claim_id", F.col("__to").alias(statement), F.when(F.col("__event"), "event").otherwise(F.col("kind")).alias("kind"))
 
 
 def snapshot_assign(scores: DataFrame, key: str, story: str, join_at: float, ask_at: float) -> DataFrame:

@@ -7,64 +7,136 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestor.operators import corroboration as C
+from attestor.plans.durable import durable
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
 
-SHARED = ["outlet", "owner", "agency", "government"]
-
-GROUPS = """WITH RECURSIVE ed AS (SELECT a.article_id AS x, b.m AS y FROM v_outlets a JOIN (SELECT outlet AS v, min(article_id) AS m FROM v_outlets GROUP BY outlet) b ON a.outlet = b.v
-  UNION SELECT a.article_id, b.m FROM v_outlets a JOIN (SELECT owner AS v, min(article_id) AS m FROM v_outlets GROUP BY owner) b ON a.owner = b.v
-  UNION SELECT a.article_id, b.m FROM v_outlets a JOIN (SELECT agency AS v, min(article_id) AS m FROM v_outlets WHERE agency IS NOT NULL GROUP BY agency) b ON a.agency = b.v
-  UNION SELECT a.article_id, b.m FROM v_outlets a JOIN (SELECT government AS v, min(article_id) AS m FROM v_outlets WHERE government IS NOT NULL GROUP BY government) b ON a.government = b.v),
-e2 AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed),
-reach AS (SELECT article_id AS node, article_id AS lab FROM v_outlets UNION SELECT e2.y, reach.lab FROM reach JOIN e2 ON reach.node = e2.x WHERE reach.lab < e2.y),
-root AS (SELECT node, min(lab) AS root FROM reach GROUP BY node),
-gov AS (SELECT root, arg_max(government, article_id) AS gov FROM root JOIN v_outlets ON node = article_id WHERE government IS NOT NULL GROUP BY root),
-grp AS (SELECT node AS article_id, coalesce('gov:' || gov, concat('g', root.root::VARCHAR)) AS grp FROM root LEFT JOIN gov ON root.root = gov.root),
-o2 AS (SELECT article_id, concat('h', (article_id % 13)::VARCHAR) AS grp FROM v_outlets) """
-WEIGHT = "CASE evidence WHEN 'none' THEN 1.0 WHEN 'official_statement' THEN 1.5 WHEN 'named_witness' THEN 2.0 WHEN 'unnamed_source' THEN 0.5 WHEN 'fir' THEN 2.5 ELSE 3.0 END * CASE WHEN stance = 'attributes' THEN 0.5 ELSE 1.0 END"
-ORIGIN = "CASE WHEN attributed_to = 'article' THEN concat('OWN:', outlet) WHEN attributed_to IN ('PTI', 'ANI', 'Reuters', 'AP', 'AFP') THEN concat('agency:', lower(attributed_to)) WHEN attributed_to IN ('sources', 'officials', 'reports') THEN 'POOL' WHEN attributed_to = 'police' THEN 'gov:police' ELSE concat('src:', lower(attributed_to)) END"
+SHARED = ["wire_group", "agency", "outlet", "owner", "government"]
+NOW = "TIMESTAMP '2024-01-01 08:00:00'"
+
+_EDGES = " UNION ".join(f"SELECT a.story_id, a.article_id AS x, b.m AS y FROM sa a JOIN (SELECT story_id, {c} AS v, min(article_id) AS m FROM sa WHERE {c} IS NOT NULL GROUP BY ALL) b ON a.story_id = b.story_id AND a.{c} = b.v" for c in SHARED)
+#: Articles by story, and their independence groups there.
+GROUPS = f"""RECURSIVE sa AS (SELECT DISTINCT c.story_id, o.* FROM v_claims c JOIN v_outlets o ON c.article_id = o.article_id), ed AS ({_EDGES}),
+e2 AS (SELECT story_id, x, y FROM ed WHERE x <> y UNION SELECT story_id, y, x FROM ed WHERE x <> y),
+reach AS (SELECT story_id, article_id AS node, article_id AS lab FROM sa UNION SELECT e2.story_id, e2.y, reach.lab FROM reach JOIN e2 ON reach.story_id = e2.story_id AND reach.node = e2.x WHERE reach.lab < e2.y),
+root AS (SELECT story_id, node, min(lab) AS root FROM reach GROUP BY ALL),
+gov AS (SELECT root.story_id, root, lower(arg_max(government, article_id)) AS gov FROM root JOIN sa ON root.story_id = sa.story_id AND node = article_id WHERE government IS NOT NULL GROUP BY ALL),
+grp2 AS (SELECT root.story_id, node AS article_id, coalesce('gov:' || gov, concat('g', root.root::VARCHAR)) AS grp FROM root LEFT JOIN gov ON root.story_id = gov.story_id AND root.root = gov.root)"""
+
+
+def _plain(c: str) -> str:
+    return rf"""regexp_replace(regexp_replace(lower(trim(coalesce({c}, ''))), '^[.,:;"'']+|[.,:;"'']+$', '', 'g'), '\s+', ' ', 'g')"""
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _agency(c: str) -> str:
+    return f"CASE WHEN {c} IN {_in(C.POOL_NAMES)} THEN 'pool' " + " ".join(f"WHEN {c} = '{n}' THEN 'agency:{a}'" for n, a in C.AGENCY_NAMES.items()) + " END"
+
+
+#: Claims with their articles and origins (``og``).
+ORIGINS = rf"""ar AS (SELECT DISTINCT c.story_id, o.* FROM v_claims c JOIN v_outlets o ON c.article_id = o.article_id),
+ff AS (SELECT canonical_id, arg_min((c.story_id, c.article_id), (published_at, c.article_id)) AS f, count(DISTINCT c.article_id) AS n FROM v_claims c JOIN v_outlets o ON c.article_id = o.article_id WHERE stance <> 'denies' GROUP BY canonical_id),
+fs AS (SELECT f[1] AS story_id, f[2] AS article_id, count(*) AS firsts, count(*) FILTER (n = 1) AS soles FROM ff GROUP BY ALL),
+oa AS (SELECT ar.*, agency IS NULL AND trim(author) <> '' AND length(trim(author)) <= 60 AND NOT regexp_matches(trim(author), '{C.GENERIC_AUTHOR}') AND {_plain('author')} <> {_plain('outlet')}
+  AND (regexp_matches(text, '{C.DATELINE}') OR (coalesce(firsts, 0) >= 2 AND coalesce(soles, 0) >= 1)) AS original FROM ar LEFT JOIN fs ON ar.story_id = fs.story_id AND ar.article_id = fs.article_id),
+wk AS (SELECT DISTINCT story_id, {_plain('owner')} AS worked FROM oa WHERE original),
+nm AS (SELECT {_plain('outlet')} AS name, min(owner) AS outlet_owner FROM v_outlets GROUP BY ALL),
+kn AS (SELECT attributed_to, {_plain('attributed_to')} AS n, {_plain('coalesce(v.name, attributed_to)')} AS known, kind, source_government, outlet_owner FROM v_attributions v LEFT JOIN nm ON {_plain('coalesce(v.name, attributed_to)')} = nm.name),
+ky AS (SELECT attributed_to, CASE WHEN n IN {_in(C.OWN_WORDS)} THEN 'OWN' WHEN n IN {_in(C.ANON_WORDS)} OR regexp_matches(n, '^(unnamed|anonymous|sources )') THEN 'pool' WHEN {_agency('n')} IS NOT NULL THEN {_agency('n')}
+  WHEN kind IS NULL OR kind = 'anonymous' OR known = '' THEN 'pool' WHEN {_agency('known')} IS NOT NULL THEN {_agency('known')} WHEN outlet_owner IS NOT NULL THEN concat('outlet:', {_plain('outlet_owner')})
+  WHEN kind IN {_in(C.GOVERNMENT_KINDS)} THEN CASE WHEN source_government IS NOT NULL THEN concat('gov:', {_plain('source_government')}) ELSE 'pool' END WHEN source_government IS NOT NULL THEN concat('gov:', {_plain('source_government')})
+  WHEN kind = 'court' THEN concat('court:', known) ELSE concat('src:', known) END AS key FROM kn),
+og AS (SELECT c.claim_id, c.story_id, c.canonical_id, c.stance, oa.article_id, oa.text_source, oa.published_at, CASE WHEN starts_with(key, 'outlet:') THEN CASE WHEN worked IS NOT NULL THEN concat('own:', worked) ELSE 'pool' END WHEN key <> 'OWN' THEN key
+  WHEN government IS NOT NULL THEN concat('gov:', {_plain('government')}) WHEN agency IS NOT NULL THEN concat('agency:', {_plain('agency')}) WHEN original THEN concat('own:', {_plain('owner')}) ELSE 'pool' END AS origin
+  FROM v_claims c JOIN oa ON c.story_id = oa.story_id AND c.article_id = oa.article_id JOIN ky ON c.attributed_to = ky.attributed_to LEFT JOIN wk ON wk.story_id = c.story_id AND starts_with(key, 'outlet:') AND worked = substr(key, 8))"""
+WEIGHT = "CASE " + " ".join(f"WHEN evidence = '{k}' THEN {v}" for k, v in C.EVIDENCE.items()) + " ELSE 1.0 END * CASE WHEN stance = 'attributes' THEN 0.5 ELSE 1.0 END"
+PERSPECTIVE = "CASE ascii(right(grp, 1)) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END"
+SUMMARY = f"""best AS (SELECT story_id, canonical_id, stance = 'denies' AS against, grp, {PERSPECTIVE} AS perspective, max({WEIGHT})::DOUBLE AS weight FROM v_claims JOIN grp2 USING (story_id, article_id) GROUP BY ALL),
+sm AS (SELECT canonical_id, round(coalesce(sum(weight) FILTER (NOT against), 0.0), 2) AS support_weight,
+  coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp) FILTER (NOT against AND NOT starts_with(grp, 'gov:')), '') AS support_groups, coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp) FILTER (against), '') AS deny_groups,
+  coalesce(string_agg(DISTINCT perspective, ',' ORDER BY perspective) FILTER (NOT against), '') AS support_perspectives, coalesce(string_agg(DISTINCT perspective, ',' ORDER BY perspective) FILTER (against), '') AS deny_perspectives FROM best GROUP BY canonical_id),
+na AS (SELECT canonical_id, count(DISTINCT article_id) AS n_articles, count(DISTINCT CASE WHEN NOT starts_with(grp, 'gov:') THEN grp END) AS independent FROM v_claims JOIN grp2 USING (story_id, article_id) GROUP BY canonical_id)"""
+COUNTED = """oc AS (SELECT canonical_id, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT CASE WHEN origin <> 'pool' THEN origin END) AS n_origins,
+  count(DISTINCT CASE WHEN text_source <> 'summary' AND NOT starts_with(grp, 'gov:') THEN grp END) AS n_outlets, min(published_at) AS first_seen FROM og JOIN grp2 USING (story_id, article_id) WHERE stance <> 'denies' GROUP BY canonical_id)"""
+CONFLICTS = "cf AS (SELECT a.canonical_id, b.canonical_id AS other FROM v_statements a JOIN v_statements b ON a.story_id = b.story_id AND ((a.canonical_id % 9 = 0 AND b.canonical_id = a.canonical_id + 1) OR (a.canonical_id % 9 = 1 AND b.canonical_id = a.canonical_id - 1)))"
+VERDICTS = f"""WITH {GROUPS}, {SUMMARY}, {ORIGINS}, {COUNTED}, {CONFLICTS},
+x AS (SELECT s.*, support_groups, deny_groups, support_perspectives, n_articles, coalesce(n_origins, 0) AS n_origins, coalesce(n_outlets, 0) AS n_outlets,
+  (support_groups <> '' AND deny_groups <> '') OR s.canonical_id IN (SELECT cf.canonical_id FROM cf JOIN sm o ON cf.other = o.canonical_id WHERE o.support_groups <> '') AS contested
+  FROM v_statements s JOIN sm ON s.canonical_id = sm.canonical_id JOIN na ON s.canonical_id = na.canonical_id LEFT JOIN oc ON s.canonical_id = oc.canonical_id),
+y AS (SELECT *, NOT contested AND support_groups <> '' AND n_outlets >= 3 AND n_origins >= 2 AND coalesce(checkable, false) AND NOT (coalesce(mode, '') = 'global' AND strpos(support_perspectives, ',') = 0) AND NOT name_conflict AS meets FROM x),
+z AS (SELECT canonical_id, story_id, CASE WHEN meets THEN coalesce(met_at, {NOW}) END AS met_at, CASE WHEN coalesce(old_verdict IN ('false', 'confirmed') AND abs(checked_members - n_articles) <= 2, false) THEN old_verdict
+  WHEN contested THEN 'disputed' WHEN meets AND epoch({NOW}) - epoch(coalesce(met_at, {NOW})) >= 21600 THEN 'corroborated' WHEN meets THEN 'developing' ELSE 'unverified' END AS verdict FROM y)"""
 STANCE = "CASE stance WHEN 'asserts' THEN 1.0 WHEN 'attributes' THEN 0.5 ELSE -1.0 END"
-OWNERS = "grp2 AS (SELECT article_id, CASE WHEN government IS NOT NULL THEN concat('gov:', government) ELSE concat('g', owner) END AS grp FROM v_outlets)"
-SUMMARY = f"""best AS (SELECT canonical_id, CASE WHEN stance = 'denies' THEN 'against' ELSE 'for' END AS side, grp, max({WEIGHT})::DOUBLE AS weight FROM v_claims JOIN grp2 USING (article_id) GROUP BY ALL),
-sm AS (SELECT canonical_id, coalesce(sum(weight) FILTER (side = 'for'), 0.0) AS support, coalesce(sum(weight) FILTER (side = 'against'), 0.0) AS denial,
-  coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp) FILTER (side = 'for' AND NOT starts_with(grp, 'gov:')), '') AS supporters, coalesce(string_agg(DISTINCT grp, ',' ORDER BY grp) FILTER (side = 'against'), '') AS deniers FROM best GROUP BY canonical_id),
-na AS (SELECT canonical_id, count(DISTINCT article_id) AS n_articles, count(DISTINCT CASE WHEN NOT starts_with(grp, 'gov:') THEN grp END) AS independent FROM v_claims JOIN grp2 USING (article_id) GROUP BY canonical_id),
-og AS (SELECT canonical_id, {ORIGIN} AS origin, outlet, t_start FROM v_claims JOIN v_outlets USING (article_id) WHERE stance <> 'denies'),
-oc AS (SELECT canonical_id, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT CASE WHEN origin <> 'POOL' THEN origin END) AS n_origins, count(DISTINCT outlet) AS n_outlets, min(t_start) AS first_seen FROM og GROUP BY canonical_id)"""
+OWNERS = "grp3 AS (SELECT article_id, CASE WHEN government IS NOT NULL THEN concat('gov:', government) ELSE concat('g', owner) END AS grp FROM v_outlets)"
 MATRIX = f"""st AS (SELECT story_id, canonical_id, article_id, arg_max(v, (abs(v), -claim_id)) AS v FROM (SELECT *, {STANCE}::DOUBLE AS v FROM v_claims) GROUP BY ALL),
-mx AS (SELECT story_id, canonical_id, grp, avg(v) AS stance FROM st JOIN grp2 USING (article_id) GROUP BY ALL)"""
+mx AS (SELECT story_id, canonical_id, grp, avg(v) AS stance FROM st JOIN grp3 USING (article_id) GROUP BY ALL)"""
 
 
 def owners(t: Tables) -> DataFrame:
-    """Groups by owner or government: a second grouping, finer than the components of the fixture."""
+    """Groups by owner or government: what agreement across stories is measured between."""
     g = F.when(F.col("government").isNotNull(), F.concat(F.lit("gov:"), F.col("government"))).otherwise(F.concat(F.lit("g"), F.col("owner")))
     return t.v_outlets.select("article_id", g.alias("grp"))
 
 
-@query("independence_groups", GROUPS + "SELECT article_id, grp FROM grp")
+def story_articles(t: Tables) -> DataFrame:
+    """The articles of every story."""
+    return t.v_claims.select("story_id", "article_id").distinct().join(t.v_outlets, "article_id")
+
+
+def story_groups(t: Tables) -> DataFrame:
+    """Independence groups inside every story: wire copies, agency, outlet, owner, government."""
+    return durable(C.independence_groups(story_articles(t), "article_id", SHARED, within=["story_id"]), "groups")
+
+
+def origins_of(t: Tables) -> DataFrame:
+    """Claims with their articles and origins."""
+    articles = story_articles(t)
+    told = t.v_claims.where("stance <> 'denies'").join(t.v_outlets.select("article_id", "published_at"), "article_id")
+    firsts = C.first_and_sole(told, "published_at", keys=["story_id", "article_id"])
+    return C.claim_origins(t.v_claims, articles, C.original_articles(articles, firsts), t.v_attributions, t.v_outlets)
+
+
+def support_of(t: Tables, groups: DataFrame) -> DataFrame:
+    kind = F.expr("ascii(right(grp, 1)) % 3")
+    sides = groups.select("story_id", "grp").distinct().withColumn("perspective", F.when(kind == 0, "A").when(kind == 1, "B"))
+    return C.support_summary(t.v_claims, groups, sides)
+
+
+def verdicts_of(t: Tables) -> DataFrame:
+    groups, s = story_groups(t), t.v_statements
+    pair = s.where("canonical_id % 9 = 0").select("story_id", "canonical_id", (F.col("canonical_id") + 1).alias("other"))
+    pair = pair.join(s.select("story_id", F.col("canonical_id").alias("other")), ["story_id", "other"])
+    conflicts = pair.select("canonical_id", "other").unionByName(pair.select(F.col("other").alias("canonical_id"), F.col("canonical_id").alias("other")))
+    verdicts = C.base_verdict(support_of(t, groups), C.statement_origins(origins_of(t), groups), s, conflicts, F.expr(NOW))
+    return verdicts.join(s.select("canonical_id", "story_id"), "canonical_id")
+
+
+@query("independence_groups", f"WITH {GROUPS} SELECT story_id, article_id, grp FROM grp2")
 def _(t: Tables):
-    return C.independence_groups(t.v_outlets, "article_id", SHARED)
+    return C.independence_groups(story_articles(t), "article_id", SHARED, within=["story_id"])
 
 
-@query("support_summary", f"WITH {OWNERS}, {SUMMARY} SELECT sm.canonical_id, support, denial, supporters, deniers, n_articles FROM sm JOIN na ON sm.canonical_id = na.canonical_id")
+@query("support_summary", f"WITH {GROUPS}, {SUMMARY} SELECT sm.*, n_articles FROM sm JOIN na ON sm.canonical_id = na.canonical_id")
 def _(t: Tables):
-    return C.support_summary(t.v_claims, owners(t))
+    return support_of(t, story_groups(t))
 
 
-@query("independent_count", f"WITH {OWNERS} SELECT canonical_id, count(DISTINCT CASE WHEN NOT starts_with(grp, 'gov:') THEN grp END) AS independent FROM v_claims JOIN grp2 USING (article_id) GROUP BY canonical_id")
+@query("independent_count", f"WITH {GROUPS} SELECT canonical_id, count(DISTINCT CASE WHEN NOT starts_with(grp, 'gov:') THEN grp END) AS independent FROM v_claims JOIN grp2 USING (story_id, article_id) GROUP BY canonical_id")
 def _(t: Tables):
-    return C.independent_count(t.v_claims, owners(t))
+    return C.independent_count(t.v_claims, story_groups(t))
 
 
-@query("statement_origins", f"WITH {OWNERS}, {SUMMARY} SELECT * FROM oc")
+@query("statement_origins", f"WITH {GROUPS}, {ORIGINS}, {COUNTED} SELECT * FROM oc")
 def _(t: Tables):
-    return C.statement_origins(t.v_claims, t.v_outlets)
+    return C.statement_origins(origins_of(t), story_groups(t))
 
 
-@query("origin_key", f"SELECT claim_id, {ORIGIN} AS origin FROM v_claims JOIN v_outlets USING (article_id)")
+@query("origin_key", f"WITH {ORIGINS} SELECT claim_id, origin FROM og")
 def _(t: Tables):
-    return t.v_claims.join(t.v_outlets, "article_id").select("claim_id", C.origin_key(F.col("attributed_to"), F.col("outlet")).alias("origin"))
+    return origins_of(t).select("claim_id", "origin")
 
 
 @query("first_and_sole_reporter", """WITH p AS (SELECT canonical_id, arg_min(article_id, (t_start, article_id)) AS f, count(DISTINCT article_id) AS n, min(article_id) AS one FROM v_claims GROUP BY canonical_id),
@@ -74,33 +146,27 @@ def _(t: Tables):
     return C.first_and_sole(t.v_claims)
 
 
-@query("originality_flag", """WITH p AS (SELECT canonical_id, arg_min(article_id, (t_start, article_id)) AS f, count(DISTINCT article_id) AS n, min(article_id) AS one FROM v_claims GROUP BY canonical_id),
-a AS (SELECT f AS article_id, count(*) AS firsts FROM p GROUP BY f), b AS (SELECT one AS article_id, count(*) AS soles FROM p WHERE n = 1 GROUP BY one)
-SELECT o.article_id, agency IS NULL AND coalesce(firsts, 0) >= 2 AND coalesce(soles, 0) >= 1 AS original FROM v_outlets o LEFT JOIN a ON o.article_id = a.article_id LEFT JOIN b ON o.article_id = b.article_id""")
+@query("originality_flag", f"WITH {ORIGINS} SELECT story_id, article_id, original FROM oa")
 def _(t: Tables):
-    fs = C.first_and_sole(t.v_claims)
-    return t.v_outlets.join(fs, "article_id", "left").select("article_id", (F.col("agency").isNull() & (F.coalesce("firsts", F.lit(0)) >= 2) & (F.coalesce("soles", F.lit(0)) >= 1)).alias("original"))
+    articles = story_articles(t)
+    told = t.v_claims.where("stance <> 'denies'").join(t.v_outlets.select("article_id", "published_at"), "article_id")
+    return C.original_articles(articles, C.first_and_sole(told, "published_at", keys=["story_id", "article_id"]))
 
 
-@query("base_verdict", f"""WITH {OWNERS}, {SUMMARY} SELECT sm.canonical_id, CASE WHEN denial > 0 AND denial * 2 >= support THEN 'disputed' WHEN independent >= 3 AND coalesce(n_origins, 0) >= 2 THEN 'corroborated' WHEN independent >= 2 THEN 'developing' ELSE 'unverified' END AS verdict
-FROM sm JOIN na ON sm.canonical_id = na.canonical_id LEFT JOIN oc ON sm.canonical_id = oc.canonical_id""")
+@query("base_verdict", VERDICTS + " SELECT canonical_id, verdict, met_at FROM z")
 def _(t: Tables):
-    g, c = owners(t), t.v_claims
-    return C.base_verdict(C.support_summary(c, g), C.independent_count(c, g), C.statement_origins(c, t.v_outlets))
+    return verdicts_of(t).drop("story_id")
 
 
-@query("verdict_rollup", f"""WITH {OWNERS}, {SUMMARY}, v AS (SELECT sm.canonical_id, CASE WHEN denial > 0 AND denial * 2 >= support THEN 'disputed' WHEN independent >= 3 AND coalesce(n_origins, 0) >= 2 THEN 'corroborated' WHEN independent >= 2 THEN 'developing' ELSE 'unverified' END AS verdict
-FROM sm JOIN na ON sm.canonical_id = na.canonical_id LEFT JOIN oc ON sm.canonical_id = oc.canonical_id) SELECT (canonical_id // 10000)::BIGINT AS section, verdict, count(*) AS n FROM v GROUP BY ROLLUP ((canonical_id // 10000), verdict)""")
+@query("verdict_rollup", VERDICTS + " SELECT (story_id // 100)::BIGINT AS section, verdict, count(*) AS n FROM z GROUP BY ROLLUP ((story_id // 100), verdict)")
 def _(t: Tables):
-    g, c = owners(t), t.v_claims
-    v = C.base_verdict(C.support_summary(c, g), C.independent_count(c, g), C.statement_origins(c, t.v_outlets))
-    return v.withColumn("section", F.expr("canonical_id div 10000")).rollup("section", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return verdicts_of(t).withColumn("section", F.expr("story_id div 100")).rollup("section", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("story_qualifies", f"""WITH {OWNERS}, r AS (SELECT story_id, grp, {ORIGIN} AS origin FROM v_claims JOIN grp2 USING (article_id) JOIN v_outlets USING (article_id)), a AS (SELECT story_id, count(DISTINCT CASE WHEN NOT starts_with(grp, 'gov:') THEN grp END) AS n_groups, count(DISTINCT CASE WHEN origin <> 'POOL' THEN origin END) AS n_origins FROM r GROUP BY story_id)
+@query("story_qualifies", f"""WITH {GROUPS}, {ORIGINS}, a AS (SELECT story_id, count(DISTINCT CASE WHEN text_source <> 'summary' AND NOT starts_with(grp, 'gov:') THEN grp END) AS n_groups, count(DISTINCT CASE WHEN origin <> 'pool' THEN origin END) AS n_origins FROM og JOIN grp2 USING (story_id, article_id) GROUP BY story_id)
 SELECT *, n_groups >= 3 AND n_origins >= 2 AS qualifies FROM a""")
 def _(t: Tables):
-    return C.story_qualifies(t.v_claims, owners(t), t.v_outlets)
+    return C.story_qualifies(origins_of(t), story_groups(t))
 
 
 @query("stance_matrix", f"WITH {OWNERS}, {MATRIX} SELECT story_id, canonical_id, grp, round(stance, 6) AS stance FROM mx")
@@ -134,10 +200,10 @@ def _(t: Tables):
     return C.weighted_jaccard(c, "article_id", "k", "n").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("outlet_yield", """WITH s AS (SELECT story_id, count(DISTINCT owner) AS owners FROM v_articles GROUP BY story_id) SELECT outlet, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(CASE WHEN owners >= 5 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) ELSE 0.5 END AS share FROM v_articles a JOIN s ON a.story_id = s.story_id GROUP BY outlet""")
+@query("outlet_yield", """WITH s AS (SELECT story_id, count(DISTINCT owner) AS owners FROM v_articles GROUP BY story_id) SELECT outlet, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(CASE WHEN owners >= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) ELSE 0.5 END AS share FROM v_articles a JOIN s ON a.story_id = s.story_id GROUP BY outlet""")
 def _(t: Tables):
     s = t.v_articles.groupBy("story_id").agg(F.count_distinct("owner").alias("owners"))
-    return C.share_flag(t.v_articles.join(s, "story_id"), "outlet", F.col("owners") >= 5, 20, 0.5).withColumn("share", F.round("share", 6))
+    return C.share_flag(t.v_articles.join(s, "story_id"), "outlet", F.col("owners") >= 3, 20, 0.5).withColumn("share", F.round("share", 6))
 
 
 @query("departure_rate", """SELECT outlet, n, share, coalesce(share >= 0.3, false) AS flagged FROM (SELECT outlet, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(avg(CASE WHEN article_id % 4 = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) END AS share FROM v_articles WHERE n_chars > 500 GROUP BY outlet)""")
@@ -146,7 +212,7 @@ def _(t: Tables):
     return s.withColumn("flagged", F.coalesce(F.col("share") >= 0.3, F.lit(False)))
 
 
-@query("loaded_word_framing", f"""WITH {OWNERS}, w AS (SELECT DISTINCT canonical_id, grp, loaded_word FROM v_claims JOIN grp2 USING (article_id)), k AS (SELECT canonical_id FROM w GROUP BY canonical_id HAVING count(DISTINCT grp) >= 2)
+@query("loaded_word_framing", f"""WITH {OWNERS}, w AS (SELECT DISTINCT canonical_id, grp, loaded_word FROM v_claims JOIN grp3 USING (article_id)), k AS (SELECT canonical_id FROM w GROUP BY canonical_id HAVING count(DISTINCT grp) >= 2)
 SELECT canonical_id, grp, string_agg(loaded_word, ',' ORDER BY loaded_word) AS words FROM w WHERE canonical_id IN (SELECT canonical_id FROM k) GROUP BY canonical_id, grp""")
 def _(t: Tables):
     w = t.v_claims.join(owners(t), "article_id").groupBy("canonical_id", "grp").agg(F.array_join(F.array_sort(F.collect_set("loaded_word")), ",").alias("words"))

@@ -11,20 +11,24 @@ from attestor.plans.q_text import WORDS
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
 
-SETS = f"""w AS (SELECT doc_id, {WORDS} AS t FROM documents), s0 AS (SELECT doc_id, list_sort(CASE WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END) AS sh FROM w),
-s AS (SELECT min(doc_id) AS id, sh FROM s0 GROUP BY sh), e AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s),
-c AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS nx, any_value(y.n) AS ny FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY ALL), np AS (SELECT a, b, k::DOUBLE / (nx + ny - k) AS similarity FROM c WHERE k::DOUBLE / (nx + ny - k) >= 0.45)"""
+SETS = f"""w AS (SELECT article_id, published_at AS pub, {WORDS.replace('text', "coalesce(text, '')")} AS t FROM v_articles), s0 AS (SELECT article_id, pub, list_sort(CASE WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END) AS sh FROM w),
+s AS (SELECT min(article_id) AS id, sh FROM s0 GROUP BY sh), e AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS nx, any_value(y.n) AS ny FROM e x JOIN e y ON x.g = y.g AND x.id <> y.id GROUP BY ALL), np AS (SELECT a, b, k::DOUBLE / (nx + ny - k) AS similarity FROM c WHERE k::DOUBLE / (nx + ny - k) >= 0.45),
+m0 AS (SELECT article_id, pub, s.id AS set_id FROM s0 JOIN s ON s0.sh = s.sh), m1 AS (SELECT *, coalesce(pub - lag(pub) OVER (PARTITION BY set_id ORDER BY pub, article_id) > INTERVAL '72' HOUR, true) AS begins FROM m0),
+m2 AS (SELECT *, sum(begins::INT) OVER (PARTITION BY set_id ORDER BY pub, article_id) AS run FROM m1), m3 AS (SELECT *, first_value(article_id) OVER (PARTITION BY set_id, run ORDER BY pub, article_id) AS chain FROM m2),
+ch AS (SELECT set_id, chain, min(pub) AS f, max(pub) AS l, count(*) AS n FROM m3 GROUP BY ALL),
+nc AS (SELECT x.chain, y.chain AS other, similarity, x.f, y.f AS of, y.l AS ol FROM np JOIN ch x ON np.a = x.set_id JOIN ch y ON np.b = y.set_id WHERE y.f <= x.l + INTERVAL '72' HOUR AND y.l >= x.f - INTERVAL '72' HOUR)"""
 
 
-@query("near_dup_join", f"WITH {SETS} SELECT a, b, round(similarity, 6) AS similarity FROM np")
+@query("near_dup_join", f"WITH {SETS}, k AS (SELECT chain, count(*) AS n_links FROM nc GROUP BY chain) SELECT article_id, m3.chain AS class_id, ch.n AS copies, coalesce(n_links, 0) AS n_links FROM m3 JOIN ch ON m3.chain = ch.chain LEFT JOIN k ON k.chain = ch.chain")
 def _(t: Tables):
-    return L.near_pairs(t.documents, "doc_id").withColumn("similarity", F.round("similarity", 6))
+    return L.near_dup_classes(t.v_articles)
 
 
-@query("wire_group_assign", "WITH RECURSIVE " + SETS + """, p AS (SELECT b AS id, arg_max(a, (similarity, -a)) AS parent FROM np GROUP BY b), r AS (SELECT id, id AS root FROM s WHERE id NOT IN (SELECT id FROM p) UNION ALL SELECT p.id, r.root FROM p JOIN r ON p.parent = r.id) SELECT id AS doc_id, root AS wire_group FROM r""")
+@query("wire_group_assign", "WITH RECURSIVE " + SETS + """, p AS (SELECT chain, arg_min(other, (-similarity, of, other)) AS parent FROM nc WHERE (of < f OR (of = f AND other < chain)) AND ol >= f - INTERVAL '72' HOUR GROUP BY chain),
+r AS (SELECT chain, chain AS root FROM ch WHERE chain NOT IN (SELECT chain FROM p) UNION ALL SELECT p.chain, r.root FROM p JOIN r ON p.parent = r.chain) SELECT article_id, root AS wire_group FROM m3 JOIN r ON m3.chain = r.chain""")
 def _(t: Tables):
-    reps = L.shingle_classes(t.documents, "doc_id", "text").select(F.col("rep").alias("doc_id"))
-    return L.wire_groups(reps, L.near_pairs(t.documents, "doc_id"), "doc_id")
+    return L.wire_groups(t.v_articles)
 
 
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -94,11 +98,11 @@ def _(t: Tables):
     return a.join(b, "story_id").where("older <> newer AND first_at >= bar").select("older", "newer")
 
 
-@query("event_before_story", """WITH f AS (SELECT story_id, min(t_start) AS f FROM v_claims WHERE kind = 'claim' GROUP BY story_id) SELECT c.claim_id FROM v_claims c JOIN f ON c.story_id = f.story_id WHERE kind = 'event' AND t_start < f + INTERVAL '720' HOUR""")
+@query("event_before_story", """WITH f AS (SELECT story_id, min(t_start) AS f FROM v_claims WHERE kind = 'claim' GROUP BY story_id) SELECT c.claim_id FROM v_claims c JOIN f ON c.story_id = f.story_id WHERE kind = 'event' AND t_start <= f - INTERVAL '12' HOUR""")
 def _(t: Tables):
     c = t.v_claims
     f = c.where("kind = 'claim'").groupBy("story_id").agg(F.min("t_start").alias("f"))
-    return c.where("kind = 'event'").join(f, "story_id").where(F.expr("t_start < f + INTERVAL '720' HOUR")).select("claim_id")
+    return c.where("kind = 'event'").join(f, "story_id").where(F.expr("t_start <= f - INTERVAL '12' HOUR")).select("claim_id")
 
 
 @query("orphan_prune", """SELECT canonical_id FROM (SELECT DISTINCT canonical_id FROM v_claims) WHERE canonical_id NOT IN (SELECT canonical_id FROM v_claims WHERE stance <> 'denies')""")
@@ -120,11 +124,11 @@ def _(t: Tables):
     return t.customer.select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("big", F.lit(False)).alias("big"), F.col("big").isNull().alias("idle"))
 
 
-@query("follow_match", """SELECT f.reader, a.article_id, string_agg(DISTINCT f.kind, ',' ORDER BY f.kind) AS reasons FROM v_follows f JOIN (SELECT article_id, 'section' AS kind, (outlet_no % 12)::VARCHAR AS k FROM v_articles UNION ALL SELECT article_id, 'place', (article_id % 12)::VARCHAR FROM v_articles WHERE article_id % 5 = 0 UNION ALL SELECT article_id, 'story', (story_id % 12)::VARCHAR FROM v_articles WHERE article_id % 9 = 0) a ON f.kind = a.kind AND f.follow_key = a.k GROUP BY ALL""")
+@query("follow_match", """SELECT f.reader, a.article_id, string_agg(DISTINCT f.kind, ',' ORDER BY f.kind) AS reasons FROM v_follows f JOIN (SELECT article_id, 'section' AS kind, outlet_no::VARCHAR AS k FROM v_articles UNION ALL SELECT article_id, 'place', (article_id // 5)::VARCHAR FROM v_articles UNION ALL SELECT article_id, 'entity', regexp_extract(author, '[0-9]+$') FROM v_articles WHERE story_id % 5 = 0 UNION ALL SELECT article_id, 'story', story_id::VARCHAR FROM v_articles) a ON f.kind = a.kind AND f.follow_key = a.k GROUP BY ALL""")
 def _(t: Tables):
     a = t.v_articles
-    part = lambda kind, key, cond: a.where(cond).select("article_id", F.lit(kind).alias("kind"), key.cast("string").alias("follow_key"))
-    keys = part("section", F.col("outlet_no") % 12, "true").unionByName(part("place", F.col("article_id") % 12, "article_id % 5 = 0")).unionByName(part("story", F.col("story_id") % 12, "article_id % 9 = 0"))
+    part = lambda kind, key, cond="true": a.where(cond).select("article_id", F.lit(kind).alias("kind"), key.cast("string").alias("follow_key"))
+    keys = part("section", F.col("outlet_no")).unionByName(part("place", F.expr("article_id div 5"))).unionByName(part("entity", F.regexp_extract("author", "[0-9]+$", 0), "story_id % 5 = 0")).unionByName(part("story", F.col("story_id")))
     return t.v_follows.join(keys, ["kind", "follow_key"]).groupBy("reader", "article_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("reasons"))
 
 

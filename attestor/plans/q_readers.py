@@ -75,9 +75,9 @@ def _(t: Tables):
     return t.v_claims.join(shown, ["story_id", "loaded_word"], "left_anti").select("canonical_id").distinct()
 
 
-@query("notification_build", "SELECT f.reader, a.article_id, concat(a.outlet, ': ', a.n_chars::VARCHAR) AS body FROM v_follows f JOIN v_articles a ON f.kind = 'story' AND f.follow_key = (a.story_id % 12)::VARCHAR WHERE a.published_at > TIMESTAMP '2024-01-02 12:00:00' AND (f.reader + a.article_id) % 7 <> 0")
+@query("notification_build", "SELECT f.reader, a.article_id, concat(a.outlet, ': ', a.n_chars::VARCHAR) AS body FROM v_follows f JOIN v_articles a ON f.kind = 'story' AND f.follow_key = a.story_id::VARCHAR WHERE a.published_at > TIMESTAMP '2024-01-02 12:00:00' AND (f.reader + a.article_id) % 7 <> 0")
 def _(t: Tables):
-    a = t.v_articles.where(F.col("published_at") > F.expr("TIMESTAMP '2024-01-02 12:00:00'")).select("article_id", (F.col("story_id") % 12).cast("string").alias("follow_key"), F.concat("outlet", F.lit(": "), F.col("n_chars").cast("string")).alias("body"))
+    a = t.v_articles.where(F.col("published_at") > F.expr("TIMESTAMP '2024-01-02 12:00:00'")).select("article_id", F.col("story_id").cast("string").alias("follow_key"), F.concat("outlet", F.lit(": "), F.col("n_chars").cast("string")).alias("body"))
     return t.v_follows.where("kind = 'story'").join(a, "follow_key").where("(reader + article_id) % 7 <> 0").select("reader", "article_id", "body")
 
 
@@ -208,7 +208,7 @@ def _(t: Tables):
 @query("stream_feed_failures", """WITH i AS (SELECT *, sum(ok) OVER (PARTITION BY feed_id ORDER BY ts, log_id) AS island FROM v_feed_log), r AS (SELECT *, sum(1 - ok) OVER (PARTITION BY feed_id, island ORDER BY ts, log_id) AS run FROM i) SELECT feed_id AS user_id, arg_max(run, (ts, log_id))::BIGINT AS fail_count, max(run)::BIGINT AS longest, max(run) >= 3 AS disabled FROM r GROUP BY feed_id""")
 def _(t: Tables):
     s = _events(t).select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("ok"))
-    out = J.run_to_table(J.failure_counter(s, "user_id", "ts", "ok", 3), "failures", "update")
+    out = J.run_to_table(J.failure_counter(s, "user_id", "ts", "ok", 3), "failures", "update", ["user_id"])
     return out.select("user_id", "fail_count", "longest", "disabled")
 
 

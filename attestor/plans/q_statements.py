@@ -11,6 +11,7 @@ from attestor.operators.graph import connected_components
 from attestor.plans.q_text import WORDS
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
+from attestor.streaming import jobs as J
 
 
 @query("daily_tagged_archive", """SELECT published_at::DATE AS day, 'article' AS type, count(*) AS records FROM v_articles GROUP BY ALL UNION ALL SELECT ts::DATE, 'log', count(*) FROM v_feed_log GROUP BY ALL""")
@@ -166,8 +167,8 @@ def _(t: Tables):
 
 @query("map_build_lookup", "SELECT c.claim_id, min(c.attributed_to) OVER (PARTITION BY c.story_id, c.article_id) AS grp FROM v_claims c")
 def _(t: Tables):
-    m = t.v_claims.groupBy("story_id", "article_id").agg(F.min("attributed_to").alias("g")).groupBy("story_id").agg(F.map_from_entries(F.collect_list(F.struct("article_id", "g"))).alias("m"))
-    return t.v_claims.select("claim_id", "story_id", "article_id").join(m, "story_id").select("claim_id", F.col("m")[F.col("article_id")].alias("grp"))
+    g = t.v_claims.groupBy("story_id", "article_id").agg(F.min("attributed_to").alias("grp"))
+    return t.v_claims.select("claim_id", "story_id", "article_id").join(g, ["story_id", "article_id"]).select("claim_id", "grp")
 
 
 @query("json_path_extract", "SELECT article_id, title AS headline, n_chars > 100 AS has_body FROM v_articles")
@@ -231,18 +232,16 @@ def _(t: Tables):
     return I.first_by(p, ["doc_id", "line"], [F.col("paragraph")])
 
 
-@query("paragraph_plan", """WITH RECURSIVE e AS (SELECT DISTINCT x.canonical_id AS a, y.canonical_id AS b FROM v_claims x JOIN v_claims y ON x.story_id = y.story_id AND x.attributed_to = y.attributed_to AND x.evidence = 'video' AND y.evidence = 'video' AND x.canonical_id <> y.canonical_id), r AS (SELECT DISTINCT a AS node, a AS lab FROM e UNION SELECT e.b, r.lab FROM r JOIN e ON r.node = e.a WHERE r.lab < e.b) SELECT node, min(lab) AS component FROM r GROUP BY node""")
+@query("paragraph_plan", """WITH RECURSIVE e AS (SELECT DISTINCT x.canonical_id AS a, y.canonical_id AS b FROM v_claims x JOIN v_claims y ON x.story_id = y.story_id AND x.attributed_to = y.attributed_to AND x.canonical_id <> y.canonical_id AND x.attributed_to LIKE 'person %' AND x.stance = 'denies' AND y.stance = 'denies'), r AS (SELECT DISTINCT a AS node, a AS lab FROM e UNION SELECT e.b, r.lab FROM r JOIN e ON r.node = e.a WHERE r.lab < e.b) SELECT node, min(lab) AS component FROM r GROUP BY node""")
 def _(t: Tables):
-    v = t.v_claims.where("evidence = 'video'").select("story_id", "attributed_to", "canonical_id")
+    v = t.v_claims.where("attributed_to LIKE 'person %' AND stance = 'denies'").select("story_id", "attributed_to", "canonical_id")  # partner statements: denied by the same person
     star = v.join(v.groupBy("story_id", "attributed_to").agg(F.min("canonical_id").alias("src")), ["story_id", "attributed_to"])
     return connected_components(star.select("src", F.col("canonical_id").alias("dst")))
 
 
 @query("stream_run_gate", """WITH RECURSIVE g AS (SELECT user_id, min(ts::TIMESTAMP) AS t0 FROM events GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(e.ts::TIMESTAMP) FROM events e WHERE e.user_id = g.user_id AND e.ts::TIMESTAMP >= g.t0 + INTERVAL '300' HOUR) FROM g WHERE g.t0 IS NOT NULL) SELECT user_id, count(t0) AS runs FROM g GROUP BY user_id""")
 def _(t: Tables):
-    times = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("x"))
-    gap = 300 * 3600 * 1_000_000
-    fold = F.aggregate("x", F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n")), lambda a, v: F.when(a["last"].isNull() | (v >= a["last"] + gap), F.struct(v.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    return times.select("user_id", fold.alias("runs"))
+    events = J.event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "ts")
+    return J.run_to_table(J.run_gate(events, "user_id", "ts", 300), "gate", "update", ["user_id"])
 
 

@@ -9,7 +9,6 @@ from attestor.operators import corroboration as C
 
 from attestor.operators import linking as L
 from attestor.operators import stories as S
-from attestor.operators.graph import connected_components
 from attestor.plans.q_corroboration import MATRIX, OWNERS, owners
 from attestor.plans.q_linking import TOPK
 from attestor.plans.registry import query
@@ -64,7 +63,7 @@ def _(t: Tables):
     return S.align_labels(new, old, "article_id")
 
 
-@query("position_items", f"WITH {OWNERS}, {MATRIX} SELECT story_id, 'stance' AS type, canonical_id AS item, grp AS unit, CASE WHEN stance > 0 THEN 1 ELSE 0 END AS y FROM mx UNION ALL SELECT story_id, 'framing', canonical_id, grp, CASE WHEN max(loaded_word) > 'w5' THEN 1 ELSE 0 END FROM v_claims JOIN grp2 USING (article_id) GROUP BY story_id, canonical_id, grp")
+@query("position_items", f"WITH {OWNERS}, {MATRIX} SELECT story_id, 'stance' AS type, canonical_id AS item, grp AS unit, CASE WHEN stance > 0 THEN 1 ELSE 0 END AS y FROM mx UNION ALL SELECT story_id, 'framing', canonical_id, grp, CASE WHEN max(loaded_word) > 'w5' THEN 1 ELSE 0 END FROM v_claims JOIN grp3 USING (article_id) GROUP BY story_id, canonical_id, grp")
 def _(t: Tables):
     g = owners(t)
     a = C.stance_matrix(t.v_claims, g).select("story_id", F.lit("stance").alias("type"), F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("stance") > 0).cast("int").alias("y"))
@@ -72,13 +71,13 @@ def _(t: Tables):
     return a.unionByName(b.select("story_id", F.lit("framing").alias("type"), F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("w") > "w5").cast("int").alias("y")))
 
 
-EV = "ev AS (SELECT story_id, canonical_id, min(t_start) AS s, max(t_end) AS e FROM v_claims WHERE kind = 'event' AND canonical_id % 7 = 0 GROUP BY ALL)"
+EV = "ev AS (SELECT story_id, canonical_id, min(t_start) AS s, max(t_end) AS e FROM v_claims WHERE kind = 'event' GROUP BY ALL)"
 
 
-@query("timeline_tiers", f"WITH RECURSIVE {EV}, ed AS (SELECT x.canonical_id AS a, y.canonical_id AS b FROM ev x JOIN ev y ON x.story_id = y.story_id AND x.e < y.s), d AS (SELECT canonical_id AS node, 0 AS tier FROM ev UNION SELECT ed.b, d.tier + 1 FROM d JOIN ed ON d.node = ed.a) SELECT node AS canonical_id, max(tier) AS tier FROM d GROUP BY node")
+@query("timeline_tiers", f"WITH RECURSIVE {EV}, k AS (SELECT story_id, min(e) AS e FROM ev GROUP BY story_id UNION ALL SELECT k.story_id, (SELECT min(ev.e) FROM ev WHERE ev.story_id = k.story_id AND ev.s > k.e) FROM k WHERE k.e IS NOT NULL) SELECT canonical_id, count(k.e) AS tier FROM ev LEFT JOIN k ON ev.story_id = k.story_id AND k.e < ev.s GROUP BY canonical_id")
 def _(t: Tables):
-    ev = t.v_claims.where("kind = 'event' AND canonical_id % 7 = 0").groupBy("story_id", "canonical_id").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
-    return S.timeline_tiers(ev, L.before_pairs(ev, "story_id", "canonical_id"), "story_id", "canonical_id").select("canonical_id", "tier")
+    ev = t.v_claims.where("kind = 'event'").groupBy("story_id", "canonical_id").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
+    return S.timeline_tiers(ev).select("canonical_id", "tier")
 
 
 @query("claim_match_arrival", """SELECT claim_id, min(claim_id) OVER (PARTITION BY story_id, attributed_to, evidence, loaded_word) AS founder, max(kind) OVER (PARTITION BY story_id, attributed_to, evidence, loaded_word) AS kind FROM v_claims""")
@@ -87,10 +86,15 @@ def _(t: Tables):
     return t.v_claims.select("claim_id", F.min("claim_id").over(w).alias("founder"), F.max("kind").over(w).alias("kind"))
 
 
-@query("statement_merge_apply", """WITH RECURSIVE p AS (SELECT DISTINCT canonical_id AS a, (canonical_id // 3) * 3 AS b FROM v_claims WHERE evidence = 'video'), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b), n AS (SELECT a AS n FROM e), r AS (SELECT n AS node, n AS lab FROM n UNION SELECT e.b, r.lab FROM r JOIN e ON r.node = e.a WHERE r.lab < e.b) SELECT node, min(lab) AS component FROM r GROUP BY node""")
+@query("statement_merge_apply", """WITH st AS (SELECT canonical_id, (canonical_id // 3) * 3 AS g, count(DISTINCT article_id) AS n, max(length(loaded_word)) AS l, bool_or(kind = 'event') AS ev FROM v_claims GROUP BY ALL),
+pr AS (SELECT a.canonical_id AS a, a.g AS b FROM st a JOIN st b ON a.g = b.canonical_id WHERE a.canonical_id <> a.g AND NOT (a.g % 9 = 0 AND a.canonical_id = a.g + 1)), gr AS (SELECT st.*, coalesce(pr.b, st.canonical_id) AS c FROM st LEFT JOIN pr ON st.canonical_id = pr.a),
+bs AS (SELECT c, arg_min(canonical_id, (-n, -l, canonical_id)) AS best, bool_or(ev) AS ev FROM gr GROUP BY c) SELECT claim_id, best AS canonical_id, CASE WHEN bs.ev THEN 'event' ELSE kind END AS kind FROM v_claims v JOIN gr ON v.canonical_id = gr.canonical_id JOIN bs ON gr.c = bs.c""")
 def _(t: Tables):
-    p = t.v_claims.where("evidence = 'video'").select(F.col("canonical_id").alias("src"), (F.expr("canonical_id div 3") * 3).alias("dst")).distinct()
-    return connected_components(p)
+    claims = t.v_claims.withColumn("text", F.col("loaded_word"))
+    a = claims.select(F.col("canonical_id").alias("a")).distinct()
+    same = a.withColumn("b", F.expr("a div 3") * 3).where("a <> b").join(a.select(F.col("a").alias("b")), "b", "left_semi")
+    apart = a.where("a % 9 = 0").select("a", (F.col("a") + 1).alias("b"))
+    return S.merge_statements(claims, same, apart)
 
 
 @query("alias_repair", "SELECT canonical_id, arg_min(attributed_to, claim_id) AS first_text FROM v_claims GROUP BY canonical_id")

@@ -75,11 +75,14 @@ def _(t: Tables):
     return t.v_articles.groupBy("story_id").agg(F.round(F.lit(0.25) * F.least(F.count_distinct("owner"), F.lit(6)) + F.when(F.count_distinct("lang") >= 2, 0.5).otherwise(0.0) + F.avg("n_chars") / 10000, 2).alias("value"))
 
 
-@query("reserved_slot_topk", """WITH v AS (SELECT story_id, count(DISTINCT owner) AS value, bool_or(government IS NOT NULL) AS beat FROM v_articles GROUP BY story_id), r AS (SELECT *, row_number() OVER (ORDER BY value DESC, story_id) AS a, row_number() OVER (PARTITION BY beat ORDER BY value DESC, story_id) AS b FROM v) SELECT story_id FROM r WHERE a <= 12 OR (beat AND b <= 4)""")
+@query("reserved_slot_topk", """WITH v AS (SELECT story_id, count(DISTINCT owner) AS value, bool_or(government IS NOT NULL) AS beat FROM v_articles GROUP BY story_id), k AS (SELECT story_id FROM v WHERE beat ORDER BY value DESC, story_id LIMIT 4),
+r AS (SELECT story_id FROM v WHERE story_id NOT IN (SELECT story_id FROM k) ORDER BY value DESC, story_id LIMIT 16 - (SELECT count(*) FROM k)) SELECT story_id FROM k UNION ALL SELECT story_id FROM r""")
 def _(t: Tables):
     v = t.v_articles.groupBy("story_id").agg(F.count_distinct("owner").alias("value"), F.bool_or(F.col("government").isNotNull()).alias("beat"))
     order = [F.desc("value"), F.col("story_id")]
-    return v.orderBy(*order).limit(12).select("story_id").union(v.where("beat").orderBy(*order).limit(4).select("story_id")).distinct()
+    top = v.orderBy(*order).limit(16).withColumn("kept", F.lit(False)).unionByName(v.where("beat").orderBy(*order).limit(4).withColumn("kept", F.lit(True)))
+    each = top.groupBy("story_id", "value").agg(F.max("kept").alias("kept"))  # 20 rows at most: the reserved places, then the best of the rest
+    return each.orderBy(F.desc("kept"), *order).limit(16).select("story_id")
 
 
 @query("desk_order", """SELECT story_id, row_number() OVER (ORDER BY (last_at >= TIMESTAMP '2024-01-02 00:00:00') DESC, n DESC, story_id) AS place FROM (SELECT story_id, max(published_at) AS last_at, count(DISTINCT owner) AS n FROM v_articles GROUP BY story_id) ORDER BY place LIMIT 50""")
@@ -225,9 +228,11 @@ def _(t: Tables):
 def _(t: Tables):
     x = t.v_articles.select("story_id", F.col("article_id").alias("a"), F.col("lang").alias("la"))
     y = t.v_articles.select("story_id", F.col("article_id").alias("b"), F.col("lang").alias("lb"))
-    p = x.join(y, "story_id").where("a < b").withColumn("crosses", F.col("la") != F.col("lb"))
-    r = F.row_number().over(W.partitionBy("crosses").orderBy(F.md5(F.concat(F.col("a").cast("string"), F.lit(":"), F.col("b").cast("string")))))
-    return p.withColumn("rn", r).where(F.col("rn") <= F.when(F.col("crosses"), 20).otherwise(40)).select("a", "b", "crosses")
+    order = F.md5(F.concat(F.col("a").cast("string"), F.lit(":"), F.col("b").cast("string")))
+    p = x.join(y, "story_id").where("a < b").select("a", "b", (F.col("la") != F.col("lb")).alias("crosses"), order.alias("o"))
+    # a bounded top by hash in each part of the pairs, merged: no stratum is sorted in one task
+    cross, same = (p.where(c).orderBy("o").limit(n) for c, n in (("crosses", 20), ("NOT crosses", 40)))
+    return cross.unionByName(same).select("a", "b", "crosses")
 
 
 @query("latest_by_kind", "SELECT event_type, max(event_id) AS event_id FROM events GROUP BY event_type")

@@ -22,15 +22,26 @@ VIEWS = {
   CAST(l_shipdate + CAST(l_quantity AS INT) * INTERVAL '1' HOUR AS TIMESTAMP) AS t_end FROM lineitem""",
     "v_outlets": """SELECT s_suppkey AS article_id, s_name AS outlet, concat('own', CAST(s_nationkey AS STRING)) AS owner,
   CASE WHEN n_regionkey = 4 AND s_nationkey % 2 = 0 THEN lower(n_name) END AS government,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'PTI' END AS agency FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+  CASE WHEN s_suppkey % 10 = 0 THEN 'PTI' END AS agency, CASE WHEN s_suppkey % 8 < 2 THEN CAST(floor(s_suppkey / 8) AS BIGINT) END AS wire_group,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'Staff Reporter' ELSE concat('Author ', CAST(s_suppkey % 17 AS STRING)) END AS author,
+  CASE WHEN s_suppkey % 6 = 5 THEN 'summary' ELSE 'full' END AS text_source, CASE WHEN s_suppkey % 4 = 1 THEN 'NEW DELHI: two people died.' ELSE 'Also Read: two people died.' END AS text,
+  CAST(TIMESTAMP '2024-01-01 00:00:00' + s_suppkey * INTERVAL '3' MINUTE AS TIMESTAMP) AS published_at FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "v_attributions": """SELECT attributed_to, CASE attributed_to WHEN 'person 0' THEN 'Supplier#000000003' WHEN 'person 2' THEN 'High Court' ELSE attributed_to END AS name,
+  CASE attributed_to WHEN 'police' THEN 'police' WHEN 'person 1' THEN 'government' WHEN 'person 2' THEN 'court' WHEN 'person 3' THEN 'anonymous' WHEN 'person 4' THEN CAST(NULL AS STRING) ELSE 'person' END AS kind,
+  CASE WHEN attributed_to = 'person 1' THEN 'Union' END AS source_government
+  FROM (SELECT DISTINCT CASE l_orderkey % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'police' WHEN 2 THEN 'sources' WHEN 3 THEN 'PTI' ELSE concat('person ', CAST(l_orderkey % 9 AS STRING)) END AS attributed_to FROM lineitem) AS raw""",
+    "v_statements": """SELECT canonical_id, min(story_id) AS story_id, CASE WHEN canonical_id % 6 = 0 THEN CAST(NULL AS BOOLEAN) ELSE canonical_id % 5 <> 0 END AS checkable,
+  CASE WHEN canonical_id % 2 = 0 THEN CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) END AS met_at, canonical_id % 13 = 0 AS name_conflict, CASE WHEN min(story_id) % 3 = 0 THEN 'global' END AS mode,
+  CASE WHEN canonical_id % 11 = 0 THEN 'confirmed' WHEN canonical_id % 17 = 0 THEN 'false' END AS old_verdict, CAST(3 AS BIGINT) AS checked_members
+  FROM (SELECT l_partkey % 500 AS story_id, (l_partkey % 500) * 100 + l_orderkey % 29 AS canonical_id FROM lineitem) AS told GROUP BY canonical_id""",
     "v_feed_log": """SELECT event_id AS log_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS feed_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS ok FROM events""",
     "v_follows": """SELECT DISTINCT user_id AS reader, CASE event_type WHEN 'click' THEN 'section' WHEN 'view' THEN 'place' WHEN 'signup' THEN 'entity' ELSE 'story' END AS kind,
-  CAST(user_id % 12 AS STRING) AS follow_key FROM events WHERE event_type <> 'error'""",
+  CAST(CASE WHEN event_type IN ('click', 'view', 'signup') THEN user_id ELSE event_id % 97 END AS STRING) AS follow_key FROM events WHERE event_type <> 'error'""",
     "v_links": """SELECT o_orderkey AS child_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS parent_id FROM orders WHERE o_orderkey > 1 AND o_orderkey % 3 <> 0""",
     "v_runs": """SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS started_at, count(*) AS ingested, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS grouped_n
   FROM events GROUP BY date_trunc('hour', CAST(ts AS TIMESTAMP))""",
 }
-BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_feed_log": ["events"], "v_follows": ["events"], "v_links": ["orders"], "v_runs": ["events"]}
+BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_attributions": ["lineitem"], "v_statements": ["lineitem"], "v_feed_log": ["events"], "v_follows": ["events"], "v_links": ["orders"], "v_runs": ["events"]}
 
 
 class Tables:

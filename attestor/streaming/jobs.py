@@ -8,20 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from attestor.plans.durable import fresh_path
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     """The events of a Parquet path (a folder or one file) as a stream; only Spark reads the path.
 
-    A stream takes a single file only as a match of a pattern, so the last letter becomes one.
+    A stream takes a single file only as a match of a pattern, so the last letter becomes one.  ``files`` come in each batch.
     """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and reads what it wrote.
 
     Appends go to a Parquet sink with a checkpoint in the shared folder.  For update
@@ -41,8 +42,12 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
         last["n"] = n
 
     writer.foreachBatch(keep).start().awaitTermination()
-    folder = f"{out}/batch={last['n']:06d}" if mode == "complete" else out
-    return spark.read.schema(stream.schema).parquet(folder)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{out}/batch={last['n']:06d}")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in stream.columns])
 
 
 def ingest_dedup(stream: DataFrame, key: str, at: str, hours: int = 48) -> DataFrame:
@@ -91,6 +96,20 @@ def rule_clock(stream: DataFrame, key: str, at: str, holds: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, since_us long", "since long", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_gate(stream: DataFrame, key: str, at: str, hours: int) -> DataFrame:
+    """How often each key was let through: a row passes if ``hours`` have gone by since the last that passed, which is the state."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, runs = state.get if state.exists else (-1, 0)
+        for moment in sorted(x.value // 1000 for frame in frames for x in frame[at]):
+            if last < 0 or moment >= last + hours * 3_600_000_000:
+                last, runs = int(moment), runs + 1
+        state.update((last, runs))
+        yield pd.DataFrame({key: [k[0]], "runs": [runs]})
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, runs long", "last long, runs long", "update", GroupStateTimeout.NoTimeout)
+
+
 def late_rows(stream: DataFrame, at: str, closed: DataFrame, key: str) -> DataFrame:
     """Rows for keys that are closed go to a follow-up table instead of being lost (a stream-static join)."""
     return stream.join(closed.select(key).distinct(), key, "left_semi")
