@@ -17,7 +17,9 @@ BLOCK, MOST_HOT = 4096, 65536
 #: inequality.  Beyond the threshold a lower bound (above the threshold) will do.
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Buckets up to so many rows are compared together with others of their size.
-FEW = 8
+FEW = 64
+#: Rows of a larger bucket that are compared in one step.
+CHUNK = 256
 
 
 def deal_blocks(rows: DataFrame, homes: DataFrame, n_members: int, salt: Column, block: int = BLOCK) -> DataFrame:
@@ -36,21 +38,27 @@ def deal_blocks(rows: DataFrame, homes: DataFrame, n_members: int, salt: Column,
     return dealt.withColumn("home", F.col("home") & (F.col("block") == F.col("__own"))).drop("__blocks", "__own")
 
 
-def _few(distance: Distance, most: int, starts: np.ndarray, sizes: np.ndarray, home: np.ndarray, ids: np.ndarray, load: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links inside small buckets: the pairs of a place and another are compared for all buckets of a size in one step."""
-    out = []
-    for size in range(2, FEW + 1):
-        at = starts[sizes == size]
-        if not len(at):
+def _few(distance: Distance, most: int, starts: np.ndarray, sizes: np.ndarray, home: np.ndarray, ids: np.ndarray, load: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links inside small buckets: all buckets of a size are compared in one step.
+
+    A pair leaves no link where an earlier member is near both, so what leaves connects all that is near in few links.
+    """
+    for size in np.unique(sizes).tolist():
+        i, j = np.tril_indices(size, -1)
+        if not len(i):
             continue
-        for i in range(size):
-            for j in range(i):
-                a, b = at + i, at + j
-                met = (home[a] | home[b]) & (ids[a] != ids[b])
-                a, b = a[met], b[met]
-                near = distance(load[a], load[b]) <= most
-                out.append((ids[a[near]], ids[b[near]]))
-    return out
+        every = starts[sizes == size]
+        step = max(1, (1 << 19) // len(i))
+        for lo in range(0, len(every), step):
+            at = every[lo : lo + step, None]
+            a, b = (at + i).ravel(), (at + j).ravel()
+            met = np.flatnonzero((home[a] | home[b]) & (ids[a] != ids[b]))
+            close = met[distance(load[a[met]], load[b[met]]) <= most]
+            near = np.zeros((len(at), size, size), np.float32)
+            near[close // len(i), i[close % len(i)], j[close % len(i)]] = 1
+            direct = (near > 0) & (near @ near.transpose(0, 2, 1) == 0)
+            bucket, x, y = np.nonzero(direct)
+            yield ids[at[bucket, 0] + x], ids[at[bucket, 0] + y]
 
 
 class _Bucket:
@@ -73,38 +81,65 @@ class _Bucket:
 
     def add(self, ids: np.ndarray, load: np.ndarray, home: np.ndarray, out: list[tuple[int, int]]) -> None:
         """Homes come before visitors; each row gets a link to every group of homes that it touches."""
+        for lo in range(0, len(ids), CHUNK):
+            self._add(ids[lo : lo + CHUNK], load[lo : lo + CHUNK], home[lo : lo + CHUNK], out)
+
+    def _distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Every row of ``a`` from every row of ``b``."""
+        out = np.empty((len(a), len(b)), np.int64)
+        step = max(1, (1 << 17) // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            part = a[lo : lo + step]
+            out[lo : lo + step] = self.distance(np.repeat(part, len(b), axis=0), np.tile(b, (len(part), *[1] * (b.ndim - 1)))).reshape(len(part), len(b))
+        return out
+
+    def _add(self, ids: np.ndarray, load: np.ndarray, home: np.ndarray, out: list[tuple[int, int]]) -> None:
+        known = len(self.ids)
+        far = self._distances(load, self.load[:known]) if known else np.empty((len(ids), 0), np.int64)
+        among = self._distances(load, load[home]) if home.any() else None
+        place = np.cumsum(home) - 1
+        fresh: list[int] = []  # rows of this chunk that became leaders
         for row in range(len(ids)):
-            n, one = len(self.ids), int(ids[row])
+            one = int(ids[row])
+            apart = np.concatenate([far[row], among[row, place[fresh]]]) if fresh else far[row]
             met: list[int] = []
-            leads = False
-            if n:
-                far = self.distance(np.broadcast_to(load[row], (n, *load.shape[1:])), self.load[:n])
-                for j in np.flatnonzero(far <= 2 * self.most).tolist():
-                    if far[j] <= self.most:
-                        if self.ids[j] != one:
-                            out.append((one, self.ids[j]))
+            close = -1
+            for j in np.flatnonzero(apart <= 2 * self.most).tolist():
+                if apart[j] <= self.most:
+                    if self.ids[j] != one:
+                        out.append((one, self.ids[j]))
+                    close = j if close < 0 else close
+                    met.append(j)
+                elif self.behind[j] and not any(self.find(j) == self.find(k) for k in met):
+                    near = self._behind(j, one, load[row])
+                    if near >= 0:
+                        out.append((one, near))
                         met.append(j)
-                        continue
-                    others = self.behind[j]
-                    if others and not any(self.find(j) == self.find(k) for k in met):
-                        near = np.flatnonzero(self.distance(np.broadcast_to(load[row], (len(others), *load.shape[1:])), np.stack([x for _, x in others])) <= self.most)
-                        near = [k for k in near.tolist() if others[k][0] != one]
-                        if near:
-                            out.append((one, others[near[0]][0]))
-                            met.append(j)
-                            leads = True
-                for j in met[1:]:
-                    self.root[self.find(j)] = self.find(met[0])
-                close = [j for j in met if far[j] <= self.most]
-                if home[row] and close:
-                    self.behind[close[0]].append((one, load[row].copy()))
-            if home[row] and not (n and close):
-                if n == len(self.load):
-                    self.load = np.concatenate([self.load, np.empty((max(16, n), *load.shape[1:]), np.int64)])
-                self.ids.append(one)
-                self.load[n] = load[row]
-                self.behind.append([])
-                self.root.append(self.find(met[0]) if leads or met else n)
+            for j in met[1:]:
+                self.root[self.find(j)] = self.find(met[0])
+            if not home[row]:
+                continue
+            if close >= 0:
+                self.behind[close].append((one, load[row].copy()))
+                continue
+            n = len(self.ids)
+            if n == len(self.load):
+                self.load = np.concatenate([self.load, np.empty((max(16, n), *load.shape[1:]), np.int64)])
+            self.load[n] = load[row]
+            self.ids.append(one)
+            self.behind.append([])
+            self.root.append(self.find(met[0]) if met else n)
+            fresh.append(row)
+
+    def _behind(self, j: int, one: int, load: np.ndarray) -> int:
+        """A home behind leader ``j`` that is within the threshold, or -1."""
+        others = self.behind[j]
+        for lo in range(0, len(others), 256):
+            part = others[lo : lo + 256]
+            for k in np.flatnonzero(self.distance(np.broadcast_to(load, (len(part), *load.shape)), np.stack([x for _, x in part])) <= self.most).tolist():
+                if part[k][0] != one:
+                    return part[k][0]
+        return -1
 
 
 def spanning_links(rows: DataFrame, distance: Distance, most: int, payload: str, width: int = 0) -> DataFrame:
@@ -113,7 +148,7 @@ def spanning_links(rows: DataFrame, distance: Distance, most: int, payload: str,
     ``rows`` has key, block, home, id and a payload (a long, or an array of
     ``width`` longs).  Small buckets are compared many at a time.  The rows of a block arrive together and sorted, homes
     first; only the homes (a bounded block) are held, and visitors pass by in
-    batches.  At most one link leaves for each row and group of homes it joins (in small buckets, one for each pair that is linked).
+    batches.  At most one link leaves for each row and group of homes it joins (in small buckets, for each pair that no earlier member links).
     """
     dealt = rows.select("key", "block", "home", "id", payload).repartition("key", "block").sortWithinPartitions("key", "block", F.col("home").desc())
 
