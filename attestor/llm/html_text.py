@@ -30,6 +30,9 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"option", "select", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "head", "html", "body"}
 _BOILER_TAGS = frozenset("nav footer aside form button select menu dialog fieldset label datalist".split())
 _HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Tags whose own meaning outweighs a word in their class: an article may be called "related", a quotation in it "comment".
+_OWN_MEANING = frozenset(("article", "main"))
+_TEXT_TAGS = _HEADS | frozenset("p blockquote q cite em strong b i u a span code pre figure figcaption table tbody thead tr td th dl dt dd img abbr mark time small sub sup".split())
 #: Words in class, id, role and aria-label that mark what is not article, and what is (fixed values).
 _BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense adslot banner sponsor sponsored promo promoted promotion outbrain taboola cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -37,6 +40,8 @@ _BOILER_WORDS = frozenset(
     "share sharing social related recommend recommended recommendations trending popular comment comments commentlist reply replies respond disqus discussion form search widget pagination pager skip tags "
     "byline complementary contentinfo dialog alertdialog".split()
 )
+#: Those that say so on a paragraph or a quotation inside an article too (fixed values).
+_SURE_WORDS = frozenset("ad ads adv advert advertisement advertising adsense adslot sponsor sponsored promo promoted promotion outbrain taboola cookie consent gdpr newsletter subscribe share sharing byline copyright".split())
 _CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 _ENDS = tuple(".!?…:;\"'”’»)。！？")
 
@@ -84,7 +89,8 @@ def _marks(tag: str, attrs: str, inside: bool) -> tuple[int, int]:
                 if name == "role" and value.lower() in ("main", "article"):
                     content += 1
                 elif tag not in ("html", "body"):
-                    boiler += bool(words & _BOILER_WORDS - ({"header", "tags"} if inside or words & _CONTENT_WORDS else set())) and not (tag in _HEADS and inside)
+                    plain = words & _BOILER_WORDS - ({"header", "tags"} if inside or words & _CONTENT_WORDS else set())
+                    boiler += bool(plain) and tag not in _OWN_MEANING and not (inside and tag in _TEXT_TAGS and not plain & _SURE_WORDS)
                     content += bool(words & _CONTENT_WORDS) and not words & _BOILER_WORDS
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 boiler += 2
@@ -165,11 +171,18 @@ def blocks(source: str) -> list[Block]:
     return page.blocks
 
 
+#: Neighbours bind each other so strongly, at most, on either side; a doubtful block follows its neighbours.
+BIND = 1.5
+
+
 def score(block: Block) -> float:
-    """Log-odds that a block is article text: a linear classifier with fixed weights."""
+    """Log-odds that a block is article text: a linear classifier with fixed weights.
+
+    Marks (of tags and classes) weigh less than they would alone, for the neighbours' marks come in over the edges.
+    """
     words = block.text.count(" ") + 1
     s = -0.5
-    s += 4.0 * min(block.content, 1) - 7.0 * min(block.boiler, 2)
+    s += 3.0 * min(block.content, 1) - 5.5 * min(block.boiler, 2)
     s += 1.5 if words >= 10 else 0.0 if words >= 4 else -0.5
     s += 0.5 if block.text.endswith(_ENDS) else 0.0
     s += 1.0 if block.heading else 0.0
@@ -178,13 +191,15 @@ def score(block: Block) -> float:
 
 
 def proximity(a: Block, b: Block) -> float:
-    """Smoothness between two blocks: more for a common parent, less the farther apart in the tree."""
+    """Smoothness between two blocks: more for a common parent, less the farther apart in the tree, little across the border of a marked part."""
     common = 0
     for x, y in zip(a.path, b.path):
         if x != y:
             break
         common += 1
-    return 0.2 + 0.8 * 2 * common / (len(a.path) + len(b.path) or 1) if common else 0.1
+    if (a.boiler > 0) != (b.boiler > 0):  # a mark begins or ends between them
+        return 0.1
+    return BIND * (0.2 + 0.8 * 2 * common / (len(a.path) + len(b.path) or 1)) if common else 0.1
 
 
 def min_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -246,8 +261,8 @@ def main_text(source: str | None) -> str:
     last: dict[tuple[int, ...], int] = {}
     for i, b in enumerate(found):  # the block before under the same parent, if others lie between
         parent = b.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, 0.5))
+        if parent in last and last[parent] < i - 1 and (found[last[parent]].boiler > 0) == (b.boiler > 0):
+            edges.append((last[parent], i, 0.5 * BIND))
         last[parent] = i
     # components of the cut: only where neighbours disagree can the cut differ from the signs
     if all(g > 0 for g in gains) or all(g < 0 for g in gains):
@@ -271,7 +286,7 @@ def _trimmed(gains: list[float], edges: list[tuple[int, int, float]]) -> tuple[l
 def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """``pages`` (without the html) plus ``text`` and ``n_chars`` (its code points).
 
-    Null and empty pages give an empty text.  Columns named text or n_chars give way.
+    Null and empty pages give an empty text, repeated rows the same text each, an empty table an empty table.  Columns named text or n_chars give way.
     """
     kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
     rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_column}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_chars"))

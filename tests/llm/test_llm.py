@@ -338,6 +338,39 @@ def test_main_text_leaves_the_frame_out():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
 
 
+def by_signs(page):
+    return "\n\n".join(b.text for b in html_text.blocks(page) if html_text.score(b) > 0)
+
+
+def test_the_cut_decides_what_the_signs_get_wrong():
+    """Pages without a word of what is article: short lines follow their neighbours, on either side."""
+    long = "A paragraph of the story that goes on for quite a while and ends like a sentence."
+    menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("Home", "News", "Sport", "Culture", "More"))
+    page = f"<body><div><ul>{menu}</ul></div><div><div><p>{long} One.</p><p>Stop it</p><p>{long} Two.</p><p>Go on</p><p>{long} Three.</p></div></div></body>"
+    want = "\n\n".join([f"{long} One.", "Stop it", f"{long} Two.", "Go on", f"{long} Three."])
+    assert html_text.main_text(page) == want != by_signs(page)
+
+
+def test_a_word_in_a_class_does_not_decide_alone():
+    p = "<p>The first paragraph of the story is long enough to be one, surely.</p>"
+    assert html_text.main_text(f'<article class="post related-story">{p}</article>').startswith("The first")
+    quoted = html_text.main_text(f'<main><article>{p}<blockquote class="comment"><p>It was said by many, and at some length.</p></blockquote>{p}</article></main>')
+    assert quoted.count("The first") == 2 and "It was said" in quoted
+    framed = html_text.main_text(f'<article>{p}<div class="comments"><p>It was said by many, and at some length.</p></div><p class="promo">Buy the paper now, it costs next to nothing here.</p></article>')
+    assert framed == "The first paragraph of the story is long enough to be one, surely."
+
+
+def test_pages_of_any_shape_become_texts(spark):
+    page = "<body><nav>Home</nav><main><p>Some text that stands in the middle of the page, as it should.</p></main></body>"
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "<p>" * 3000), (4, "x", "plain words only, no tag at all to be seen"), (5, "y", "<main>" + "<p>Word after word goes by here.</p>" * 20000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' AS text", "7 AS n_chars", "1 AS block")
+    out = html_text.extract_text(pages)
+    assert out.columns == ["page_id", "url", "block", "text", "n_chars"]
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in out.collect())
+    assert got == sorted((i or 0, html_text.main_text(h), len(html_text.main_text(h))) for i, _, h in rows)
+    assert got[-1][1].count("Word after word") == 20000 and html_text.extract_text(pages.where("false")).count() == 0
+
+
 def test_spaced_seeds_tolerate_substitutions(spark):
     item = [f"t{i}" for i in range(30)]
     hurt = [("zz" if i in (4, 11, 19) else w) for i, w in enumerate(item)]
@@ -504,3 +537,96 @@ def test_pipeline_stages(spark):
     assert 0 < docs.count() < 2 * before
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == docs.count()
+
+
+def plain_quality(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    places = {}
+    for i in range(len(words) - 2):
+        places.setdefault(tuple(words[i : i + 3]), []).append(i)
+    repeated = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(3)}
+    n = max(1, len(words))
+    return (
+        len(words) >= 50
+        and 100 * len(repeated) <= 50 * len(words)
+        and 2.0 <= sum(map(len, words)) / n <= 15.0
+        and sum(c in "#*$%&|<>" for c in text) / n <= 0.10
+        and text.count("!") / n <= 0.30
+        and sum(w.lower() in quality.STOP_WORDS for w in words) / n >= 0.04
+        and (len(lines) - len(set(lines))) / max(1, len(lines)) <= 0.50
+    )
+
+
+def plain_near_dedup(rows):
+    """The first of each group that pairs of five-word Jaccard 0.8 or more connect; rows without an id stay."""
+    named = sorted({(r.doc_id, r.text): r for r in rows if r.doc_id is not None}.values(), key=lambda r: r.doc_id)
+    words = [(r.text or "").encode().lower().split() for r in named]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(named)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(named)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [r for i, r in enumerate(named) if find(i) == i] + [r for r in rows if r.doc_id is None]
+
+
+def plain_decontamination(rows, items):
+    import re
+
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [w for w in map(tokens, items) if len(w) >= 4]
+    bad = set()
+    for r in rows:
+        words = tokens(r.text)
+        at = {}
+        for i, w in enumerate(words):
+            at.setdefault(w, []).append(i)
+        for item in items:
+            n, need = min(20, len(item)), 1.0 if len(item) < 9 else 0.8
+            for shift in {i - j for j, w in enumerate(item) for i in at.get(w, ())}:
+                same = [0 <= shift + j < len(words) and words[shift + j] == w for j, w in enumerate(item)]
+                if sum(same) >= need * n and max(sum(same[a : a + n]) for a in range(len(item) - n + 1)) >= need * n:
+                    bad.add(r.doc_id)
+    return [r for r in rows if r.doc_id not in bad]
+
+
+def test_every_stage_of_the_pipeline_equals_a_plain_version(spark):
+    import corpus_pipeline
+    import duckdb
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    first = given.where("doc_id = 1").first()
+    extra = [(None, first.text + " and more of it", "en", None, 1), (900, first.text, "en", "src1", 1), (901, None, None, None, None), (902, "", "en", "src2", 0), (1, first.text, first.lang, first.source, first.n_chars)]
+    docs = given.unionByName(spark.createDataFrame(extra, given.schema)).selectExpr("*", "'x' AS size", "7 AS key")
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    state = lambda rows: sorted(((r.doc_id, r.text, r.source) for r in rows), key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    rows = docs.collect()
+    for name, plain in (("quality_rules", lambda x: [r for r in x if plain_quality(r.text)]), ("near_dedup", plain_near_dedup), ("benchmark_decontamination", lambda x: plain_decontamination(x, items))):
+        docs = corpus_pipeline.durable(stages[name](spark, docs, SF), name)
+        rows = plain(rows)
+        assert state(docs.collect()) == state(rows), name
+        assert docs.columns == [*given.columns, "size", "key"] and rows
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    taken = {(r[0]): r[1:] for r in con.execute(f"SELECT doc_id, taken, size FROM ({ORACLE['op7_weighted_mix']})").fetchall()}
+    docs = corpus_pipeline.durable(stages["source_mixing"](spark, docs, SF), "mixed")
+    assert state(docs.collect()) == state([r for r in rows for _ in range(taken[r.doc_id][0] // max(1, taken[r.doc_id][1]))])
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, start = [], 0
+    for i, text, _ in sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, stages["token_output"](spark, docs, SF).collect()), key=lambda x: x[1]) == want
