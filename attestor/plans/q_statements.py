@@ -183,11 +183,11 @@ def _(t: Tables):
     return full.select("story_id", F.array_join(F.transform("items", lambda x: F.concat(x["canonical_id"].cast("string"), F.lit("="), x["v"])), ";").alias("items"))
 
 
-@query("adds_detail", """SELECT a.doc_id, len(list_filter(list_distinct(a.w), lambda x: NOT list_contains(b.w, x) AND length(x) >= 8)) > 3 AS adds FROM (SELECT doc_id, """ + WORDS + """ AS w FROM documents) a JOIN (SELECT doc_id, """ + WORDS + """ AS w FROM documents) b ON b.doc_id = a.doc_id + 11""")
+@query("adds_detail", """SELECT a.doc_id, b.doc_id AS other, len(list_filter(list_distinct(a.w), lambda x: NOT list_contains(b.w, x) AND length(x) >= 8)) > 3 AS adds FROM (SELECT doc_id, """ + WORDS + """ AS w FROM documents) a JOIN (SELECT doc_id, """ + WORDS + """ AS w FROM documents) b ON b.doc_id // 8 = a.doc_id // 8 AND a.doc_id <> b.doc_id""")
 def _(t: Tables):
-    w = t.documents.select("doc_id", words(F.col("text")).alias("w"))
-    b = w.select((F.col("doc_id") - 11).alias("doc_id"), F.col("w").alias("v"))
-    return w.join(b, "doc_id").select("doc_id", (F.size(F.filter(F.array_except("w", "v"), lambda x: F.length(x) >= 8)) > 3).alias("adds"))
+    w = t.documents.select("doc_id", F.expr("doc_id div 8").alias("story"), words(F.col("text")).alias("w"))
+    b = w.select("story", F.col("doc_id").alias("other"), F.col("w").alias("v"))
+    return w.join(b, "story").where("doc_id <> other").select("doc_id", "other", (F.size(F.filter(F.array_except("w", "v"), lambda x: F.length(x) >= 8)) > 3).alias("adds"))
 
 
 @query("fact_in_text", f"""WITH k AS (SELECT item_id, list_distinct(list_filter({WORDS}, lambda x: length(x) >= 9)) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents), h AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(w) AS word FROM k WHERE len(w) >= 2) x JOIN d USING (word) GROUP BY ALL) SELECT h.item_id, h.doc_id, n * 2 >= len(k.w) AS present FROM h JOIN k ON h.item_id = k.item_id WHERE n >= 2""")

@@ -26,11 +26,12 @@ def _(t: Tables):
     return s.select("doc_id", F.array_join(F.transform(X.minhash(F.col("sh")), lambda x: x.cast("string")), ",").alias("signature"))
 
 
-@query("minhash_jaccard", f"WITH {SHINGLES}, {SIGNATURE} SELECT a.doc_id AS a, b.doc_id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.sig[i] = b.sig[i] THEN 1 ELSE 0 END))::DOUBLE / 64 AS estimate FROM m a JOIN m b ON b.doc_id = a.doc_id + 11")
+@query("minhash_jaccard", f"WITH {SHINGLES}, {SIGNATURE} SELECT a.doc_id AS a, b.doc_id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.sig[i] = b.sig[i] THEN 1 ELSE 0 END))::DOUBLE / 64 AS estimate FROM m a JOIN m b ON b.doc_id // 8 = a.doc_id // 8 AND a.doc_id < b.doc_id")
 def _(t: Tables):
     s = t.documents.select("doc_id", X.words(F.col("text")).alias("t")).select("doc_id", X.shingle_set(F.col("t")).alias("sh")).select("doc_id", X.minhash(F.col("sh")).alias("sig"))
-    b = s.select(F.col("doc_id").alias("b"), F.col("sig").alias("other"))
-    return s.join(b, F.col("b") == F.col("doc_id") + 11).select(F.col("doc_id").alias("a"), "b", X.equal_share(F.col("sig"), F.col("other")).alias("estimate"))
+    s = s.withColumn("story", F.expr("doc_id div 8"))
+    b = s.select("story", F.col("doc_id").alias("b"), F.col("sig").alias("other"))
+    return s.join(b, "story").where("doc_id < b").select(F.col("doc_id").alias("a"), "b", X.equal_share(F.col("sig"), F.col("other")).alias("estimate"))
 
 
 AG = [("PTI", r"\bPTI\b|Press Trust"), ("ANI", r"\bANI\b|Asian News"), ("Reuters", r"\bReuters\b"), ("AFP", r"\bAFP\b"), ("AP", r"\bAP\b|Associated Press")]
