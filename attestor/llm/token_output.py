@@ -168,7 +168,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
     coded.write.option("lineSep", SYNC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
+def _parse(data: bytes | memoryview) -> Iterator[tuple[int, int, int, np.ndarray, bytes | memoryview]]:
+    data = memoryview(data).cast("B")
     at, mark = 0, len(SYNC)
     while at < len(data):
         magic, n, size, vocab, n_index, n_payload, crc = _HEAD.unpack_from(data, at)
@@ -176,7 +177,7 @@ def _parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
             raise ValueError("no block where one should begin")
         body = at + _HEAD.size
         end = body + n_index + n_payload
-        if zlib.crc32(data[at + 4 : at + _HEAD.size - 4] + data[body:end]) != crc:
+        if zlib.crc32(data[body:end], zlib.crc32(data[at + 4 : at + _HEAD.size - 4])) != crc:
             raise ValueError("block check sum")
         if data[end : end + mark] != SYNC:
             raise ValueError("no sync mark behind a block")
@@ -185,7 +186,7 @@ def _parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
         at = end + mark
 
 
-def read_ids(data: bytes, lanes: int = LANES) -> Iterator[tuple[int | None | bool, np.ndarray]]:
+def read_ids(data: bytes | memoryview, lanes: int = LANES) -> Iterator[tuple[int | None | bool, np.ndarray]]:
     """``(key, ids)`` pieces of a file in order; where a document goes on in a later group of blocks, the key of that piece is False."""
     group: list[tuple[int, int, int, np.ndarray, bytes]] = []
 
@@ -221,7 +222,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out: list[list] = []
                 at = 0
-                for doc, ids in read_ids(content.as_py()):
+                for doc, ids in read_ids(memoryview(content.as_buffer())):
                     crc = ids.astype("<u4").tobytes()
                     if doc is False:
                         out[-1][2] += len(ids)

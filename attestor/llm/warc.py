@@ -7,6 +7,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -106,21 +107,24 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, date: str =
     members.write.option("lineSep", _ENCODED).option("encoding", "ISO-8859-1").text(path)
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record of a multi-member gzip archive, in order.
 
-    Members are inflated one after the other by a decompressor that is fed in
-    chunks; the block is framed by Content-Length, and its digest is verified.
+    The archive is read in chunks, and members are inflated one after the other, so what is held is one
+    record; the block is framed by Content-Length, and its digest is verified.
     Raises ValueError on a broken member, frame or digest.
     """
-    at = 0
-    while at < len(data):
+    ahead = b""
+    while True:
         inflate, parts = zlib.decompressobj(31), []
         while not inflate.eof:
-            if at >= len(data):
-                raise ValueError("the last gzip member is cut off")
-            parts.append(inflate.decompress(data[at : at + _CHUNK]))
-            at = min(at + _CHUNK, len(data)) - len(inflate.unused_data)
+            chunk = ahead or source.read(_CHUNK)
+            if not chunk:
+                if parts:
+                    raise ValueError("the last gzip member is cut off")
+                return
+            parts.append(inflate.decompress(chunk))
+            ahead = inflate.unused_data
         plain = b"".join(parts)
         if not plain:
             continue
@@ -147,7 +151,7 @@ def read_archive(spark: SparkSession, path: str, with_html: bool = True) -> Data
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for fields, block in read_records(content.as_py()):
+                for fields, block in read_records(pa.BufferReader(content.as_buffer())):
                     payload, kind = block[block.index(b"\r\n\r\n") + 4 :], fields["WARC-Type"]
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     n = int(fields["X-Payload-Bytes"])

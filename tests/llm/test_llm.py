@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 import zlib
 
@@ -304,12 +305,27 @@ def test_warc_round_trip_and_revisits(spark):
     assert bytes(got[5].html) == ("é" * 100000).encode()
 
 
+def test_archives_of_odd_tables(spark):
+    """Repeated rows, nulls and clashing columns each give their record; an empty table gives an empty result."""
+    rows = [(1, "u", "x"), (1, "u", "x"), (None, None, None), (2, "v", None), (3, "w", "x"), (4, "y", "x y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'no' AS record_type", "5 AS payload_bytes", "'z' AS hex")
+    path = fresh_path(spark, "warc")
+    warc.write_archive(pages, path)
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, path, with_html=False).collect()]
+    assert len(got) == len(rows) and {g[0] for g in got} == {1, 2, 3, 4, None}
+    assert {g[1:] for g in got if g[0] == 3} == {(1, "revisit", 1)} and {g[1] for g in got if g[0] == 4} == {900_000}
+    assert [g for g in got if g[0] == 1] == [(1, 1, "response", None)] * 2
+    empty = fresh_path(spark, "warc")
+    warc.write_archive(pages.where("false"), empty)
+    assert warc.read_archive(spark, empty).count() == 0
+
+
 def test_warc_reader_checks_frames_and_digests():
     one = warc.record("response", "u", b"hello", [("X-Page-Id", "1")], "d", warc.sha1(b"hello"))
-    assert [b[-5:] for _, b in warc.read_records(one + warc.SEPARATOR + one)] == [b"hello", b"hello"]
+    assert [b[-5:] for _, b in warc.read_records(io.BytesIO(one + warc.SEPARATOR + one))] == [b"hello", b"hello"]
     for bad in (one[:-3], zlib.compress(b"no") and warc._member(b"nothing\r\n\r\n", 6), warc._member(zlib.decompress(one, 31).replace(b"hello", b"hullo"), 6)):
         with pytest.raises((ValueError, zlib.error)):
-            list(warc.read_records(bad))
+            list(warc.read_records(io.BytesIO(bad)))
 
 
 def brute_cut(gains, edges):
