@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import decontam, html_text, mixing, pii, quality, sharding, simhash, substring, token_output, warc
+from attestor.llm import collocations, decontam, html_text, mixing, pii, quality, sharding, simhash, substring, token_output, warc
 from attestor.plans.durable import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,29 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_
     path = fresh_path(spark, "ids")
     token_output.write_tokens(docs, path, public_tokenizers.path(tokenizer))
     return token_output.read_tokens(spark, path)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+COLLOCATION_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS body FROM documents),
+p AS (SELECT lang, unnest(regexp_extract_all(body, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM g) GROUP BY lang, phrase, k HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, k, string_split(phrase, ' ') AS v, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (c.a::HUGEINT * 2000000) // (x.f::HUGEINT + y.f) AS score FROM c
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.v[1:cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.v[cut + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM s),
+h AS (SELECT lang, part, max(f) AS longer FROM (SELECT c.lang, c.a AS f, unnest(list_transform(range(1, c.k - m + 2), lambda i: array_to_string(c.v[i:i + m - 1], ' '))) AS part
+  FROM c, (VALUES (2), (3)) AS sizes(m) WHERE c.cut = 1 AND m < c.k) GROUP BY lang, part),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.part = b.phrase
+  WHERE place = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a))
+SELECT o.lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
