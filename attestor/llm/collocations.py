@@ -29,8 +29,8 @@ from attestor.plans.durable import durable
 SLICE = 12 << 20
 #: Bits of the filter of frequent phrases: 16 for each, but no more than this (64 MB; beyond it more phrases pass, and the counts stay exact).
 MOST_BITS = 1 << 29
-#: Segments of the empty prefix's stripe, and the least number for others.
-WORD_SEGMENTS, SEGMENTS = 1024, 8
+#: The stripe of a prefix that makes up a ``HOT``-th of all words is dealt in ``SEGMENTS`` segments, and so is that of the empty prefix.
+HOT, SEGMENTS = 4096, 1024
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -39,7 +39,8 @@ _GAP[[ord(" "), ord("\t")]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _FACTORS = odd(31, 8)
-_STRIPES = "lang string, prefix string, segment int, stripe array<struct<next: string, n: long>>"
+#: The counter of a stripe: words (they hold no spaces) joined by spaces, and their counts.
+_STRIPES = "lang string, prefix string, segment int, words string, counts array<int>"
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,11 @@ def frequent_filter(grams: DataFrame, count: int) -> np.ndarray:
     return bitmap
 
 
-def _stripes(lang: str, ids: np.ndarray, words: pa.Array, fresh: np.ndarray, k: int, bitmap: np.ndarray | None, segments: int) -> pa.RecordBatch | None:
+def _rows(lang: pa.Array, prefix: pa.Array, segment: np.ndarray, words: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, prefix, pa.array(segment, pa.int32()), words, counts], ["lang", "prefix", "segment", "words", "counts"])
+
+
+def _stripes(lang: str, ids: np.ndarray, words: pa.Array, fresh: np.ndarray, k: int, bitmap: np.ndarray | None, hot: pa.Array) -> pa.RecordBatch | None:
     """The stripes of the phrases of ``k`` words in a slice, as rows of ``_STRIPES``."""
     n, size = len(ids), len(words)
     hashes = _hashes(words)
@@ -149,28 +154,34 @@ def _stripes(lang: str, ids: np.ndarray, words: pa.Array, fresh: np.ndarray, k:
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
     at = at[first]
     prefix = key[first] // size if k > 1 else np.zeros(len(first), np.int64)
-    segment = (hashes[ids[at + k - 1]] % np.uint64(segments)).astype(np.int64)
+    spell = lambda places: words.take(pa.array(ids[places])).cast(pa.large_string()).cast(pa.string())
+    heads = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+    start = pc.binary_join_element_wise(*[spell(at[heads] + j) for j in range(k - 1)], " ") if k > 1 else pa.array([""])
+    split = np.repeat(pc.is_in(start, hot).to_numpy(zero_copy_only=False), np.diff(np.append(heads, len(at))))
+    segment = np.where(split, (hashes[ids[at + k - 1]] % np.uint64(SEGMENTS)).astype(np.int64), 0)
     order = np.lexsort((segment, prefix))
     at, counts, prefix, segment = at[order], counts[order], prefix[order], segment[order]
+    place = np.searchsorted(prefix[heads], prefix)
     heads = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])))
-    spell = lambda places: words.take(pa.array(ids[places])).cast(pa.large_string()).cast(pa.string())
-    start = pc.binary_join_element_wise(*[spell(at[heads] + j) for j in range(k - 1)], " ") if k > 1 else pa.array([""] * len(heads), pa.string())
-    entries = pa.StructArray.from_arrays([spell(at + k - 1), pa.array(counts, pa.int64())], ["next", "n"])
-    stripe = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)), pa.int32()), entries)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(heads), pa.string()), start, pa.array(segment[heads], pa.int32()), stripe], ["lang", "prefix", "segment", "stripe"])
+    bounds = pa.array(np.append(heads, len(at)), pa.int32())
+    named = pc.binary_join(pa.ListArray.from_arrays(bounds, spell(at + k - 1)), " ")
+    return _rows(pa.array([lang] * len(heads), pa.string()), start.take(pa.array(place[heads])), segment[heads], named, pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int32())))
 
 
 def _total(lang: str, n: int) -> pa.RecordBatch:
     """The stripe without a prefix: how many words there are."""
-    stripe = pa.array([[{"next": "", "n": n}]], pa.list_(pa.struct([("next", pa.string()), ("n", pa.int64())])))
-    return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), stripe], ["lang", "prefix", "segment", "stripe"])
+    return _rows(pa.array([lang]), pa.array([None], pa.string()), np.zeros(1), pa.array([""]), pa.array([[n]], pa.list_(pa.int32())))
 
 
-def stripes(texts: DataFrame, k: int, bitmap: np.ndarray | None, segments: int) -> DataFrame:
-    """Partial stripes of all phrases of ``k`` words of (lang, text) rows, a row for each prefix, segment and slice."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+def stripes(texts: DataFrame, k: int, bitmap: np.ndarray | None, hot: dict[str, list[str]]) -> DataFrame:
+    """Partial stripes of all phrases of ``k`` words of (lang, text) rows, a row for each prefix and segment in a slice.
+
+    ``hot`` names the prefixes of each language whose stripes are dealt in segments.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, hot = shared.value
         for batch in batches:
             langs = batch.column(0)
             for lang in pc.unique(langs).to_pylist():
@@ -178,7 +189,7 @@ def stripes(texts: DataFrame, k: int, bitmap: np.ndarray | None, segments: int)
                 for ids, words, fresh in _slices(column):
                     if k == 1:
                         yield _total(lang, len(ids))
-                    found = _stripes(lang, ids, words, fresh, k, shared.value, segments)
+                    found = _stripes(lang, ids, words, fresh, k, bitmap, pa.array(hot.get(lang, []) if k > 1 else [""], pa.string()))
                     if found is not None:
                         yield found
 
@@ -190,7 +201,8 @@ def merged(partial: DataFrame, least: int) -> DataFrame:
 
     Stripes are dealt once, by prefix and segment; the sums need no further shuffle.
     """
-    dealt = partial.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.inline("stripe"))
+    entries = F.arrays_zip(F.split("words", " ").alias("next"), F.col("counts").alias("n"))
+    dealt = partial.repartition("lang", "prefix", "segment").select("lang", "prefix", "segment", F.inline(entries).alias("next", "n"))
     sums = dealt.groupBy("lang", "prefix", "segment", "next").agg(F.sum("n").alias("n"))
     return sums.where((F.col("n") >= least) | F.col("prefix").isNull()).drop("segment")
 
@@ -198,11 +210,12 @@ def merged(partial: DataFrame, least: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(phrases, totals)``: (lang, phrase, k, f) of all phrases of 1 to ``longest`` words with ``least`` occurrences, and (lang, n)."""
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")).where(F.octet_length("text") > 0)
-    levels, bitmap, totals, segments = [], None, None, WORD_SEGMENTS
+    levels, bitmap, totals, n, hot = [], None, None, 0, {}
     for k in range(1, longest + 1):
-        found = durable(merged(stripes(texts, k, bitmap, segments), least), f"stripes-{k}")
+        found = durable(merged(stripes(texts, k, bitmap, hot), least), f"stripes-{k}")
         if k == 1:
             totals = found.where("prefix IS NULL").select("lang", "n")
+            n = totals.agg(F.sum("n")).first()[0] or 0
             found = found.where("prefix IS NOT NULL")
         phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")) if k == 1 else F.concat_ws(" ", "prefix", "next")
         grams = found.select("lang", phrase.alias("phrase"), F.lit(k).alias("k"), F.col("n").alias("f"))
@@ -210,10 +223,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         count = grams.count()
         if not count:
             break
-        if k == 1:
-            segments = max(SEGMENTS, count // 4096)
         if k < longest:
             bitmap = frequent_filter(grams, count)
+            hot = {}  # a HOT-th of all words each: no more than HOT * k prefixes
+            for row in grams.where(F.col("f") * HOT >= n).select("lang", "phrase").toLocalIterator():
+                hot.setdefault(row.lang, []).append(row.phrase)
     phrases = levels[0]
     for grams in levels[1:]:
         phrases = phrases.unionByName(grams)
