@@ -26,7 +26,7 @@ from attestor.llm.words import mix, odd
 from attestor.plans.durable import durable
 
 #: Texts are counted in slices of about so many bytes, cut where a piece ends (a piece that is longer is one slice).
-SLICE = 12 << 20
+SLICE = 8 << 20
 #: Bits of the filter of frequent phrases: 16 for each, but no more than this (64 MB; beyond it more phrases pass, and the counts stay exact).
 MOST_BITS = 1 << 29
 #: The stripe of a prefix that makes up a ``HOT``-th of all words is dealt in ``SEGMENTS`` segments, and so is that of the empty prefix.
@@ -72,13 +72,15 @@ def _slices(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray
         lo = hi
         if not len(at):
             continue
-        ends = _BREAK[part].astype(np.int32)
+        kind = np.int32 if len(part) < 1 << 30 else np.int64  # running counts are the largest arrays here
+        ends = _BREAK[part].astype(kind)
         np.add.at(ends, heads, 1)
-        piece = np.cumsum(ends)[at]
+        piece = np.cumsum(ends, out=ends)[at]
         fresh = np.ones(len(at), bool)
         fresh[1:] = piece[1:] != piece[:-1]
         letters = part[inside]
-        offsets = np.append(np.cumsum(inside)[at] - 1, len(letters)).astype(np.int64)
+        offsets = np.append(np.cumsum(inside, dtype=kind, out=ends)[at] - 1, len(letters)).astype(np.int64)
+        del part, inside, begins, ends, piece
         coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
         yield coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, fresh
 
