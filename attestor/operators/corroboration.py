@@ -235,6 +235,22 @@ def informative_facts(matrix: DataFrame) -> DataFrame:
     return f.join(n, "story_id").where("(pos > 0 AND neg > 0) OR (pos >= 2 AND told < groups)").select("story_id", "canonical_id", "pos", "neg")
 
 
+def coverage(told: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``(story_id, item, unit, told)``: what every unit of a story reports of its facts, and what it leaves out.
+
+    ``told`` (story_id, item, unit) has what the read articles report, no governments among the units; facts are what two units report, and
+    stories need three.  ``found`` (story_id, item, unit) names facts that stand in a unit's text though nothing was extracted: these are neither.
+    """
+    told = told.select("story_id", "item", "unit").distinct()
+    units = told.select("story_id", "unit").distinct()
+    wide = units.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("story_id")
+    facts = told.join(wide, "story_id", "left_semi").groupBy("story_id", "item").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("story_id", "item")
+    rows = facts.join(units, "story_id").join(told.withColumn("told", F.lit(True)), ["story_id", "item", "unit"], "left")
+    if found is not None:
+        rows = rows.join(found.select("story_id", "item", "unit").distinct().withColumn("__found", F.lit(True)), ["story_id", "item", "unit"], "left").where("told OR __found IS NULL").drop("__found")
+    return rows.withColumn("told", F.coalesce("told", F.lit(False)))
+
+
 def pairwise_agreement(matrix: DataFrame) -> DataFrame:
     """Agreement of two groups in a story: the mean of the products of their stances, over the facts both tell."""
     a = matrix.select("story_id", "canonical_id", F.col("grp").alias("a"), F.col("stance").alias("x"))

@@ -60,14 +60,6 @@ def _(t: Tables):
     return a.join(b, "story_id").where("a < b").select("a", "b", same.alias("relation"))
 
 
-@query("coverage_omission", """WITH f AS (SELECT story_id, loaded_word FROM v_claims GROUP BY ALL HAVING count(DISTINCT article_id) >= 2), u AS (SELECT DISTINCT story_id, article_id % 10 AS unit FROM v_claims) SELECT f.story_id, unit, count(*) AS omitted FROM f JOIN u ON f.story_id = u.story_id WHERE NOT EXISTS (SELECT 1 FROM v_claims c WHERE c.story_id = f.story_id AND c.loaded_word = f.loaded_word AND c.article_id % 10 = u.unit) GROUP BY ALL""")
-def _(t: Tables):
-    c = t.v_claims.withColumn("unit", F.col("article_id") % 10)
-    f = c.groupBy("story_id", "loaded_word").agg(F.count_distinct("article_id").alias("n")).where("n >= 2").drop("n")
-    told = c.select("story_id", "loaded_word", "unit").distinct()
-    return f.join(c.select("story_id", "unit").distinct(), "story_id").join(told, ["story_id", "loaded_word", "unit"], "left_anti").groupBy("story_id", "unit").agg(F.count(F.lit(1)).alias("omitted"))
-
-
 @query("spelling_variant", """SELECT a.c_custkey AS a, b.c_custkey AS b, left(a.c_name, 1) = left(b.c_name, 1) AND levenshtein(a.c_name, b.c_name) <= 0.05 * greatest(length(a.c_name), length(b.c_name)) AS variant FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1""")
 def _(t: Tables):
     a, b = t.customer.select(F.col("c_custkey").alias("a"), F.col("c_name").alias("x")), t.customer.select((F.col("c_custkey") - 1).alias("a"), F.col("c_custkey").alias("b"), F.col("c_name").alias("y"))

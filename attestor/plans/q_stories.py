@@ -63,14 +63,6 @@ def _(t: Tables):
     return S.align_labels(new, old, "article_id")
 
 
-@query("position_items", f"WITH {OWNERS}, {MATRIX} SELECT story_id, 'stance' AS type, canonical_id AS item, grp AS unit, CASE WHEN stance > 0 THEN 1 ELSE 0 END AS y FROM mx UNION ALL SELECT story_id, 'framing', canonical_id, grp, CASE WHEN max(loaded_word) > 'w5' THEN 1 ELSE 0 END FROM v_claims JOIN grp3 USING (article_id) GROUP BY story_id, canonical_id, grp")
-def _(t: Tables):
-    g = owners(t)
-    a = C.stance_matrix(t.v_claims, g).select("story_id", F.lit("stance").alias("type"), F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("stance") > 0).cast("int").alias("y"))
-    b = t.v_claims.join(g, "article_id").groupBy("story_id", "canonical_id", "grp").agg(F.max("loaded_word").alias("w"))
-    return a.unionByName(b.select("story_id", F.lit("framing").alias("type"), F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("w") > "w5").cast("int").alias("y")))
-
-
 EV = "ev AS (SELECT story_id, canonical_id, min(t_start) AS s, max(t_end) AS e FROM v_claims WHERE kind = 'event' GROUP BY ALL)"
 
 
