@@ -29,7 +29,7 @@ LEVELS, PLANES = 4, 6
 #: Rows of a block, and the least number of blocks that rows are dealt to (so that small tables use a cluster too).
 BLOCK, LEAST_BLOCKS = 65536, 24
 #: Anchors and rows of a tile, whose intervals are in memory together.
-TILE_A, TILE_R = 64, 4096
+TILE_A, TILE_R, FIRST = 64, 4096, 256
 MOST = 1 << 28
 _CODED = "id long, label long, v array<int>, codes array<long>, align array<double>, rest array<double>"
 
@@ -68,92 +68,103 @@ def encode(v: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray,
     return np.stack(codes, 1), np.stack(align, 1), np.stack(rest, 1)
 
 
-class _Anchors:
-    """Anchors as bit planes of their rotated vectors."""
-
-    def __init__(self, v: np.ndarray):
-        x = rotate(v.astype(np.float64))
-        self.root = np.sqrt(x.shape[1])
-        self.length = np.linalg.norm(x, axis=1)
-        self.low = x.min(axis=1)
-        self.step = (x.max(axis=1) - self.low) / ((1 << PLANES) - 1)
-        u = np.where(self.step[:, None] > 0, np.rint((x - self.low[:, None]) / np.where(self.step > 0, self.step, 1)[:, None]), 0).astype(np.int64)
-        known = self.low[:, None] + self.step[:, None] * u
-        self.off = np.abs(x - known).sum(axis=1) / self.root
-        self.whole = known.sum(axis=1)
-        self.planes = [_packed((u >> b) & 1) for b in range(PLANES)]
-
-    def meet(self, a: np.ndarray | slice, codes: np.ndarray) -> np.ndarray:
-        """Inner products of anchors and unit code vectors, shapes broadcast over all but the words."""
-        ones = np.bitwise_count(codes).sum(axis=-1, dtype=np.float64)
-        total = 0.0
-        for b, plane in enumerate(self.planes):
-            total = total + np.bitwise_count(plane[a] & codes).sum(axis=-1, dtype=np.float64) * (1 << b)
-        low, step, whole = self.low[a], self.step[a], self.whole[a]
-        return (2 * (low * ones + step * total) - whole) / self.root
+def _common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many bits are set in both, over the words of the last axis."""
+    out = np.bitwise_count(one[..., 0] & two[..., 0]).astype(np.int32)
+    for w in range(1, one.shape[-1]):
+        out += np.bitwise_count(one[..., w] & two[..., w])
+    return out
 
 
 class _Block:
-    """Rows of a block and the anchors that meet them."""
+    """Rows of a block and the anchors that meet them, both in the order of their labels."""
 
     def __init__(self, anchors: pa.Table, rows: pa.Table):
+        anchors, rows = anchors.sort_by("label"), rows.sort_by("label")
+        self.table = anchors
         self.a_id, self.a_label, self.a_v = _columns(anchors)
         self.id, self.label, self.v = _columns(rows)
-        self.codes = np.array(rows["codes"].combine_chunks().flatten(), np.int64).view(np.uint64).reshape(len(self.id), LEVELS, -1)
-        self.align = np.array(rows["align"].combine_chunks().flatten()).reshape(len(self.id), LEVELS)
-        self.rest = np.array(rows["rest"].combine_chunks().flatten()).reshape(len(self.id), LEVELS)
-        self.anchors = _Anchors(self.a_v)
-
-    def tiles(self) -> Iterator[tuple[slice, slice]]:
-        for i in range(0, len(self.a_id), TILE_A):
-            for j in range(0, len(self.id), TILE_R):
-                yield slice(i, min(i + TILE_A, len(self.a_id))), slice(j, min(j + TILE_R, len(self.id)))
-
-    def first(self, a: slice, r: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(estimate, low, high)`` of a tile by the first code.
+        n = len(self.id)
+        flat = lambda name: np.array(rows[name].combine_chunks().flatten()).reshape(n, LEVELS, -1)
+        self.codes = flat("codes").view(np.uint64)
+        self.align, self.rest = flat("align")[:, :, 0], flat("rest")[:, :, 0]
+        self.ones = np.stack([_common(self.codes[:, k], self.codes[:, k]) for k in range(LEVELS)], 1)
+        self.reach = np.cumsum(self.align, axis=1)
+        # anchors as bit planes of their rotated vectors: low + step * (plane 0 + 2 plane 1 + ...), and what that leaves over
+        x = rotate(self.a_v.astype(np.float64))
+        self.root, self.length, self.low = np.sqrt(x.shape[1]), np.linalg.norm(x, axis=1), x.min(axis=1)
+        self.step = (x.max(axis=1) - self.low) / ((1 << PLANES) - 1)
+        u = np.rint((x - self.low[:, None]) / np.where(self.step > 0, self.step, 1)[:, None]).astype(np.int64)
+        known = self.low[:, None] + self.step[:, None] * u
+        self.off, self.whole = np.abs(x - known).sum(axis=1) / self.root, known.sum(axis=1)
+        self.planes = [_packed((u >> b) & 1) for b in range(PLANES)]
 
-        The rest is at right angles to the code, so only what the anchor has beside the code counts.
+    def tiles(self, same_label: bool) -> Iterator[tuple[slice, slice]]:
+        """Anchors and rows that meet: those of one label, or all.  A few rows come first, so that there are scores to beat."""
+        if same_label:
+            edges = lambda x: np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)).tolist()
+            mine, theirs = edges(self.a_label), edges(self.label)
+            rows = {int(self.label[lo]): (lo, hi) for lo, hi in zip(theirs, theirs[1:])}
+            parts = [(lo, hi, *rows[int(self.a_label[lo])]) for lo, hi in zip(mine, mine[1:]) if int(self.a_label[lo]) in rows]
+        else:
+            parts = [(0, len(self.a_id), 0, len(self.id))]
+        for a_lo, a_hi, r_lo, r_hi in parts:
+            for i in range(a_lo, a_hi, TILE_A):
+                j, size = r_lo, FIRST
+                while j < r_hi:
+                    yield slice(i, min(i + TILE_A, a_hi)), slice(j, min(j + size, r_hi))
+                    j, size = j + size, TILE_R
+
+    def meet(self, i: np.ndarray, j: np.ndarray, level: int) -> np.ndarray:
+        """Inner products of anchors and unit code vectors, i and j broadcast."""
+        codes = self.codes[j, level]
+        total = _common(self.planes[0][i], codes)
+        for b in range(1, PLANES):
+            total += _common(self.planes[b][i], codes) << b
+        return (2 * (self.low[i] * self.ones[j, level] + self.step[i] * total) - self.whole[i]) / self.root
+
+    def width(self, i: np.ndarray, j: np.ndarray, level: int, met: np.ndarray | None = None) -> np.ndarray:
+        """How far a score can be from its estimate by the codes up to ``level``.
+
+        The rest after the first code is at right angles to it, so that only what the anchor has beside the code counts there.
         """
-        cut = self.anchors.__class__.__new__(_Anchors)
-        cut.__dict__ = {k: (x[a, None] if isinstance(x, np.ndarray) and x.ndim == 1 else [p[a, None] for p in x] if isinstance(x, list) else x) for k, x in self.anchors.__dict__.items()}
-        met = cut.meet(slice(None), self.codes[None, r, 0])
-        beside = np.sqrt(np.maximum(cut.length**2 - np.maximum(np.abs(met) - cut.off, 0) ** 2, 0))
-        estimate = met * self.align[r, 0]
-        wide = self.align[r, 0] * cut.off + self.rest[r, 0] * beside + self._slack(cut.length, r)
-        return estimate, estimate - wide, estimate + wide
-
-    def finer(self, i: np.ndarray, j: np.ndarray, estimate: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same for pairs (i, j) with one code more."""
-        estimate = estimate + self.anchors.meet(i, self.codes[j, level]) * self.align[j, level]
-        wide = self.align[j, : level + 1].sum(axis=1) * self.anchors.off[i] + self.rest[j, level] * self.anchors.length[i] + self._slack(self.anchors.length[i], j)
-        return estimate, estimate - wide, estimate + wide
-
-    def _slack(self, length: np.ndarray, r) -> np.ndarray:
-        """Room for the rounding of doubles."""
-        return 1e-9 * (1 + length * (self.align[r].sum(axis=-1) + self.rest[r, 0]))
+        length = self.length[i]
+        if met is not None:
+            length = np.sqrt(np.maximum(length**2 - np.maximum(np.abs(met) - self.off[i], 0) ** 2, 0))
+        slack = 1e-9 * (1 + self.length[i] * (self.reach[j, -1] + self.rest[j, 0]))  # room for the rounding of doubles
+        return self.reach[j, level] * self.off[i] + self.rest[j, level] * length + slack
 
     def score(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.empty(len(i), np.int64)
         for lo in range(0, len(i), 1 << 16):
-            out[lo : lo + (1 << 16)] = (self.a_v[i[lo : lo + (1 << 16)]] * self.v[j[lo : lo + (1 << 16)]]).sum(axis=1)
+            at = slice(lo, lo + (1 << 16))
+            out[at] = np.einsum("ij,ij->i", self.a_v[i[at]], self.v[j[at]])
         return out
 
     def narrowed(self, a: slice, r: slice, allowed: np.ndarray, need) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(i, j, score)`` of the pairs of a tile that survive all codes.
+        """``(i, j, score)`` of the pairs of a tile whose intervals still matter after all codes.
 
-        ``need(low, high, allowed)``, on tiles, tells which pairs can still matter.
+        ``need(i, low, high)`` tells which do.  While most of a tile is left it is compared whole, then pair by pair.
         """
-        estimate, low, high = self.first(a, r)
-        allowed = allowed & need(low, high, allowed)
-        for level in range(1, LEVELS):
-            x, y = np.nonzero(allowed)
-            if not len(x):
+        i, j = np.arange(a.start, a.stop)[:, None], np.arange(r.start, r.stop)[None]
+        estimate, level = 0.0, 0
+        while level < LEVELS:
+            met = self.meet(i, j, level)
+            estimate = estimate + met * self.align[j, level]
+            wide = self.width(i, j, level, met if level == 0 else None)
+            level += 1
+            allowed = allowed & need(i, estimate - wide, estimate + wide)
+            if np.count_nonzero(allowed) < 0.2 * allowed.size:
                 break
-            e, lo, hi = self.finer(x + a.start, y + r.start, estimate[x, y], level)
-            estimate[x, y], low[x, y], high[x, y] = e, np.maximum(low[x, y], lo), np.minimum(high[x, y], hi)
-            allowed = allowed & need(low, high, allowed)
         x, y = np.nonzero(allowed)
-        return x + a.start, y + r.start, self.score(x + a.start, y + r.start)
+        i, j, estimate = x + a.start, y + r.start, estimate[x, y]
+        while level < LEVELS and len(i):
+            estimate = estimate + self.meet(i, j, level) * self.align[j, level]
+            wide = self.width(i, j, level)
+            level += 1
+            left = np.flatnonzero(need(i, estimate - wide, estimate + wide))
+            i, j, estimate = i[left], j[left], estimate[left]
+        return i, j, self.score(i, j)
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,13 +172,6 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table["id"].to_numpy(), table["label"].to_numpy(), v.reshape(table.num_rows, -1)
 
 
-def _kth(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of every row (minus infinity if there are fewer)."""
-    if values.shape[1] < k:
-        return np.full(len(values), -np.inf)
-    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k]
-
-
 def _best(group: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first k of each group, by score descending and id."""
     order = np.lexsort((who, -score, group))
@@ -177,6 +181,12 @@ def _best(group: np.ndarray, score: np.ndarray, who: np.ndarray, k: int) -> tupl
     return group[keep], score[keep], who[keep]
 
 
+def _raise_floor(floor: np.ndarray, group: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Where a group has k scores, only that of the last and better ones matter any more."""
+    full = np.flatnonzero(np.bincount(group, minlength=len(floor)) == k)
+    floor[full] = score[np.searchsorted(group, full, "right") - 1]
+
+
 def _nearest(k: int):
     """Of every anchor, the k best rows of its label in the block."""
 
@@ -186,16 +196,10 @@ def _nearest(k: int):
         b = _Block(anchors, rows)
         group, score, who = (np.empty(0, np.int64) for _ in range(3))
         floor = np.full(len(b.a_id), -np.inf)
-        for a, r in b.tiles():
-            allowed = (b.a_label[a, None] == b.label[r]) & (b.a_id[a, None] != b.id[r])
-
-            def need(low, high, still, a=a):
-                return high >= np.maximum(floor[a], _kth(np.where(still, low, -np.inf), k))[:, None]
-
-            i, j, s = b.narrowed(a, r, allowed, need)
+        for a, r in b.tiles(True):
+            i, j, s = b.narrowed(a, r, b.a_id[a, None] != b.id[r], lambda i, low, high: high >= floor[i])
             group, score, who = _best(np.append(group, i), np.append(score, s), np.append(who, b.id[j]), k)
-            full = np.flatnonzero(np.bincount(group, minlength=len(b.a_id)) == k)
-            floor[full] = score[np.searchsorted(group, full, "right") - 1]
+            _raise_floor(floor, group, score, k)
         return pa.table({"anchor_id": b.a_id[group], "id": who, "score": score})
 
     return run
@@ -208,29 +212,27 @@ def _between(k: int, slots: int, low_share: tuple[int, int], high_share: tuple[i
         out = {"anchor_id": [], "slot": [], "id": [], "score": []}
         if anchors.num_rows and rows.num_rows:
             b = _Block(anchors, rows)
-            given = anchors["scores"].to_pylist()
-            n = len(given)
-            lows, highs = np.full((slots, n), np.inf), np.full((slots, n), -np.inf)
-            for i, scores in enumerate(given):
-                for s, p in enumerate(scores):  # whole numbers of any size: the bounds are the first and last score allowed
+            lows, highs = np.full((slots, len(b.a_id)), np.inf), np.full((slots, len(b.a_id)), -np.inf)
+            for i, scores in enumerate(b.table["scores"].to_pylist()):
+                for s, p in enumerate(scores):  # whole numbers: the first and the last score allowed
                     lows[s, i], highs[s, i] = -(-low_share[0] * p // low_share[1]), high_share[0] * p // high_share[1]
+            floors = lows.copy()
             kept = [tuple(np.empty(0, np.int64) for _ in range(3)) for _ in range(slots)]
-            for a, r in b.tiles():
-                allowed = b.a_label[a, None] != b.label[r]
-
-                def need(low, high, still, a=a):
-                    some = np.zeros(low.shape, bool)
-                    for s in range(slots):
-                        top, bottom = highs[s, a, None], lows[s, a, None]
-                        certain = _kth(np.where(still & (high <= top), low, -np.inf), k)[:, None]
-                        some |= (high >= np.maximum(bottom, certain)) & (low <= top)
-                    return some
-
-                i, j, score = b.narrowed(a, r, allowed, need)
+
+            def need(i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+                some = np.zeros(low.shape, bool)
+                for s in range(slots):
+                    some |= (high >= floors[s, i]) & (low <= highs[s, i])
+                return some
+
+            for a, r in b.tiles(False):
+                i, j, score = b.narrowed(a, r, b.a_label[a, None] != b.label[r], need)
                 for s in range(slots):
-                    fit = (score >= lows[s, i]) & (score <= highs[s, i])
-                    g, sc, who = kept[s]
-                    kept[s] = _best(np.append(g, i[fit]), np.append(sc, score[fit]), np.append(who, b.id[j[fit]]), k)
+                    fit = (score >= floors[s, i]) & (score <= highs[s, i])
+                    if fit.any():
+                        g, sc, who = kept[s]
+                        kept[s] = _best(np.append(g, i[fit]), np.append(sc, score[fit]), np.append(who, b.id[j[fit]]), k)
+                        _raise_floor(floors[s], kept[s][0], kept[s][1], k)
             for s, (g, sc, who) in enumerate(kept):
                 for name, x in zip(out, (b.a_id[g], np.full(len(g), s), who, sc)):
                     out[name].append(x)

@@ -117,16 +117,17 @@ def test_intervals_hold_every_score():
     rows = pa.table({"id": range(200), "label": [0] * 200, "v": lists(v), "codes": lists(codes.view(np.int64)), "align": lists(align), "rest": lists(rest)})
     block = hard_negatives._Block(rows.slice(0, 20), rows)
     true = (v[:20, None] * v[None]).sum(axis=2)
-    estimate, low, high = block.first(slice(0, 20), slice(0, 200))
-    assert ((low <= true) & (true <= high)).all()
-    i, j = np.indices(true.shape).reshape(2, -1)
-    estimate, width = estimate[i, j], (high - low).mean()
-    for level in range(1, hard_negatives.LEVELS):
-        estimate, low, high = block.finer(i, j, estimate, level)
-        assert ((low <= true[i, j]) & (true[i, j] <= high)).all()
-        assert (high - low).mean() < width
-        width = (high - low).mean()
-    assert (block.score(i, j) == true[i, j]).all()
+    i, j = np.arange(20)[:, None], np.arange(200)[None]
+    estimate, before = 0.0, math.inf
+    for level in range(hard_negatives.LEVELS):
+        met = block.meet(i, j, level)
+        estimate = estimate + met * block.align[j, level]
+        wide = block.width(i, j, level, met if level == 0 else None)
+        assert (np.abs(true - estimate) <= wide).all()
+        assert wide.mean() < before
+        before = wide.mean()
+    x, y = np.indices(true.shape).reshape(2, -1)
+    assert (block.score(x, y) == true[x, y]).all()
 
 
 def test_languages_of_held_out_documents(spark):
