@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from attestor.plans.durable import durable
 
 #: What the items' parameters are held back by (a and b), and how many steps and how little movement end a fit.
-HOLD_A, HOLD_B, MOST_STEPS, STILL = 0.1, 1.0, 400, 1e-8
-#: Movement that ends the fits of a test, which need ranges and correlations only.
-STILL_TEST = 1e-3
+HOLD_A, HOLD_B, MOST_STEPS, STILL = 0.1, 1.0, 400, 1e-7
+#: Steps whose curvature is remembered.
+PAST = 6
+#: The same for the fits of a test, which need ranges and correlations only.
+STILL_TEST, MOST_STEPS_TEST = 1e-3, 60
 #: Positions of all fits of a run together (8 bytes each travel with every step).
 MOST_POSITIONS = 4_000_000
 #: The rule of a signal: stable, separated, and both clearly better than with shuffled names.
@@ -69,12 +71,53 @@ def position_items(told: DataFrame, omissions: DataFrame, frames: DataFrame, voi
 
 @dataclass
 class Fit:
-    """One fit: the real answers (0) or a shuffled set, and the resampling of stories (None: every story once)."""
+    """One fit: the real answers (0) or a shuffled set, the resampling of stories (None: every story once), and where its ascent stands."""
 
     answers: int
     resample: int | None
-    theta: np.ndarray
+    theta: np.ndarray  # where the likelihood is asked for next
     moved: float = math.inf
+    at: np.ndarray | None = None  # the best so far, with its value, slope along the sphere, direction and share of it tried
+    value: float = -math.inf
+    slope: np.ndarray | None = None
+    way: np.ndarray | None = None
+    share: float = 1.0
+    past: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    def advance(self, value: float, slope: np.ndarray, bend: np.ndarray) -> None:
+        """On to the next place, keeping mean 0 and deviation 1: a limited-memory quasi-Newton ascent.
+
+        A step that does not raise the likelihood enough is halved.  The first direction is the slope along the sphere, divided by
+        the curvature of each unit.
+        """
+        outward = float((slope * self.theta).mean())
+        along = slope - slope.mean() - outward * self.theta
+        if self.at is not None and value < self.value + 1e-4 * self.share * float(self.way @ self.slope) and self.share > 1e-6:
+            self.share /= 2
+        else:
+            if self.at is not None:
+                step, change = self.theta - self.at, self.slope - along
+                if step @ change > 1e-12:
+                    self.past = [*self.past[1 - PAST :], (step, change)]
+            plain = along / (bend + max(outward, 0.0) + 1e-9)
+            self.at, self.value, self.slope, self.share = self.theta, value, along, 1.0
+            self.way = self._turned(along, 1 / (bend + max(outward, 0.0) + 1e-9))
+            if self.way @ along <= 0:
+                self.past, self.way = [], plain
+            self.moved = float(np.abs(_standard(self.at + plain) - self.at).max(initial=0))
+        self.theta = _standard(self.at + self.share * self.way)
+
+    def _turned(self, slope: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The inverse curvature of the last steps, times the slope."""
+        q, used = slope.copy(), []
+        for step, change in reversed(self.past):
+            a = (step @ q) / (step @ change)
+            q = q - a * change
+            used.append(a)
+        q = scale * q
+        for (step, change), a in zip(self.past, reversed(used)):
+            q = q + step * (a - (change @ q) / (step @ change))
+        return q
 
 
 def start(units: list[str]) -> np.ndarray:
@@ -107,7 +150,8 @@ def answer_sheets(items: DataFrame, units: list[str], shuffles: int = 0, rounds:
     weights = F.transform(F.sequence(F.lit(1), F.lit(rounds)), draw) if rounds else F.array().cast("array<int>")
     told = base.join(F.broadcast(numbers), "unit") if len(units) <= 100_000 else base.join(numbers, "unit")
     sheet = told.groupBy("answers", "story_id", "type", "item").agg(F.array_sort(F.collect_list(F.struct("number", "y"))).alias("sheet"))
-    return durable(sheet.select("answers", "story_id", "sheet", weights.alias("weights")), "sheets")
+    spread = sheet.select("answers", "story_id", "sheet", weights.alias("weights")).repartition(2 * spark.sparkContext.defaultParallelism)
+    return durable(spread, "sheets")
 
 
 def item_parameters(t: np.ndarray, y: np.ndarray, item: np.ndarray, n: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +171,8 @@ def item_parameters(t: np.ndarray, y: np.ndarray, item: np.ndarray, n: int, inne
     return a, b
 
 
-def _sums(sheets: DataFrame, fits: list[Fit], inner: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each fit, the slope and the curvature of the likelihood for every unit, summed over all items at their best parameters.
+def _sums(sheets: DataFrame, fits: list[Fit], inner: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each fit the likelihood, and its slope and curvature for every unit, summed over all items at their best parameters.
 
     A task adds up its items and leaves a row for each fit and unit.
     """
@@ -136,7 +180,7 @@ def _sums(sheets: DataFrame, fits: list[Fit], inner: int) -> list[tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = shared.value
-        slope = np.zeros((len(fits), len(fits[0][2])))
+        slope = np.zeros((len(fits), len(fits[0][2]) + 1))  # the last place holds the likelihood
         bend = np.zeros_like(slope)
         for batch in batches:
             which = batch.column(0).to_numpy()
@@ -152,42 +196,41 @@ def _sums(sheets: DataFrame, fits: list[Fit], inner: int) -> list[tuple[np.ndarr
                 item, u, told, w = number[row[used]], unit[used], y[used], weight[row[used]]
                 a, b = item_parameters(theta[u], told, item, int((weight > 0).sum()), inner)
                 p = 1 / (1 + np.exp(-(a[item] + b[item] * theta[u])))
-                slope[k] += np.bincount(u, w * (told - p) * b[item], len(theta))
-                bend[k] += np.bincount(u, w * p * (1 - p) * b[item] ** 2, len(theta))
+                slope[k, :-1] += np.bincount(u, w * (told - p) * b[item], len(theta))
+                bend[k, :-1] += np.bincount(u, w * p * (1 - p) * b[item] ** 2, len(theta))
+                held = (HOLD_A * a**2 + HOLD_B * b**2) / 2
+                slope[k, -1] += (w * np.log(np.where(told > 0, p, 1 - p))).sum() - (weight[weight > 0] * held).sum()
         fit, u = np.indices(slope.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(fit), pa.array(u), pa.array(slope.ravel()), pa.array(bend.ravel())], ["fit", "unit", "slope", "bend"])
 
     parts = sheets.select("answers", "sheet", "weights").mapInArrow(run, "fit long, unit long, slope double, bend double")
     found = parts.groupBy("fit", "unit").agg(F.sum("slope").alias("slope"), F.sum("bend").alias("bend")).toArrow()
-    out = [(np.zeros(len(f.theta)), np.zeros(len(f.theta))) for f in fits]
-    for k, u, g, h in zip(*(found[c].to_pylist() for c in ("fit", "unit", "slope", "bend"))):
-        out[k][0][u], out[k][1][u] = g, h
-    return out
+    sums = np.zeros((2, len(fits), len(fits[0].theta) + 1))
+    sums[:, found["fit"].to_numpy(), found["unit"].to_numpy()] = found["slope"].to_numpy(), found["bend"].to_numpy()
+    return [(float(g[-1]), g[:-1], h[:-1]) for g, h in zip(*sums)]
 
 
 def step(sheets: DataFrame, fits: list[Fit], inner: int = 50) -> None:
-    """Moves the positions of every fit uphill, keeping mean 0 and deviation 1.
+    """One pass over all items for every fit; then each moves uphill on the sphere of mean 0 and deviation 1.
 
-    Only the part of the slope along that sphere counts (its fixed points are those of plain gradient steps with the scale
-    renewed after each), divided by the curvature of each unit.
+    Where it comes to rest, plain gradient steps with the scale renewed after each rest too.
     """
-    for f, (slope, bend) in zip(fits, _sums(sheets, fits, inner)):
-        outward = (slope * f.theta).mean()
-        along = slope - slope.mean() - outward * f.theta
-        moved = _standard(f.theta + along / (bend + max(outward, 0.0) + 1e-9))
-        f.moved, f.theta = float(np.abs(moved - f.theta).max(initial=0)), moved
+    for f, found in zip(fits, _sums(sheets, fits, inner)):
+        f.advance(*found)
 
 
-def fit_all(sheets: DataFrame, units: list[str], wanted: list[tuple[int, int | None]], still: float = STILL) -> list[Fit]:
+def fit_all(sheets: DataFrame, units: list[str], wanted: list[tuple[int, int | None]], still: float = STILL, most: int = MOST_STEPS) -> list[Fit]:
     """Fits for pairs of (answers, resample), side by side until each stands still; those that do drop out."""
     fits = [Fit(a, r, start(units)) for a, r in wanted]
     at_once = max(1, MOST_POSITIONS // max(1, len(units)))
     for lo in range(0, len(fits), at_once):
-        for _ in range(MOST_STEPS):
+        for _ in range(most):
             live = [f for f in fits[lo : lo + at_once] if f.moved > still]
             if not live:
                 break
             step(sheets, live)
+    for f in fits:
+        f.theta = f.theta if f.at is None else f.at
     return fits
 
 
@@ -261,7 +304,7 @@ def position_test(items: DataFrame, rounds: int = 20, shuffles: int = 3, least:
     few = max(5, rounds // 3)
     sheets = answer_sheets(items, units, shuffles, max(rounds, few))
     wanted = [(s, r) for s in range(shuffles + 1) for r in [None, *range(rounds if s == 0 else few)]]
-    rows = [(f.answers, 0 if f.resample is None else f.resample + 1, u, float(x)) for f in fit_all(sheets, units, wanted, STILL_TEST) for u, x in zip(units, f.theta)]
+    rows = [(f.answers, 0 if f.resample is None else f.resample + 1, u, float(x)) for f in fit_all(sheets, units, wanted, STILL_TEST, MOST_STEPS_TEST) for u, x in zip(units, f.theta)]
     found = measured(spark.createDataFrame(rows, "answers int, round int, unit string, theta double"))
     of = lambda c, real: F.avg(F.when((F.col("answers") == 0) == real, F.col(c)))
     real = found.agg(of("r", True).alias("r"), of("separated", True).alias("separated"), of("r", False).alias("null_r"), of("separated", False).alias("null_separated"))

@@ -9,6 +9,7 @@ from attestor.operators import corroboration as C
 
 from attestor.operators import linking as L
 from attestor.operators import stories as S
+from attestor.operators.timeline import ordered_timeline
 from attestor.plans.q_corroboration import MATRIX, OWNERS, owners
 from attestor.plans.q_linking import TOPK
 from attestor.plans.registry import query
@@ -72,6 +73,14 @@ def _(t: Tables):
     return S.timeline_tiers(ev).select("canonical_id", "tier")
 
 
+@query("timeline_relations")
+def _(t: Tables):
+    ev = t.v_claims.where("kind = 'event'").groupBy("story_id", "canonical_id").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
+    tiers, dropped = ordered_timeline(ev, t.v_relations)
+    lost = dropped.groupBy("story_id", F.col("earlier").alias("canonical_id")).agg(F.count(F.lit(1)).alias("dropped"))
+    return tiers.join(lost, ["story_id", "canonical_id"], "left").select("canonical_id", "tier", F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
 @query("claim_match_arrival", """SELECT claim_id, min(claim_id) OVER (PARTITION BY story_id, attributed_to, evidence, loaded_word) AS founder, max(kind) OVER (PARTITION BY story_id, attributed_to, evidence, loaded_word) AS kind FROM v_claims""")
 def _(t: Tables):
     w = W.partitionBy("story_id", "attributed_to", "evidence", "loaded_word")
