@@ -124,14 +124,6 @@ def _(t: Tables):
     return t.customer.select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("big", F.lit(False)).alias("big"), F.col("big").isNull().alias("idle"))
 
 
-@query("follow_match", """SELECT f.reader, a.article_id, string_agg(DISTINCT f.kind, ',' ORDER BY f.kind) AS reasons FROM v_follows f JOIN (SELECT article_id, 'section' AS kind, outlet_no::VARCHAR AS k FROM v_articles UNION ALL SELECT article_id, 'place', (article_id // 5)::VARCHAR FROM v_articles UNION ALL SELECT article_id, 'entity', regexp_extract(author, '[0-9]+$') FROM v_articles WHERE story_id % 5 = 0 UNION ALL SELECT article_id, 'story', story_id::VARCHAR FROM v_articles) a ON f.kind = a.kind AND f.follow_key = a.k GROUP BY ALL""")
-def _(t: Tables):
-    a = t.v_articles
-    part = lambda kind, key, cond="true": a.where(cond).select("article_id", F.lit(kind).alias("kind"), key.cast("string").alias("follow_key"))
-    keys = part("section", F.col("outlet_no")).unionByName(part("place", F.expr("article_id div 5"))).unionByName(part("entity", F.regexp_extract("author", "[0-9]+$", 0), "story_id % 5 = 0")).unionByName(part("story", F.col("story_id")))
-    return t.v_follows.join(keys, ["kind", "follow_key"]).groupBy("reader", "article_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("reasons"))
-
-
 @query("thread_root", "WITH RECURSIVE p AS (SELECT child_id, min(parent_id) AS parent_id FROM v_links GROUP BY child_id), r AS (SELECT DISTINCT parent_id AS n, parent_id AS root FROM p WHERE parent_id NOT IN (SELECT child_id FROM p) UNION ALL SELECT p.child_id, r.root FROM p JOIN r ON p.parent_id = r.n) SELECT n, root FROM r")
 def _(t: Tables):
     return L.story_threads(t.v_links)

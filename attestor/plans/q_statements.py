@@ -60,12 +60,6 @@ def _(t: Tables):
     return a.join(b, "story_id").where("a < b").select("a", "b", same.alias("relation"))
 
 
-@query("spelling_variant", """SELECT a.c_custkey AS a, b.c_custkey AS b, left(a.c_name, 1) = left(b.c_name, 1) AND levenshtein(a.c_name, b.c_name) <= 0.05 * greatest(length(a.c_name), length(b.c_name)) AS variant FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1""")
-def _(t: Tables):
-    a, b = t.customer.select(F.col("c_custkey").alias("a"), F.col("c_name").alias("x")), t.customer.select((F.col("c_custkey") - 1).alias("a"), F.col("c_custkey").alias("b"), F.col("c_name").alias("y"))
-    return a.join(b, "a").select("a", "b", X.within_edit(F.col("x"), F.col("y"), 0.05).alias("variant"))
-
-
 @query("apply_name_map", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\bThe\b', 'Teh', 'g'), '\band\b', 'und', 'g')) AS digest FROM documents")
 def _(t: Tables):
     out = F.col("text")
@@ -182,14 +176,6 @@ def _(t: Tables):
     return w.join(b, "story").where("doc_id <> other").select("doc_id", "other", (F.size(F.filter(F.array_except("w", "v"), lambda x: F.length(x) >= 8)) > 3).alias("adds"))
 
 
-@query("fact_in_text", f"""WITH k AS (SELECT item_id, list_distinct(list_filter({WORDS}, lambda x: length(x) >= 9)) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS word FROM documents), h AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(w) AS word FROM k WHERE len(w) >= 2) x JOIN d USING (word) GROUP BY ALL) SELECT h.item_id, h.doc_id, n * 2 >= len(k.w) AS present FROM h JOIN k ON h.item_id = k.item_id WHERE n >= 2""")
-def _(t: Tables):
-    k = t.benchmark.select("item_id", F.array_distinct(F.filter(words(F.col("text")), lambda x: F.length(x) >= 9)).alias("w")).where(F.size("w") >= 2)
-    d = t.documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    h = k.select("item_id", F.size("w").alias("m"), F.explode("w").alias("word")).join(d, "word").groupBy("item_id", "doc_id", "m").agg(F.count(F.lit(1)).alias("n"))
-    return h.where("n >= 2").select("item_id", "doc_id", (F.col("n") * 2 >= F.col("m")).alias("present"))
-
-
 @query("video_relevance", """WITH k AS (SELECT article_id, outlet, unnest(list_distinct(list_transform(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda x: length(x) >= 7), lambda x: left(x, 5)))) AS r FROM v_articles) SELECT a.article_id AS video, b.article_id AS page, count(*) AS shared FROM k a JOIN k b ON a.r = b.r AND a.outlet = 'src1' AND b.outlet = 'src2' GROUP BY ALL HAVING count(*) >= 2""")
 def _(t: Tables):
     roots = F.array_distinct(F.transform(F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) >= 7), lambda x: F.left(x, F.lit(5))))

@@ -175,12 +175,6 @@ def _(t: Tables):
     return t.v_articles.groupBy("outlet", F.to_date("published_at").alias("day")).agg(F.max_by("article_id", F.struct("published_at", "article_id")).alias("article_id"))
 
 
-@query("spelling_canonical", """SELECT key, arg_max(word, (n, length(word), word)) AS canonical FROM (SELECT lower(left(attributed_to, 6)) AS key, attributed_to AS word, count(*) AS n FROM v_claims GROUP BY ALL) GROUP BY key""")
-def _(t: Tables):
-    n = t.v_claims.groupBy(F.lower(F.left("attributed_to", F.lit(6))).alias("key"), F.col("attributed_to").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("key").agg(F.max_by("word", F.struct("n", F.length("word"), "word")).alias("canonical"))
-
-
 @query("evidence_vote_two_sided", """SELECT canonical_id FROM v_claims JOIN v_outlets USING (article_id) GROUP BY canonical_id HAVING count(DISTINCT CASE WHEN stance = 'asserts' THEN outlet END) >= 2 AND count(DISTINCT CASE WHEN stance = 'denies' THEN outlet END) = 0""")
 def _(t: Tables):
     side = lambda s: F.count_distinct(F.when(F.col("stance") == s, F.col("outlet")))

@@ -37,12 +37,14 @@ VIEWS = {
     "v_feed_log": """SELECT event_id AS log_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS feed_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS ok FROM events""",
     "v_follows": """SELECT DISTINCT user_id AS reader, CASE event_type WHEN 'click' THEN 'section' WHEN 'view' THEN 'place' WHEN 'signup' THEN 'entity' ELSE 'story' END AS kind,
   CAST(CASE WHEN event_type IN ('click', 'view', 'signup') THEN user_id ELSE event_id % 97 END AS STRING) AS follow_key FROM events WHERE event_type <> 'error'""",
+    "v_word_follows": """SELECT DISTINCT e.user_id AS reader, regexp_extract(d.text, '^[^ ]+ +([^ ]+ [^ ]+) ', 1) AS phrase FROM events e JOIN documents d ON d.doc_id = e.user_id WHERE e.event_type = 'signup'
+  UNION SELECT DISTINCT user_id AS reader, concat('author ', CAST(user_id % 23 AS STRING)) AS phrase FROM events WHERE event_type = 'signup' AND user_id % 3 = 0""",
     "v_links": """SELECT o_orderkey AS child_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS parent_id FROM orders WHERE o_orderkey > 1 AND o_orderkey % 3 <> 0""",
     "v_relations": """SELECT l_partkey % 500 AS story_id, (l_partkey % 500) * 100 + l_orderkey % 29 AS earlier, (l_partkey % 500) * 100 + l_suppkey % 29 AS later FROM lineitem WHERE l_linenumber = 6 AND l_quantity <= 5""",
     "v_runs": """SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS started_at, count(*) AS ingested, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS grouped_n
   FROM events GROUP BY date_trunc('hour', CAST(ts AS TIMESTAMP))""",
 }
-BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_attributions": ["lineitem"], "v_statements": ["lineitem"], "v_feed_log": ["events"], "v_follows": ["events"], "v_links": ["orders"], "v_relations": ["lineitem"], "v_runs": ["events"]}
+BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_attributions": ["lineitem"], "v_statements": ["lineitem"], "v_feed_log": ["events"], "v_follows": ["events"], "v_word_follows": ["events", "documents"], "v_links": ["orders"], "v_relations": ["lineitem"], "v_runs": ["events"]}
 
 
 class Tables:
