@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestor.functions import figures as G
 from attestor.functions import statements as X
 from attestor.functions.text import words
 from attestor.operators import intake as I
@@ -125,10 +126,19 @@ def _(t: Tables):
     return s.join(done, "story_id", "left").select("story_id", gate.alias("gate"))
 
 
-@query("figures_extract", r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '(\d[\d,]*(?:\.\d+)?(?: ?(?:lakh|crore|million|bps))?)', 1), lambda x: floor((regexp_replace(regexp_extract(x, '^([\d,.]+)', 1), ',', '', 'g')::DOUBLE * CASE WHEN ends_with(x, 'lakh') THEN 1e5 WHEN ends_with(x, 'crore') THEN 1e7 WHEN ends_with(x, 'million') THEN 1e6 WHEN ends_with(x, 'bps') THEN 0.01 ELSE 1.0 END) % 1000003)::BIGINT::VARCHAR), ',') AS figures FROM (SELECT doc_id, concat(text, ' 1,20,000 and ', (doc_id % 90)::VARCHAR, '.5 lakh') AS text FROM documents)""")
+#: Phrases put behind the documents, which hold few figures, with the values in them.
+FIGURES = {"twenty-six people": [26], "two lakh fifty thousand voters": [250000], "Rs 1.5 lakh crore": [1.5e12], "Section IV": [4], "\u0968\u096c dead": [26], "the twenty-sixth": [], "a dozen and two hundred and five": [12, 205], "25 basis points": [0.25]}
+_SCALES = G.SCALES | G.AFTER_DIGITS
+
+
+@query("figures_extract", rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\d+(?:[.,]\d+)*(?:(?:st|nd|rd|th)\b|\s*(?:basis\s+points?|bps)\b|(?:\s*(?:{"|".join(sorted(_SCALES, key=len, reverse=True))})\b)+)?')) AS x, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '\d+(?:[.,]\d+)*(?:(?:st|nd|rd|th)\b|\s*(?:basis\s+points?|bps)\b|(?:\s*(?:{"|".join(sorted(_SCALES, key=len, reverse=True))})\b)+)?'), 1) AS i FROM documents),
+v AS (SELECT doc_id, i, TRY_CAST(replace(regexp_extract(x, '^[\d.,]+'), ',', '') AS DOUBLE) * CASE WHEN regexp_matches(x, '(points?|bps)$') THEN 0.01 ELSE coalesce(list_product(list_transform(regexp_extract_all(x, '[a-z]+'), lambda w: CASE {" ".join(f"WHEN w = '{w}' THEN {v}" for w, v in _SCALES.items())} ELSE 1.0 END)), 1.0) END AS v FROM m),
+l AS (SELECT doc_id, list(v ORDER BY i) AS vs FROM v WHERE v IS NOT NULL GROUP BY doc_id), p AS (SELECT doc_id, CASE doc_id % {len(FIGURES)} {" ".join(f"WHEN {i} THEN {list(map(float, v))}::DOUBLE[]" for i, v in enumerate(FIGURES.values()))} END AS planted FROM documents)
+SELECT p.doc_id, array_to_string(list_transform(list_concat(coalesce(vs, []), planted), lambda v: floor((v * 100) % 1000003)::BIGINT::VARCHAR), ',') AS figures FROM p LEFT JOIN l ON p.doc_id = l.doc_id""")
 def _(t: Tables):
-    x = F.concat("text", F.lit(" 1,20,000 and "), (F.col("doc_id") % 90).cast("string"), F.lit(".5 lakh"))
-    return t.documents.select("doc_id", F.array_join(F.transform(X.digit_figures(x), lambda v: F.floor(v % 1000003).cast("bigint").cast("string")), ",").alias("figures"))
+    phrase = F.element_at(F.array(*[F.lit(p) for p in FIGURES]), (F.col("doc_id") % len(FIGURES) + 1).cast("int"))
+    found = G.values_of(F.concat_ws(" . ", "text", phrase))
+    return t.documents.select("doc_id", F.array_join(F.transform(found, lambda v: F.floor((v * 100) % 1000003).cast("bigint").cast("string")), ",").alias("figures"))
 
 
 @query("frame_compare", """SELECT a.l_orderkey, CASE WHEN a.l_partkey % 5 <> b.l_partkey % 5 THEN 'different' WHEN abs(a.l_quantity - b.l_quantity)::DOUBLE <= CASE WHEN a.l_tax > 0.04 THEN 0.05 ELSE 0.005 END::DOUBLE * greatest(abs(a.l_quantity), abs(b.l_quantity))::DOUBLE THEN 'same' ELSE 'conflict' END AS relation FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2""")
