@@ -121,20 +121,6 @@ def _(t: Tables):
     return trials.join(F.broadcast(best), "k")  # one row
 
 
-@query("stream_met_clock", """WITH r AS (SELECT *, sum(CASE WHEN ok = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY feed_id ORDER BY ts, log_id) AS run FROM v_feed_log), m AS (SELECT *, min(CASE WHEN ok = 1 THEN ts END) OVER (PARTITION BY feed_id, run) AS since, row_number() OVER (PARTITION BY feed_id ORDER BY ts DESC, log_id DESC) AS rn FROM r) SELECT feed_id AS user_id, epoch_us(CASE WHEN ok = 1 THEN since END) AS since_us FROM m WHERE rn = 1""")
-def _(t: Tables):
-    s = J.event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return J.run_to_table(J.rule_clock(s, "user_id", "ts", "ok"), "clock", "update", ["user_id"]).select("user_id", F.nullif("since_us", F.lit(-1)).alias("since_us"))
-
-
-@query("stream_late_data", "SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 20 = 0)")
-def _(t: Tables):
-    closed = t.events.where("event_type = 'signup' AND event_id % 20 = 0")
-    s = J.event_stream(t.spark, f"{t.sf_dir}/events.parquet")
-    return J.run_to_table(J.late_rows(s, "ts", closed, "user_id").select("event_id"), "late")
-
-
-
 STEM = "regexp_replace(x, '(ingly|edly|ation|tion|ing|ed|ly|es|s)$', '')"
 
 

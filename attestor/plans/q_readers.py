@@ -210,10 +210,3 @@ def _(t: Tables):
     s = _events(t).select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", 0).otherwise(1).alias("ok"))
     out = J.run_to_table(J.failure_counter(s, "user_id", "ts", "ok", 3), "failures", "update", ["user_id"])
     return out.select("user_id", "fail_count", "longest", "disabled")
-
-
-@query("stream_notify_watermark", "SELECT event_id FROM events WHERE event_type = 'purchase'")
-def _(t: Tables):
-    return J.run_to_table(_events(t).where("event_type = 'purchase'").select("event_id"), "notify")
-
-

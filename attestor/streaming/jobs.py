@@ -82,20 +82,6 @@ def failure_counter(stream: DataFrame, key: str, at: str, ok: str, disable_at: i
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, fail_count long, longest long, disabled boolean", "run long, most long", "update", GroupStateTimeout.NoTimeout)
 
 
-def rule_clock(stream: DataFrame, key: str, at: str, holds: str) -> DataFrame:
-    """Since when (microseconds, -1 for not now) each key's rule has held; the clock stops when the rule does, and starts anew when it holds again."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (since,) = state.get if state.exists else (-1,)
-        for moment, good in pd.concat(list(frames)).sort_values([at, "event_id"])[[at, holds]].itertuples(index=False):
-            micros = int(moment.value // 1000)
-            since = (micros if since < 0 else since) if good else -1
-        state.update((since,))
-        yield pd.DataFrame({key: [k[0]], "since_us": [since]})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, since_us long", "since long", "update", GroupStateTimeout.NoTimeout)
-
-
 def run_gate(stream: DataFrame, key: str, at: str, hours: int) -> DataFrame:
     """How often each key was let through: a row passes if ``hours`` have gone by since the last that passed, which is the state."""
 
@@ -108,8 +94,3 @@ def run_gate(stream: DataFrame, key: str, at: str, hours: int) -> DataFrame:
         yield pd.DataFrame({key: [k[0]], "runs": [runs]})
 
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, runs long", "last long, runs long", "update", GroupStateTimeout.NoTimeout)
-
-
-def late_rows(stream: DataFrame, at: str, closed: DataFrame, key: str) -> DataFrame:
-    """Rows for keys that are closed go to a follow-up table instead of being lost (a stream-static join)."""
-    return stream.join(closed.select(key).distinct(), key, "left_semi")
