@@ -169,20 +169,17 @@ def test_streams_over_many_files_equal_their_batch_twins(spark, tmp_path):
         events.where(part == i).coalesce(1).write.mode("append").parquet(path)
     stream = lambda *c: J.event_stream(spark, path, 4).select("user_id", "ts", "event_id", *c)
     rows = sorted(events.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok")).collect(), key=lambda r: (r.user_id, r.ts, r.event_id))
-    fails, clock, gate = {}, {}, {}
+    fails, gate = {}, {}
     for r in rows:
         run, most = fails.get(r.user_id, (0, 0))
         run = 0 if r.ok else run + 1
         fails[r.user_id] = (run, max(run, most))
-        clock[r.user_id] = (clock.get(r.user_id) or r.ts) if r.ok else None
         last, n = gate.get(r.user_id, (None, 0))
         if last is None or (r.ts - last).total_seconds() >= 300 * 3600:
             gate[r.user_id] = (r.ts, n + 1)
     ok = (F.col("event_type") != "error").alias("ok")
     got = J.run_to_table(J.failure_counter(stream(ok), "user_id", "ts", "ok", 3), "f", "update", ["user_id"]).collect()
     assert len(got) == len(fails) and {r.user_id: (r.fail_count, r.longest) for r in got} == fails
-    got = J.run_to_table(J.rule_clock(stream(ok), "user_id", "ts", "ok"), "c", "update", ["user_id"]).select("user_id", F.timestamp_micros(F.nullif("since_us", F.lit(-1))).alias("t")).collect()
-    assert {r.user_id: r.t for r in got} == clock
     got = J.run_to_table(J.run_gate(stream(), "user_id", "ts", 300), "g", "update", ["user_id"]).collect()
     assert {r.user_id: r.runs for r in got} == {u: n for u, (_, n) in gate.items()}
     assert J.run_to_table(J.windowed_counts(stream(), "ts", "1 hour", None, ["user_id"]), "h", "complete").agg(F.sum("n")).first()[0] == len(rows)
