@@ -150,15 +150,6 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return both.join(F.broadcast(one), F.lit(True)).join(F.broadcast(two), F.lit(True)).select(((F.col("x") - expected) / ((F.col("ra") + F.col("rb")) / 2 - expected)).alias("ari"))
 
 
-def align_labels(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """Each new cluster takes the previous label it overlaps most with, best overlaps first, each label once."""
-    n = new.select(key, F.col("cluster").alias("new")).join(old.select(key, F.col("cluster").alias("old")), key).groupBy("new", "old").agg(F.count(F.lit(1)).alias("n"))
-    by_new = W.partitionBy("new").orderBy(F.desc("n"), "old")
-    by_old = W.partitionBy("old").orderBy(F.desc("n"), "new")
-    ranked = n.withColumn("r1", F.row_number().over(by_new)).withColumn("r2", F.row_number().over(by_old))
-    return ranked.where("r1 = 1 AND r2 = 1").select("new", "old", "n")
-
-
 def departures(rows: DataFrame, key: str, own: str, cluster: str, value: str, margin: float = 0.5, least: int = 3) -> DataFrame:
     """Articles whose best other cluster beats their own mean by the margin, with enough evidence."""
     m = rows.groupBy(key, own, cluster).agg(F.avg(value).alias("m"), F.count(F.lit(1)).alias("n"))

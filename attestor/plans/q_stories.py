@@ -57,13 +57,6 @@ def _(t: Tables):
     return S.adjusted_rand(t.labels, "quality", "toxic").select(F.round("ari", 9).alias("ari"))
 
 
-@query("label_alignment", """WITH n AS (SELECT article_id % 4 AS new, (article_id + outlet_no) % 5 AS old, count(*) AS n FROM v_articles GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY n DESC, old) AS r1, row_number() OVER (PARTITION BY old ORDER BY n DESC, new) AS r2 FROM n) SELECT new, old, n FROM r WHERE r1 = 1 AND r2 = 1""")
-def _(t: Tables):
-    new = t.v_articles.select("article_id", (F.col("article_id") % 4).alias("cluster"))
-    old = t.v_articles.select("article_id", ((F.col("article_id") + F.col("outlet_no")) % 5).alias("cluster"))
-    return S.align_labels(new, old, "article_id")
-
-
 EV = "ev AS (SELECT story_id, canonical_id, min(t_start) AS s, max(t_end) AS e FROM v_claims WHERE kind = 'event' GROUP BY ALL)"
 
 

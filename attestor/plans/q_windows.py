@@ -207,17 +207,6 @@ def _(t: Tables):
     return t.labels.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("threshold_calibration", """WITH p AS (SELECT CASE WHEN c >= 0.3 THEN 'high' WHEN c >= 0.1 THEN 'mid' ELSE 'low' END AS band, a.label = b.label AS same FROM (SELECT q.vec_id AS x, b.vec_id AS y, list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0) k JOIN embeddings a ON a.vec_id = x JOIN embeddings b ON b.vec_id = y WHERE rank <= 40) SELECT band, count(*) AS n, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS precision FROM p GROUP BY band""")
-def _(t: Tables):
-    from attestor.operators.linking import cosine_topk
-
-    k = cosine_topk(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id")
-    lab = t.embeddings.select("vec_id", "label")
-    p = k.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("other"), F.col("label").alias("l2")), "other")
-    band = F.when(F.col("cosine") >= 0.3, "high").when(F.col("cosine") >= 0.1, "mid").otherwise("low")
-    return p.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("l2")).cast("double")), 6).alias("precision"))
-
-
 @query("stratified_pair_sample", """WITH p AS (SELECT a.article_id AS a, b.article_id AS b, a.lang <> b.lang AS crosses FROM v_articles a JOIN v_articles b ON a.story_id = b.story_id AND a.article_id < b.article_id), r AS (SELECT *, row_number() OVER (PARTITION BY crosses ORDER BY md5(concat(a::VARCHAR, ':', b::VARCHAR))) AS rn FROM p) SELECT a, b, crosses FROM r WHERE rn <= CASE WHEN crosses THEN 20 ELSE 40 END""")
 def _(t: Tables):
     x = t.v_articles.select("story_id", F.col("article_id").alias("a"), F.col("lang").alias("la"))
