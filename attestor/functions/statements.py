@@ -49,48 +49,3 @@ def iso_minutes(text: Column) -> Column:
     """One of four accepted time formats cut to minutes, else null."""
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]
     return F.date_format(F.coalesce(*tries), "yyyy-MM-dd HH:mm")
-
-
-#: Shares of words from which two statements are the same, one covers the other, or a reader is asked; words that deny, and that turn a line
-#: into another event (fixed values).
-SAME_WORDS, COVER_WORDS, ASK_WORDS, NEARLY = 0.8, 0.85, 0.4, 0.6
-NEGATION = "(^| )(not|no|never|nicht|kein|keine|pas|sin|nunca)( |$)"
-CONTRAST = "(^| )(another|other|earlier|previous|previously|former|formerly|last year|last month|separate|different|second|again|also|before|after)( |$)"
-
-
-def share_of(a: Column, b: Column) -> Column:
-    """Shared words of two sets among all of theirs; 1 if both are empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
-
-
-def _within(small: Column, big: Column) -> Column:
-    return F.when(F.size(small) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(small, big)) / F.size(small))
-
-
-def _part_of(small: Column, big: Column) -> Column:
-    return F.size(F.array_except(small, big)) == 0
-
-
-def relation(a: Column, b: Column) -> Column:
-    """same, a_covers_b, b_covers_a, ask (and ask_a_covers_b, ask_b_covers_a) or different, from two profiles.
-
-    A profile is a struct of norm, roots, nums, names, years, neg and contrast.  Names that both share are left out of the
-    overlap of words, since every line of a story has them.
-    """
-    common = F.array_intersect(a["names"], b["names"])
-    ra, rb = F.array_except(a["roots"], common), F.array_except(b["roots"], common)
-    same_nums = _part_of(a["nums"], b["nums"]) & _part_of(b["nums"], a["nums"])
-    same_facts = same_nums & _part_of(a["names"], b["names"]) & _part_of(b["names"], a["names"])
-    other_years = (F.size(a["years"]) > 0) & (F.size(b["years"]) > 0) & (F.size(F.array_intersect(a["years"], b["years"])) == 0)
-    out = F.when((a["neg"] != b["neg"]) | other_years, "different").when(a["norm"] == b["norm"], "same").when(same_facts & (share_of(ra, rb) >= SAME_WORDS), "same")
-    sides = ((a, b, ra, rb, "a_covers_b"), (b, a, rb, ra, "b_covers_a"))
-    for big, small, rbig, rsmall, label in sides:
-        holds = _part_of(small["nums"], big["nums"]) & _part_of(small["names"], big["names"]) & (F.size(rbig) > F.size(rsmall))
-        covered = holds & (F.size(rsmall) >= 3) & (_within(rsmall, rbig) >= COVER_WORDS)
-        out = out.when(covered & same_nums & ~(big["contrast"] & ~small["contrast"]), label).when(covered, "ask_" + label)
-    out = out.when(same_facts & (share_of(ra, rb) >= ASK_WORDS) & ((F.size(a["nums"]) > 0) | (F.size(a["names"]) > 0) | (F.size(ra) >= 3)), "ask")
-    for big, small, rbig, rsmall, label in sides:
-        holds = _part_of(small["nums"], big["nums"]) & _part_of(small["names"], big["names"]) & (F.size(rbig) > F.size(rsmall))
-        out = out.when(holds & (F.size(rsmall) >= 2) & (F.size(F.array_except(rsmall, rbig)) <= 1) & (_within(rsmall, rbig) >= NEARLY), "ask_" + label)
-    return out.otherwise("different")

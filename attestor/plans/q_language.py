@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.functions import statements as Q
 from attestor.functions.text import words
 from attestor.operators import corroboration as C
 from attestor.operators import intake as I
@@ -13,78 +12,6 @@ from attestor.plans.q_corroboration import owners
 from attestor.plans.q_text import WORDS
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
-from attestor.streaming import jobs as J
-
-_SUFFIX = r"(ingly|edly|ation|tion|ing|ed|ly|es|s)$"
-_YEAR = r"\b((?:19|20)\d\d)\b"
-PROFILE = rf"""p0 AS (SELECT doc_id, doc_id // 8 AS story, coalesce(text, '') AS text FROM documents),
-p AS (SELECT doc_id, story, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')) AS norm, list_distinct(list_transform(list_filter({WORDS}, lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]+$')), lambda x: regexp_replace(x, '{_SUFFIX}', ''))) AS roots,
-  list_filter(list_distinct(regexp_extract_all(text, '\d+')), lambda x: NOT regexp_matches(x, '^(19|20)[0-9][0-9]$')) AS nums, list_distinct(regexp_extract_all(text, '{_YEAR}', 1)) AS years,
-  list_distinct(list_transform(regexp_extract_all(text, '[^.!?\s]\s+(\p{{Lu}}\p{{L}}{{2,}})', 1), lambda x: lower(x))) AS names, regexp_matches(norm, '{Q.NEGATION}') AS neg, regexp_matches(norm, '{Q.CONTRAST}') AS contrast FROM p0)"""
-def _part(x: str, y: str) -> str:
-    return f"len(list_filter({x}, lambda z: NOT list_contains({y}, z))) = 0"
-
-
-def _sides(lines: str) -> str:
-    return " ".join(lines.format(big=x, small=y, rb=f"r{x}", rs=f"r{y}", label=f"{x}_covers_{y}", holds=f"{_part(f'{y}.nums', f'{x}.nums')} AND {_part(f'{y}.names', f'{x}.names')} AND len(r{x}) > len(r{y})") for x, y in (("a", "b"), ("b", "a")))
-
-
-_WITHIN = "(CASE WHEN len({rs}) = 0 THEN 1.0 ELSE len(list_intersect({rs}, {rb}))::DOUBLE / len({rs}) END)"
-_SHARED = "(CASE WHEN len(ra) + len(rb) = 0 THEN 1.0 ELSE len(list_intersect(ra, rb))::DOUBLE / (len(ra) + len(rb) - len(list_intersect(ra, rb))) END)"
-RELATION = f"""q AS (SELECT a, b, list_filter(a.roots, lambda z: NOT list_contains(list_intersect(a.names, b.names), z)) AS ra, list_filter(b.roots, lambda z: NOT list_contains(list_intersect(a.names, b.names), z)) AS rb,
-  {_part('a.nums', 'b.nums')} AND {_part('b.nums', 'a.nums')} AS same_nums, {_part('a.names', 'b.names')} AND {_part('b.names', 'a.names')} AS same_names FROM p a JOIN p b ON a.story = b.story AND a.doc_id < b.doc_id),
-rel AS (SELECT a.doc_id AS a, b.doc_id AS b, a.neg <> b.neg AS by_negation, NOT same_nums AS by_number, len(a.years) > 0 AND len(b.years) > 0 AND len(list_intersect(a.years, b.years)) = 0 AS by_year, {_SHARED} AS shared,
-  CASE WHEN a.neg <> b.neg OR (len(a.years) > 0 AND len(b.years) > 0 AND len(list_intersect(a.years, b.years)) = 0) THEN 'different' WHEN a.norm = b.norm THEN 'same' WHEN same_nums AND same_names AND {_SHARED} >= {Q.SAME_WORDS} THEN 'same'
-  {_sides("WHEN {holds} AND len({rs}) >= 3 AND " + _WITHIN + f" >= {Q.COVER_WORDS}" + " THEN CASE WHEN same_nums AND NOT ({big}.contrast AND NOT {small}.contrast) THEN '{label}' ELSE 'ask_{label}' END")}
-  WHEN same_nums AND same_names AND {_SHARED} >= {Q.ASK_WORDS} AND (len(a.nums) > 0 OR len(a.names) > 0 OR len(ra) >= 3) THEN 'ask'
-  {_sides("WHEN {holds} AND len({rs}) >= 2 AND len(list_filter({rs}, lambda z: NOT list_contains({rb}, z))) <= 1 AND " + _WITHIN + f" >= {Q.NEARLY}" + " THEN 'ask_{label}'")} ELSE 'different' END AS relation FROM q)"""
-
-
-def profiles(t: Tables):
-    text = F.coalesce("text", F.lit(""))
-    every = lambda pattern, group=0: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-    norm = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+", " "))
-    roots = F.transform(F.filter(words(text), lambda x: (F.length(x) > 2) & ~x.rlike("^[0-9]+$")), lambda x: F.regexp_replace(x, _SUFFIX, ""))
-    return t.documents.select(
-        "doc_id",
-        F.expr("doc_id div 8").alias("story"),
-        norm.alias("norm"),
-        F.array_distinct(roots).alias("roots"),
-        F.filter(every(r"\d+"), lambda x: ~x.rlike("^(19|20)[0-9][0-9]$")).alias("nums"),
-        every(_YEAR, 1).alias("years"),
-        F.array_distinct(F.transform(every(r"[^.!?\s]\s+(\p{Lu}\p{L}{2,})", 1), F.lower)).alias("names"),
-        norm.rlike(Q.NEGATION).alias("neg"),
-        norm.rlike(Q.CONTRAST).alias("contrast"),
-    )
-
-
-def profile_pairs(t: Tables):
-    """The statements of a story in pairs: (a, b) are structs of doc_id and profile."""
-    p = profiles(t)
-    one = lambda name: p.select("story", F.struct(*[c for c in p.columns if c != "story"]).alias(name))
-    return one("a").join(one("b"), "story").where("a.doc_id < b.doc_id")
-
-
-@query("statement_profile", f"WITH {PROFILE} SELECT doc_id, norm, len(roots)::INT AS n_roots, len(nums)::INT AS n_nums, len(years)::INT AS n_years, len(names)::INT AS n_names, neg, contrast FROM p")
-def _(t: Tables):
-    return profiles(t).select("doc_id", "norm", F.size("roots").alias("n_roots"), F.size("nums").alias("n_nums"), F.size("years").alias("n_years"), F.size("names").alias("n_names"), "neg", "contrast")
-
-
-@query("relate_statements", f"WITH {PROFILE}, {RELATION} SELECT a, b, relation FROM rel")
-def _(t: Tables):
-    return profile_pairs(t).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), Q.relation(F.col("a"), F.col("b")).alias("relation"))
-
-
-@query("dispute_candidate", f"WITH {PROFILE}, {RELATION} SELECT a, b, by_negation, by_number, by_year FROM rel WHERE shared >= 0.05 AND (by_negation OR by_number OR by_year)")
-def _(t: Tables):
-    a, b = F.col("a"), F.col("b")
-    common = F.array_intersect(a["names"], b["names"])
-    by_number = ~((F.size(F.array_except(a["nums"], b["nums"])) == 0) & (F.size(F.array_except(b["nums"], a["nums"])) == 0))
-    by_year = (F.size(a["years"]) > 0) & (F.size(b["years"]) > 0) & (F.size(F.array_intersect(a["years"], b["years"])) == 0)
-    shared = Q.share_of(F.array_except(a["roots"], common), F.array_except(b["roots"], common))
-    rows = profile_pairs(t).select(a["doc_id"].alias("a"), b["doc_id"].alias("b"), (a["neg"] != b["neg"]).alias("by_negation"), by_number.alias("by_number"), by_year.alias("by_year"), shared.alias("shared"))
-    return rows.where("shared >= 0.05 AND (by_negation OR by_number OR by_year)").drop("shared")
-
 
 @query("people_ranking", r"""WITH n AS (SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\s]\s+(\p{Lu}\p{L}{2,})', 1)) AS name FROM documents) GROUP BY ALL) SELECT doc_id, name, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) AS rn FROM n) WHERE rn <= 8""")
 def _(t: Tables):

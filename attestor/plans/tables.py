@@ -40,11 +40,14 @@ VIEWS = {
     "v_word_follows": """SELECT DISTINCT e.user_id AS reader, regexp_extract(d.text, '^[^ ]+ +([^ ]+ [^ ]+) ', 1) AS phrase FROM events e JOIN documents d ON d.doc_id = e.user_id WHERE e.event_type = 'signup'
   UNION SELECT DISTINCT user_id AS reader, concat('author ', CAST(user_id % 23 AS STRING)) AS phrase FROM events WHERE event_type = 'signup' AND user_id % 3 = 0""",
     "v_links": """SELECT o_orderkey AS child_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS parent_id FROM orders WHERE o_orderkey > 1 AND o_orderkey % 3 <> 0""",
+    "v_told": """SELECT d.doc_id AS statement_id, CAST(floor(d.doc_id / 8) AS BIGINT) AS story_id, CASE d.doc_id % 8 WHEN 0 THEN o.own WHEN 1 THEN concat(o.own, ', officials said!') WHEN 2 THEN concat(o.own, ' near the market under heavy rain')
+  WHEN 3 THEN concat(o.own, ' in another case near the market') WHEN 4 THEN concat(o.own, ', which never happened') WHEN 5 THEN concat(o.own, ' with 12 people on 5 March 2021') WHEN 6 THEN concat(o.own, ' with 15 people on 5 March 2021')
+  ELSE concat(regexp_extract(o.own, '^(""" + " ".join(["[^ ]+"] * 9) + """)', 1), ' yields tall ships') END AS text FROM documents d JOIN (SELECT doc_id, regexp_extract(text, '^(""" + " ".join(["[^ ]+"] * 12) + """)', 1) AS own FROM documents) o ON o.doc_id = CAST(floor(d.doc_id / 8) AS BIGINT) * 8""",
     "v_relations": """SELECT l_partkey % 500 AS story_id, (l_partkey % 500) * 100 + l_orderkey % 29 AS earlier, (l_partkey % 500) * 100 + l_suppkey % 29 AS later FROM lineitem WHERE l_linenumber = 6 AND l_quantity <= 5""",
     "v_runs": """SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS started_at, count(*) AS ingested, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS grouped_n
   FROM events GROUP BY date_trunc('hour', CAST(ts AS TIMESTAMP))""",
 }
-BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_attributions": ["lineitem"], "v_statements": ["lineitem"], "v_feed_log": ["events"], "v_follows": ["events"], "v_word_follows": ["events", "documents"], "v_links": ["orders"], "v_relations": ["lineitem"], "v_runs": ["events"]}
+BASE = {"v_articles": ["documents"], "v_claims": ["lineitem"], "v_outlets": ["supplier", "nation"], "v_attributions": ["lineitem"], "v_statements": ["lineitem"], "v_feed_log": ["events"], "v_follows": ["events"], "v_word_follows": ["events", "documents"], "v_links": ["orders"], "v_relations": ["lineitem"], "v_told": ["documents"], "v_runs": ["events"]}
 
 
 class Tables:
