@@ -67,6 +67,13 @@ NO_ROOTS = sorted({_stemmed(w) for w in [*REPORTING, *WORDS, *NO_COUNT, "lakhs",
 NO_NAMES = sorted({_stemmed(w) for w in [*DAYS, *MONTHS, *(m[:3] for m in MONTHS), "sept"]})
 
 
+#: Stems that belong to an answer and not to its question.
+ANSWERS = [_stemmed(w) for w in "not no never nobody none neither nor without denied denies deny refused refuses rejected rejects".split()] + NO_NAMES
+#: Who says a statement, and a source named behind it.
+SAID = r"(?i)^(.{0,80}?\b(?:said|says|stated|states|claimed|claims|alleged|alleges|told reporters|reported|announced|confirmed)\b(?:\s+that)?,?\s+)"
+ACCORDING = r"(?i),?\s+according to [^,.;]+"
+
+
 def profile(text: Column) -> Column:
     """A struct of what is compared: plain wording, words, figures, names, years, day of the year, weekdays, whether it denies, points elsewhere, or bounds a figure.
 
@@ -100,8 +107,8 @@ def profile(text: Column) -> Column:
 
 def body(text: Column) -> Column:
     """A statement without who says it ("Police said that ...", "..., according to ..."), if enough is left."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "(?i),?\\s+according to [^,.;]+", "")
-    said = F.regexp_extract(text, "(?i)^(.{0,80}?\\b(?:said|says|stated|states|claimed|claims|alleged|alleges|told reporters|reported|announced|confirmed)\\b(?:\\s+that)?,?\\s+)", 1)
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), ACCORDING, "")
+    said = F.regexp_extract(text, SAID, 1)
     return F.when(F.length(text) - F.length(said) > 15, F.substring(text, F.length(said) + 1, F.length(text))).otherwise(text)
 
 
@@ -191,8 +198,7 @@ def dispute(a: Column, b: Column) -> Column:
 
     The question is the words besides the answer: no figures, dates, names or denials.  Counts of different totals are no dispute, nor is a figure that a bound allows.
     """
-    answer = [_stemmed(w) for w in "not no never nobody none neither nor without denied denies deny refused refuses rejected rejects".split()] + NO_NAMES
-    asked = lambda p: F.filter(F.array_except(p["words"], p["names"]), lambda w: ~w.isin(answer))
+    asked = lambda p: F.filter(F.array_except(p["words"], p["names"]), lambda w: ~w.isin(ANSWERS))
     qa, qb = asked(a), asked(b)
     either = F.size(F.array_union(qa, qb))
     f = features(a, b)

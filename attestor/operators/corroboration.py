@@ -46,25 +46,29 @@ def plain_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"^[.,:;\"']+|[.,:;\"']+$", ""), r"\s+", " ")
 
 
-def independence_edges(rows: DataFrame, node: str, shared: list[str], within: list[str]) -> DataFrame:
-    """A star to the least node for every value of a shared attribute: linear in the rows, however hot the value."""
-    parts = []
-    for c in shared:
-        known = rows.where(F.col(c).isNotNull()).select(*within, F.col(node).alias("dst"), F.col(c).cast("string").alias("v"))
-        parts.append(known.join(known.groupBy(*within, "v").agg(F.min("dst").alias("src")), [*within, "v"]).select("src", "dst"))
-    return reduce(DataFrame.unionByName, parts).where("src <> dst").distinct()
+def shared_values(rows: DataFrame, node: str, shared: list[str], within: list[str]) -> DataFrame:
+    """``(node, values)``: of every row the attribute values that other rows of its ``within`` have too, as 64-bit names; rows without any are left out."""
+    named = [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(shared)]
+    each = rows.select(*within, F.col(node).alias("n"), F.explode(F.filter(F.array(*named), lambda x: x["v"].isNotNull())).alias("x")).select(*within, "n", "x.i", "x.v")
+    common = each.groupBy(*within, "i", "v").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    told = each.join(common, [*within, "i", "v"]).select("n", F.xxhash64(*within, "i", "v").alias("value"))
+    return told.groupBy("n").agg(F.array_sort(F.collect_set("value")).alias("values")).withColumnRenamed("n", node)
 
 
 def independence_groups(rows: DataFrame, key: str, shared: list[str], government: str = "government", within: list[str] | None = None) -> DataFrame:
     """``(within, key, grp)``: rows that share any attribute are one group ``g<least id>``; a state voice in it names it ``gov:<x>``.
 
-    Groups are formed inside each value of ``within`` (a story); a row is named there by
-    the hash of both, so one pass of connected components serves all stories.
+    Groups are formed inside each value of ``within`` (a story).  The nodes of the graph are the values that rows share, and a row ties
+    those it has, so that what is iterated grows with the distinct combinations of values and not with the rows; one pass of
+    connected components serves all stories, and rows are joined back once.
     """
     within = within or []
     at = durable(rows.select(*within, key, government, *[c for c in shared if c != government], F.xxhash64(*within, key).alias("__node")), "independence")
-    parts = connected_components(independence_edges(at, "__node", shared, within))
-    joined = at.select(*within, key, government, "__node").join(parts.withColumnRenamed("node", "__node"), "__node", "left").withColumn("__root", F.coalesce("component", "__node"))
+    values = durable(shared_values(at, "__node", shared, within), "values")
+    ties = values.where(F.size("values") > 1).select(F.get("values", F.lit(0)).alias("src"), F.explode(F.slice("values", 2, len(shared))).alias("dst")).distinct()
+    parts = connected_components(ties)
+    anchors = values.select("__node", F.get("values", F.lit(0)).alias("node")).join(parts, "node", "left").select("__node", F.coalesce("component", "node").alias("__root"))
+    joined = at.select(*within, key, government, "__node").join(anchors, "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
     known = F.col(government).isNotNull()
     names = joined.groupBy("__root").agg(F.min(key).alias("__least"), F.max_by(F.when(known, F.col(government)), F.when(known, F.col(key))).alias("__gov"))
     name = F.coalesce(F.concat(F.lit("gov:"), F.lower("__gov")), F.concat(F.lit("g"), F.col("__least").cast("string")))
@@ -124,40 +128,40 @@ def attribution_key(raw: Column, name: Column, kind: Column, government: Column,
     )
 
 
+def article_voices(outlets: DataFrame) -> DataFrame:
+    """``outlets`` with what depends on the article alone: ``worked`` (the owner's plain name), ``own_voice`` (a government's or an agency's), ``named`` (a named author, no agency) and ``dateline``."""
+    author = F.trim(F.coalesce("author", F.lit("")))
+    named = (author != "") & (F.length(author) <= 60) & ~author.rlike(GENERIC_AUTHOR) & (plain_name(author) != plain_name(F.col("outlet")))
+    voice = F.when(F.col("government").isNotNull(), F.concat(F.lit("gov:"), plain_name(F.col("government")))).when(F.col("agency").isNotNull(), F.concat(F.lit("agency:"), plain_name(F.col("agency"))))
+    return outlets.withColumns({"worked": plain_name(F.col("owner")), "own_voice": voice, "named": F.col("agency").isNull() & named, "dateline": F.coalesce("text", F.lit("")).rlike(DATELINE)})
+
+
 def original_articles(articles: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(story_id, article_id, original)``: a named author, no agency, and a dateline or two first reports and one of its own.
 
-    ``firsts`` has firsts and soles by story and article.
+    ``articles`` are those of stories, as of ``article_voices``; ``firsts`` has firsts and soles by story and article.
     """
-    author = F.trim(F.coalesce("author", F.lit("")))
-    named = (author != "") & (F.length(author) <= 60) & ~author.rlike(GENERIC_AUTHOR) & (plain_name(author) != plain_name(F.col("outlet")))
-    own = F.coalesce("text", F.lit("")).rlike(DATELINE) | ((F.coalesce("firsts", F.lit(0)) >= 2) & (F.coalesce("soles", F.lit(0)) >= 1))
-    return articles.join(firsts, ["story_id", "article_id"], "left").select("story_id", "article_id", (F.col("agency").isNull() & named & own).alias("original"))
+    own = F.col("dateline") | ((F.coalesce("firsts", F.lit(0)) >= 2) & (F.coalesce("soles", F.lit(0)) >= 1))
+    return articles.join(firsts, ["story_id", "article_id"], "left").select("story_id", "article_id", (F.col("named") & own).alias("original"))
 
 
 def claim_origins(claims: DataFrame, articles: DataFrame, original: DataFrame, attributions: DataFrame, outlets: DataFrame) -> DataFrame:
-    """``claims`` with the article's columns and ``origin``: who knew it by their own means.
+    """``claims`` with ``text_source``, ``published_at``, ``original`` and ``origin``: who knew it by their own means.
 
     An article's own voice counts if the article is original; state media speak for their
-    government, wire copies for the agency; "X reported" counts if X has an original article in the story.  ``outlets`` (outlet, owner) are all that are known.
+    government, wire copies for the agency; "X reported" counts if X has an original article in the story.  ``articles`` are as of ``article_voices``, ``outlets`` (outlet, owner) all that are known.
     """
-    owner = plain_name(F.col("owner"))
-    told = articles.join(original, ["story_id", "article_id"])
-    own_work = told.where("original").select(F.col("story_id").alias("__story"), owner.alias("__worked")).distinct()
+    told = articles.select("story_id", "article_id", "worked", "own_voice", "text_source", "published_at").join(original, ["story_id", "article_id"])
+    own_work = told.where("original").select(F.col("story_id").alias("__story"), F.col("worked").alias("__worked")).distinct()
     names = outlets.groupBy(plain_name(F.col("outlet")).alias("__name")).agg(F.min("owner").alias("__outlet_owner"))
     known = attributions.withColumn("__name", plain_name(F.coalesce("name", "attributed_to"))).join(names, "__name", "left")
     keys = known.select("attributed_to", attribution_key(F.col("attributed_to"), F.col("name"), F.col("kind"), F.col("source_government"), F.col("__outlet_owner")).alias("__key"))
     rows = claims.join(told, ["story_id", "article_id"]).join(keys, "attributed_to", "left").withColumn("__key", F.coalesce("__key", F.lit("OWN")))
     rows = rows.withColumn("__other", F.when(F.col("__key").startswith("outlet:"), F.substring("__key", 8, 1000)))
     rows = rows.join(own_work, (F.col("story_id") == F.col("__story")) & (F.col("__other") == F.col("__worked")), "left").drop("__story")
-    own = (
-        F.when(F.col("government").isNotNull(), F.concat(F.lit("gov:"), plain_name(F.col("government"))))
-        .when(F.col("agency").isNotNull(), F.concat(F.lit("agency:"), plain_name(F.col("agency"))))
-        .when(F.col("original"), F.concat(F.lit("own:"), owner))
-        .otherwise(POOL)
-    )
+    own = F.coalesce("own_voice", F.when(F.col("original"), F.concat(F.lit("own:"), F.col("worked"))), F.lit(POOL))
     origin = F.when(F.col("__other").isNotNull(), F.coalesce(F.concat(F.lit("own:"), F.col("__worked")), F.lit(POOL))).when(F.col("__key") == "OWN", own).otherwise(F.col("__key"))
-    return rows.withColumn("origin", origin).drop("__key", "__other", "__worked")
+    return rows.withColumn("origin", origin).drop("__key", "__other", "__worked", "worked", "own_voice")
 
 
 def statement_origins(origins: DataFrame, groups: DataFrame, statement: str = "canonical_id") -> DataFrame:

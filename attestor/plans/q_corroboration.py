@@ -86,6 +86,11 @@ def story_articles(t: Tables) -> DataFrame:
     return t.v_claims.select("story_id", "article_id").distinct().join(t.v_outlets, "article_id")
 
 
+def story_voices(t: Tables) -> DataFrame:
+    """The articles of every story with what origins need of them, worked out once for each article."""
+    return t.v_claims.select("story_id", "article_id").distinct().join(C.article_voices(t.v_outlets), "article_id")
+
+
 def story_groups(t: Tables) -> DataFrame:
     """Independence groups inside every story: wire copies, agency, outlet, owner, government."""
     return durable(C.independence_groups(story_articles(t), "article_id", SHARED, within=["story_id"]), "groups")
@@ -93,7 +98,7 @@ def story_groups(t: Tables) -> DataFrame:
 
 def origins_of(t: Tables) -> DataFrame:
     """Claims with their articles and origins."""
-    articles = story_articles(t)
+    articles = story_voices(t)
     told = t.v_claims.where("stance <> 'denies'").join(t.v_outlets.select("article_id", "published_at"), "article_id")
     firsts = C.first_and_sole(told, "published_at", keys=["story_id", "article_id"])
     return C.claim_origins(t.v_claims, articles, C.original_articles(articles, firsts), t.v_attributions, t.v_outlets)
@@ -148,7 +153,7 @@ def _(t: Tables):
 
 @query("originality_flag", f"WITH {ORIGINS} SELECT story_id, article_id, original FROM oa")
 def _(t: Tables):
-    articles = story_articles(t)
+    articles = story_voices(t)
     told = t.v_claims.where("stance <> 'denies'").join(t.v_outlets.select("article_id", "published_at"), "article_id")
     return C.original_articles(articles, C.first_and_sole(told, "published_at", keys=["story_id", "article_id"]))
 

@@ -21,7 +21,10 @@ def _quoted(pattern: str) -> str:
 _STEM = f"CASE WHEN length(x) > 4 THEN regexp_replace(x, '{R.SUFFIX}', '') ELSE x END"
 _MEANING = "CASE " + " ".join(f"WHEN x IN {_list(stems)} THEN '{one}'" for stems, one in R.meanings()) + " ELSE x END"
 _DAY = "lower(substr(regexp_extract(text, {p}, {m}), 1, 3)) || regexp_extract(text, {p}, {d})"
-PROFILE = rf"""p0 AS (SELECT statement_id AS id, story_id, coalesce(text, '') AS text FROM v_told), p1 AS (SELECT *, regexp_replace(text, {_quoted(R.DATE)}, ' ', 'g') AS undated, regexp_extract_all(text, '{R.TOKEN.replace("'", "''")}', 1) AS tokens FROM p0),
+WHOLE = "p0 AS (SELECT statement_id AS id, story_id, coalesce(text, '') AS text FROM v_told)"
+BODY = f"""p00 AS (SELECT statement_id AS id, story_id, regexp_replace(coalesce(text, ''), {_quoted(R.ACCORDING)}, '', 'g') AS t FROM v_told), p01 AS (SELECT *, regexp_extract(t, {_quoted(R.SAID)}, 1) AS said FROM p00),
+p0 AS (SELECT id, story_id, CASE WHEN length(t) - length(said) > 15 THEN substr(t, length(said) + 1) ELSE t END AS text FROM p01)"""
+PROFILE = rf"""p1 AS (SELECT *, regexp_replace(text, {_quoted(R.DATE)}, ' ', 'g') AS undated, regexp_extract_all(text, '{R.TOKEN.replace("'", "''")}', 1) AS tokens FROM p0),
 p AS (SELECT id, story_id, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')) AS plain,
   list_distinct(list_transform(list_filter(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN {_list(R.STOP)} AND NOT regexp_matches(x, '^[0-9]+$')), lambda x: {_STEM}), lambda x: x NOT IN {_list(R.NO_ROOTS)}), lambda x: {_MEANING})) AS words,
   list_distinct(list_transform(regexp_extract_all(undated, '\d+(?:\.\d+)?'), lambda x: round(x::DOUBLE, 3))) AS figures,
@@ -56,6 +59,20 @@ RELATION = f"""CASE WHEN opposed OR dated_apart THEN 'different' WHEN identical
   WHEN figures_equal AND names_equal AND alike >= {R.DOUBTFUL} AND telling THEN 'ask' {" ".join(f"WHEN {_NEARLY.format(w=w, n=n)} THEN 'ask_{w}_covers_{n}'" for w, n in (('a', 'b'), ('b', 'a')))} ELSE 'different' END"""
 
 
+def _near(x: str, y: str) -> str:
+    return f"len(list_filter({x}, lambda v: len(list_filter({y}, lambda w: abs(v - w) <= 0.05 * greatest(abs(v), abs(w)))) = 0)) = 0"
+
+
+_BOUNDS = " OR ".join(
+    f"({x}.{bound} AND list_{one}({y}.figures) {sign} list_{other}({x}.figures))" for x, y in (("a", "b"), ("b", "a")) for bound, one, sign, other in (("at_least", "max", ">=", "min"), ("at_most", "min", "<=", "max"))
+)
+DISPUTE = f"""g AS (SELECT *, {' , '.join(f"list_filter({_minus(f'{x}.words', f'{x}.names')}, lambda z: z NOT IN {_list(R.ANSWERS)}) AS q{x}" for x in 'ab')},
+  CASE WHEN len(a.figures) <= len(b.figures) THEN {_near('a.figures', 'b.figures')} ELSE {_near('b.figures', 'a.figures')} END AS close FROM f),
+h AS (SELECT *, len(list_intersect(qa, qb)) AS asked, len(a.figures) > 0 AND len(b.figures) > 0 AND NOT close AS figures_apart FROM g),
+d AS (SELECT a.id AS a, b.id AS b, CASE WHEN NOT names_equal OR len(qa) + len(qb) = 0 OR asked < {R.ONE_QUESTION} * (len(qa) + len(qb) - asked) THEN NULL WHEN opposed THEN CASE WHEN close THEN 'negation' END
+  WHEN {_disjoint('weekdays')} OR dated_apart THEN 'date' WHEN figures_apart AND NOT (a.total <> '' AND b.total <> '' AND a.total <> b.total) AND NOT ({_BOUNDS}) THEN 'number' END AS kind FROM h)"""
+
+
 def story_pairs(told: DataFrame) -> DataFrame:
     """The statements (statement_id, story_id, p: a profile) of each story in pairs: (a_id, b_id, a, b)."""
     side = lambda n: told.select("story_id", F.col("statement_id").alias(f"{n}_id"), F.col("p").alias(n))
@@ -66,18 +83,18 @@ def _profiled(t: Tables, text: Column | None = None) -> DataFrame:
     return t.v_told.select("statement_id", "story_id", R.profile(F.col("text") if text is None else text).alias("p"))
 
 
-@query("statement_profile", f"WITH {PROFILE} SELECT id AS statement_id, plain, array_to_string(list_sort(words), ' ') AS words, array_to_string(list_sort(names), ' ') AS names, len(figures)::INT AS figures, array_to_string(list_sort(years), ' ') AS years, day, denies, elsewhere FROM p")
+@query("statement_profile", f"WITH {WHOLE}, {PROFILE} SELECT id AS statement_id, plain, array_to_string(list_sort(words), ' ') AS words, array_to_string(list_sort(names), ' ') AS names, len(figures)::INT AS figures, array_to_string(list_sort(years), ' ') AS years, day, denies, elsewhere FROM p")
 def _(t: Tables):
     joined = lambda c: F.array_join(F.array_sort(f"p.{c}"), " ").alias(c)
     return _profiled(t).select("statement_id", "p.plain", joined("words"), joined("names"), F.size("p.figures").alias("figures"), joined("years"), "p.day", "p.denies", "p.elsewhere")
 
 
-@query("relate_statements", f"WITH {PROFILE}, {FEATURES} SELECT a.id AS a, b.id AS b, {RELATION} AS relation FROM f")
+@query("relate_statements", f"WITH {WHOLE}, {PROFILE}, {FEATURES} SELECT a.id AS a, b.id AS b, {RELATION} AS relation FROM f")
 def _(t: Tables):
     return story_pairs(_profiled(t)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), R.relation(F.col("a"), F.col("b")).alias("relation"))
 
 
-@query("dispute_candidate")
+@query("dispute_candidate", f"WITH {BODY}, {PROFILE}, {FEATURES}, {DISPUTE} SELECT a, b, kind FROM d WHERE kind IS NOT NULL")
 def _(t: Tables):
     rows = story_pairs(_profiled(t, R.body(F.col("text")))).withColumn("kind", R.dispute(F.col("a"), F.col("b")))
     return rows.where("kind IS NOT NULL").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "kind")

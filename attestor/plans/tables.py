@@ -14,7 +14,7 @@ VIEWS = {
   CAST(TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '3' MINUTE AS TIMESTAMP) AS published_at, CAST(floor(doc_id / 8) AS BIGINT) AS story_id FROM documents""",
     "v_claims": """SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_partkey % 500 AS story_id, l_suppkey AS article_id,
   (l_partkey % 500) * 100 + l_orderkey % 29 AS canonical_id, CASE WHEN l_linenumber % 3 = 0 THEN 'event' ELSE 'claim' END AS kind,
-  CASE l_returnflag WHEN 'A' THEN 'asserts' WHEN 'N' THEN 'attributes' ELSE 'denies' END AS stance,
+  CASE WHEN l_returnflag = 'N' THEN 'attributes' WHEN l_returnflag = 'R' AND l_orderkey % 29 % 3 = 0 THEN 'denies' ELSE 'asserts' END AS stance,
   CASE l_linenumber WHEN 1 THEN 'none' WHEN 2 THEN 'official_statement' WHEN 3 THEN 'named_witness' WHEN 4 THEN 'unnamed_source'
     WHEN 5 THEN 'fir' WHEN 6 THEN 'video' ELSE 'court_record' END AS evidence,
   CASE l_orderkey % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'police' WHEN 2 THEN 'sources' WHEN 3 THEN 'PTI' ELSE concat('person ', CAST(l_orderkey % 9 AS STRING)) END AS attributed_to,
@@ -22,7 +22,7 @@ VIEWS = {
   CAST(l_shipdate + CAST(l_quantity AS INT) * INTERVAL '1' HOUR AS TIMESTAMP) AS t_end FROM lineitem""",
     "v_outlets": """SELECT s_suppkey AS article_id, s_name AS outlet, concat('own', CAST(s_nationkey AS STRING)) AS owner,
   CASE WHEN n_regionkey = 4 AND s_nationkey % 2 = 0 THEN lower(n_name) END AS government,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'PTI' END AS agency, CASE WHEN s_suppkey % 8 < 2 THEN CAST(floor(s_suppkey / 8) AS BIGINT) END AS wire_group,
+  CASE WHEN s_suppkey % 10 = 0 AND s_nationkey % 6 = 1 THEN 'PTI' END AS agency, CASE WHEN s_suppkey % 8 < 2 THEN CAST(floor(s_nationkey / 3) AS BIGINT) END AS wire_group,
   CASE WHEN s_suppkey % 3 = 0 THEN 'Staff Reporter' ELSE concat('Author ', CAST(s_suppkey % 17 AS STRING)) END AS author,
   CASE WHEN s_suppkey % 6 = 5 THEN 'summary' ELSE 'full' END AS text_source, CASE WHEN s_suppkey % 4 = 1 THEN 'NEW DELHI: two people died.' ELSE 'Also Read: two people died.' END AS text,
   CAST(TIMESTAMP '2024-01-01 00:00:00' + s_suppkey * INTERVAL '3' MINUTE AS TIMESTAMP) AS published_at FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
@@ -32,7 +32,7 @@ VIEWS = {
   FROM (SELECT DISTINCT CASE l_orderkey % 5 WHEN 0 THEN 'article' WHEN 1 THEN 'police' WHEN 2 THEN 'sources' WHEN 3 THEN 'PTI' ELSE concat('person ', CAST(l_orderkey % 9 AS STRING)) END AS attributed_to FROM lineitem) AS raw""",
     "v_statements": """SELECT canonical_id, min(story_id) AS story_id, CASE WHEN canonical_id % 6 = 0 THEN CAST(NULL AS BOOLEAN) ELSE canonical_id % 5 <> 0 END AS checkable,
   CASE WHEN canonical_id % 2 = 0 THEN CAST(TIMESTAMP '2024-01-01 00:00:00' AS TIMESTAMP) END AS met_at, canonical_id % 13 = 0 AS name_conflict, CASE WHEN min(story_id) % 3 = 0 THEN 'global' END AS mode,
-  CASE WHEN canonical_id % 11 = 0 THEN 'confirmed' WHEN canonical_id % 17 = 0 THEN 'false' END AS old_verdict, CAST(3 AS BIGINT) AS checked_members
+  CASE WHEN canonical_id % 11 = 0 THEN 'confirmed' WHEN canonical_id % 17 = 0 THEN 'false' END AS old_verdict, CAST(CASE WHEN canonical_id % 3 = 0 THEN count(*) ELSE 3 END AS BIGINT) AS checked_members
   FROM (SELECT l_partkey % 500 AS story_id, (l_partkey % 500) * 100 + l_orderkey % 29 AS canonical_id FROM lineitem) AS told GROUP BY canonical_id""",
     "v_feed_log": """SELECT event_id AS log_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS feed_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS ok FROM events""",
     "v_follows": """SELECT DISTINCT user_id AS reader, CASE event_type WHEN 'click' THEN 'section' WHEN 'view' THEN 'place' WHEN 'signup' THEN 'entity' ELSE 'story' END AS kind,

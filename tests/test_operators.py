@@ -101,6 +101,7 @@ def told(spark, reports):
     known_outlets = articles.select("outlet", "owner").union(spark.createDataFrame([("Times of India", "Times of India")], "outlet string, owner string"))
     groups = articles.selectExpr("story_id", "article_id", "concat('g', article_id) AS grp")
     firsts = C.first_and_sole(claims.join(articles.select("article_id", "published_at"), "article_id"), "published_at", keys=["story_id", "article_id"])
+    articles = C.article_voices(articles)
     return C.statement_origins(C.claim_origins(claims, articles, C.original_articles(articles, firsts), attributions, known_outlets), groups).first()
 
 
