@@ -69,20 +69,6 @@ def _(t: Tables):
     return p.select("conv_id", "turn", F.array_join(F.array_sort(F.filter("names", lambda x: ~F.contains(F.col("src"), x))), ",").alias("absent"))
 
 
-@query("title_before_strip", r"SELECT article_id, nullif(regexp_extract(title, '^(The|Of|And|La|De|Die|Der|El) ', 1), '') AS title_word, regexp_replace(title, '^(The|Of|And|La|De|Die|Der|El) ', '') AS rest FROM v_articles")
-def _(t: Tables):
-    p = "^(The|Of|And|La|De|Die|Der|El) "
-    return t.v_articles.select("article_id", F.nullif(F.regexp_extract("title", p, 1), F.lit("")).alias("title_word"), F.regexp_replace("title", p, "").alias("rest"))
-
-
-@query("title_relation", "WITH RECURSIVE l AS (SELECT DISTINCT child_id AS node, parent_id AS ancestor FROM v_links), a AS (SELECT node, ancestor, 1 AS hops FROM l UNION ALL SELECT a.node, l.ancestor, hops + 1 FROM a JOIN l ON a.ancestor = l.node) SELECT node, ancestor, CASE WHEN hops = 1 THEN 'is' ELSE 'is_a' END AS relation FROM a")
-def _(t: Tables):
-    from attestor.operators.linking import ancestors
-
-    a = ancestors(t.v_links, "child_id", "parent_id")
-    return a.select("node", "ancestor", F.when(F.col("hops") == 1, "is").otherwise("is_a").alias("relation"))
-
-
 @query("topic_proposals", "WITH r AS (SELECT story_id, loaded_word, canonical_id, ceil(row_number() OVER (PARTITION BY story_id, loaded_word ORDER BY canonical_id) / 12.0)::BIGINT AS part FROM (SELECT DISTINCT story_id, loaded_word, canonical_id FROM v_claims)) SELECT story_id, loaded_word, part, count(*) AS n, min(canonical_id) AS first_id FROM r GROUP BY ALL")
 def _(t: Tables):
     from pyspark.sql import Window as W
