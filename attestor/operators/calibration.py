@@ -32,10 +32,11 @@ def pair_scores(queries: DataFrame, base: DataFrame, key: str, vector: str, labe
         if a.empty or b.empty:
             return pd.DataFrame({"score": [], "same": [], "n": []})
         x, y = (np.stack(p.v.to_numpy()) for p in (a, b))
-        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+        long_x, long_y = (np.sqrt((m * m).sum(axis=1)) for m in (x, y))
         parts = []
-        for lo in range(0, len(x), 256):
-            score = np.round(x[lo : lo + 256] @ y.T, digits) + 0.0
+        for lo in range(0, len(x), 256):  # vectors of whole numbers have exact products
+            cosine = (x[lo : lo + 256] @ y.T) / (long_x[lo : lo + 256, None] * long_y[None])
+            score = np.floor(cosine * 10**digits + 0.5) / 10**digits + 0.0
             other = a.id.to_numpy()[lo : lo + 256, None] != b.id.to_numpy()[None]
             same = a.label.to_numpy()[lo : lo + 256, None] == b.label.to_numpy()[None]
             parts.append(pd.DataFrame({"score": score[other], "same": same[other], "n": 1}).groupby(["score", "same"], as_index=False).n.sum())

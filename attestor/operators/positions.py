@@ -25,7 +25,7 @@ HOLD_A, HOLD_B, MOST_STEPS, STILL = 0.1, 1.0, 400, 1e-7
 #: Steps whose curvature is remembered.
 PAST = 6
 #: The same for the fits of a test, which need ranges and correlations only.
-STILL_TEST, MOST_STEPS_TEST = 1e-3, 60
+STILL_TEST, MOST_STEPS_TEST = 1e-3, 40
 #: Positions of all fits of a run together (8 bytes each travel with every step).
 MOST_POSITIONS = 4_000_000
 #: The rule of a signal: stable, separated, and both clearly better than with shuffled names.

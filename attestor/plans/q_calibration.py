@@ -9,11 +9,13 @@ from attestor.plans.registry import query
 from attestor.plans.tables import Tables
 
 
-@query("threshold_calibration", """WITH p AS (SELECT round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS t, q.label = b.label AS same FROM embeddings q JOIN embeddings b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
+@query("threshold_calibration", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
+p AS (SELECT floor(list_inner_product(q.v, b.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(b.v, b.v))) * 10000 + 0.5) / 10000 AS t, q.label = b.label AS same FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
 s AS (SELECT t, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS q FROM p GROUP BY t), r AS (SELECT *, coalesce(sum(p) OVER w, 0) AS pb, coalesce(sum(q) OVER w, 0) AS qb, sum(p) OVER () AS ps, sum(q) OVER () AS qs FROM s WINDOW w AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 a AS (SELECT sum(p * (qb + q / 2.0)) / (max(ps) * max(qs)) AS auc FROM r) SELECT t::DOUBLE AS threshold, (ps + qs - pb - qb)::BIGINT AS n, round(((ps - pb) / (ps + qs - pb - qb))::DOUBLE, 6) AS precision, round(((ps - pb) / ps)::DOUBLE, 6) AS recall, round(auc::DOUBLE, 6) AS auc FROM r, a""")
 def _(t: Tables):
-    scores = K.pair_scores(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", "label")
+    whole = t.embeddings.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")))  # so that both engines have the same products
+    scores = K.pair_scores(whole.where("vec_id % 100 = 0"), whole, "vec_id", "embedding", "label")
     curve = K.threshold_curve(scores, n=F.col("n"))
     return curve.select("threshold", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "auc")])
 
