@@ -37,7 +37,7 @@ _ORDINAL = re.compile(r"(?:st|nd|rd|th)\b", re.I)
 _POINTS = re.compile(r"\s*(?:basis\s+points?|bps)\b", re.I)
 _NEXT_WORD = re.compile(r"\s*([a-z]+)\b", re.I)
 _LETTERS = re.compile(r"[a-z]+")
-_ANY_WORD = re.compile(rf"\b(?:{'|'.join(WORDS)})")
+_ANY_WORD = re.compile(rf"(?<![a-z])(?:{'|'.join(WORDS)})(?![a-z])")
 _NUMERAL = re.compile(rf"\b(?:{'|'.join(x.replace(' ', chr(92) + 's+') for x in LABELS)})\s+([IVX]+)\b".replace("(?:world", "(?i:world"))
 #: I to XXXIX.
 ROMAN = {t + u: 10 * i + j for i, t in enumerate(("", "X", "XX", "XXX")) for j, u in enumerate(("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")) if t + u}
