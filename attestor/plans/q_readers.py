@@ -107,9 +107,9 @@ def _(t: Tables):
     return t.events.select("event_id", F.when(F.row_number().over(w) > 1, "limit").otherwise("ok").alias("verdict"))
 
 
-@query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) <= 2 AS allowed FROM events")
+@query("rate_limit_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts::TIMESTAMP) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) <= 2 AS allowed FROM events")
 def _(t: Tables):
-    w = W.partitionBy("user_id").orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-3600, 0)
+    w = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3600 * 1_000_000, 0)  # an hour to the microsecond
     return t.events.select("event_id", (F.count(F.lit(1)).over(w) <= 2).alias("allowed"))
 
 
