@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.functions import figures as G
 from attestor.functions import relations as R
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
@@ -21,13 +22,22 @@ def _quoted(pattern: str) -> str:
 _STEM = f"CASE WHEN length(x) > 4 THEN regexp_replace(x, '{R.SUFFIX}', '') ELSE x END"
 _MEANING = "CASE " + " ".join(f"WHEN x IN {_list(stems)} THEN '{one}'" for stems, one in R.meanings()) + " ELSE x END"
 _DAY = "lower(substr(regexp_extract(text, {p}, {m}), 1, 3)) || regexp_extract(text, {p}, {d})"
+#: A figure in digits by its whole writing, as in ``figures``: 1.2.3 is none, commas go, ordinals, basis points and scales count.
+_SCALES = G.SCALES | G.AFTER_DIGITS
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+_DIGITS = rf"\d+(?:[.,]\d+)*(?:(?:st|nd|rd|th)\b|{_SPACE}*(?:basis{_SPACE}+points?|bps)\b|(?:{_SPACE}*(?:{'|'.join(sorted(_SCALES, key=len, reverse=True))})\b)+)?"
+#: Letters beyond ASCII become an underscore there, so that a word ends where it does in the query.
+_WRITTEN = r"lower(regexp_replace(translate(undated, '०१२३४५६७८९٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[^\P{L}a-zA-Z]', '_', 'g'))"
+_SCALE = "CASE " + " ".join(f"WHEN w = '{w}' THEN {v}::DOUBLE" for w, v in _SCALES.items()) + " ELSE 1.0::DOUBLE END"
+_VALUE = "TRY_CAST(replace(regexp_extract(x, '^[0-9.,]+'), ',', '') AS DOUBLE)"
+_FIGURES = f"list_transform(list_filter(list_transform(regexp_extract_all({_WRITTEN}, '{_DIGITS}'), lambda x: CASE WHEN regexp_matches(x, '(points?|bps)$') THEN {_VALUE} / 100 ELSE list_reduce(list_concat([{_VALUE}], list_transform(regexp_extract_all(x, '[a-z]+'), lambda w: {_SCALE})), lambda v, w: v * w) END), lambda x: x IS NOT NULL), lambda x: round(x, 3))"
 WHOLE = "p0 AS (SELECT statement_id AS id, story_id, coalesce(text, '') AS text FROM v_told)"
 BODY = f"""p00 AS (SELECT statement_id AS id, story_id, regexp_replace(coalesce(text, ''), {_quoted(R.ACCORDING)}, '', 'g') AS t FROM v_told), p01 AS (SELECT *, regexp_extract(t, {_quoted(R.SAID)}, 1) AS said FROM p00),
 p0 AS (SELECT id, story_id, CASE WHEN length(t) - length(said) > 15 THEN substr(t, length(said) + 1) ELSE t END AS text FROM p01)"""
 PROFILE = rf"""p1 AS (SELECT *, regexp_replace(text, {_quoted(R.DATE)}, ' ', 'g') AS undated, regexp_extract_all(text, '{R.TOKEN.replace("'", "''")}', 1) AS tokens FROM p0),
 p AS (SELECT id, story_id, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')) AS plain,
   list_distinct(list_transform(list_filter(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN {_list(R.STOP)} AND NOT regexp_matches(x, '^[0-9]+$')), lambda x: {_STEM}), lambda x: x NOT IN {_list(R.NO_ROOTS)}), lambda x: {_MEANING})) AS words,
-  list_distinct(list_transform(regexp_extract_all(undated, '\d+(?:\.\d+)?'), lambda x: round(x::DOUBLE, 3))) AS figures,
+  list_distinct({_FIGURES}) AS figures,
   list_filter(list_distinct(list_transform(list_transform(list_filter(tokens, lambda x, i: regexp_matches(x, '^\p{{Lu}}.') AND (i > 1 OR (regexp_matches(coalesce(tokens[2], ''), '^\p{{Lu}}') AND lower(x) NOT IN {_list(R.STOP)}))), lambda x: lower(x)), lambda x: {_STEM})), lambda x: x NOT IN {_list(R.NO_NAMES)}) AS names,
   list_distinct(regexp_extract_all(text, '\b((?:19|20)\d\d)\b', 1)) AS years, coalesce(nullif({_DAY.format(p=_quoted(R.DAY_MONTH), m=2, d=1)}, ''), nullif({_DAY.format(p=_quoted(R.MONTH_DAY), m=1, d=2)}, ''), nullif(regexp_extract(text, '\b(?:19|20)\d\d-(\d\d-\d\d)\b', 1), '')) AS day,
   list_distinct(list_transform(regexp_extract_all(text, '{R.WEEKDAY}', 1), lambda x: lower(x))) AS weekdays, regexp_matches(text, {_quoted(R.DENIAL)}) AS denies, regexp_matches(text, '{R.ELSEWHERE}') AS elsewhere,
