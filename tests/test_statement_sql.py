@@ -17,3 +17,12 @@ def test_figures_in_statements(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(map(repr, con.execute(ORACLE[name]).fetchall()))
+
+
+def test_whole_words_of_any_script(spark, tmp_path):
+    titles = ["ñare", "areñ", "we are here", "are", "(are)", "are_", "share", "the the", "x aré", "ΩareΩ", "plain"]
+    spark.createDataFrame([(i, x, "en", "src1", 9) for i, x in enumerate(titles)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.article_id for r in QUERIES["roundup_title_filter"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(x for (x,) in con.execute(ORACLE["roundup_title_filter"]).fetchall()) == [0, 1, 5, 6, 8, 9, 10]
