@@ -139,13 +139,14 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One document of each group of near copies stays: that with the least key.
 
-    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  At
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  SimHash
+    fingerprints of these shingles that anchor-point covering links propose the closest.  At
     0.8 two 64-bit fingerprints differ in about 10 bits, beyond any radius that anchors
-    can cover, so candidates come from MinHash bands and are verified exactly.
+    can cover, so MinHash bands propose the rest; all are verified exactly.
     A row with a null key cannot be named by a decision and stays; rows alike in key
     and text count as one document, of which one row stays.
     """
-    found = near_copy_components(docs, text, key)
+    found = near_copy_components(docs, text, key, fingerprint_links)
     first = durable(found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__first")).agg(F.count(F.lit(1)).alias("__rows")), "simhash-first")
     once = docs.join(small(first.where("__rows = 1")), docs[key] == F.col("__first"), "left_semi")
     unnamed = docs.where(F.col(f"`{key}`").isNull())
