@@ -18,6 +18,8 @@ from attestor.operators.linking import nearest_in_time
 from attestor.plans.durable import checkpointed
 
 _SPANS = "s long, k long, a long, b long"
+#: Stories with at most as many events, and as many relations, are settled each in one task; larger ones by rounds over all of them.
+IN_TASK = 5000
 
 
 def _spans(events: DataFrame, story: str, key: str, start: str, end: str) -> DataFrame:
@@ -88,6 +90,75 @@ def dropped_relations(edges: DataFrame) -> DataFrame:
     return gone
 
 
+def _contradicting(edges: list[tuple]) -> list[tuple[int, int]]:
+    """What ``dropped_relations`` drops of the edges (x, y, x_a, y_b) of one story, of which none is against the clock."""
+    left: dict[int, set[int]] = {}
+    end, begin = {}, {}
+    for x, y, x_a, y_b in edges:
+        left.setdefault(x, set()).add(y)
+        begin[x], end[y] = x_a, y_b
+    late = sorted((x for x in left if begin[x] is not None), key=lambda x: -begin[x])
+    dropped = []
+    for x, y in sorted((e[0], e[1]) for e in edges):
+        seen, todo, since, i = {y}, [y], None, 0
+        while todo:
+            node = todo.pop()
+            onward = set(left.get(node, ()))
+            if end[node] is not None and (since is None or end[node] < since):
+                since = end[node]
+            while since is not None and i < len(late) and begin[late[i]] > since:
+                onward |= left[late[i]]
+                i += 1
+            todo += onward - seen
+            seen |= onward
+        if x in seen or (since is not None and begin[x] is not None and begin[x] > since):
+            dropped.append((x, y))
+        left[x].discard(y)
+    return dropped
+
+
+def _settled(events: list[tuple], edges: list[tuple[int, int]]) -> dict[int, int]:
+    """The tiers of the events (k, a, b) of one story: sweeps by the clock and steps along the edges in turns until nothing moves."""
+    least = {k: 0 for k, _, _ in events}
+    order = sorted([(a, 0, k) for k, a, _ in events if a is not None] + [(b, 1, k) for k, a, b in events if a is not None])
+    while True:
+        tier, ended = dict(least), 0
+        for _, is_end, k in order:
+            if is_end:
+                ended = max(ended, tier[k] + 1)
+            else:
+                tier[k] = max(ended, least[k])
+        least = dict(tier)
+        for x, y in edges:
+            least[y] = max(least[y], tier[x] + 1)
+        if least == tier:
+            return tier
+
+
+def _dropped_in_tasks(edges: DataFrame) -> DataFrame:
+    """``dropped_relations`` story by story."""
+
+    def run(story: pa.Table) -> pa.Table:
+        rows = list(zip(*(story[c].to_pylist() for c in ("x", "y", "x_a", "y_b"))))
+        against = [(x, y) for x, y, x_a, y_b in rows if x_a is not None and y_b is not None and y_b < x_a]
+        out = against + _contradicting([r for r in rows if r[:2] not in set(against)])
+        x, y = zip(*out) if out else ((), ())
+        return pa.table({"s": pa.array([story["s"][0].as_py()] * len(out), pa.int64()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return edges.groupBy("s").applyInArrow(run, "s long, x long, y long")
+
+
+def _tiers_in_tasks(spans: DataFrame, kept: DataFrame) -> DataFrame:
+    """(s, k, tier) story by story."""
+
+    def run(events: pa.Table, edges: pa.Table) -> pa.Table:
+        found = _settled(list(zip(*(events[c].to_pylist() for c in "kab"))), list(zip(edges["x"].to_pylist(), edges["y"].to_pylist())))
+        story = [events["s"][0].as_py()] * len(found) if found else []
+        return pa.table({"s": pa.array(story, pa.int64()), "k": pa.array(list(found), pa.int64()), "tier": pa.array(list(found.values()), pa.int64())})
+
+    return spans.groupBy("s").cogroup(kept.groupBy("s")).applyInArrow(run, "s long, k long, tier long")
+
+
 def _sweep(rows: DataFrame) -> DataFrame:
     """(s, k, tier) of dated events (s, k, a, b, least): the greatest of ``least`` and of one more than what has ended before.
 
@@ -95,7 +166,8 @@ def _sweep(rows: DataFrame) -> DataFrame:
     """
     starts = rows.select("s", F.col("a").alias("at"), F.lit(0).alias("is_end"), "k", "least")
     ends = rows.select("s", F.col("b").alias("at"), F.lit(1).alias("is_end"), "k", "least")
-    ordered = starts.unionByName(ends).repartition("s").sortWithinPartitions("s", "at", "is_end", "k")
+    # by a hash of the story: Spark leaves a repartition by "s" out where it takes the union for dealt by it already
+    ordered = starts.unionByName(ends).repartition(F.xxhash64("s")).sortWithinPartitions("s", "at", "is_end", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         story, ended, under_way = None, 0, {}
@@ -115,7 +187,20 @@ def _sweep(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "s long, k long, tier long")
 
 
-def ordered_timeline(events: DataFrame, relations: DataFrame, story: str = "story_id", key: str = "canonical_id", start: str = "t_start", end: str = "t_end", earlier: str = "earlier", later: str = "later") -> tuple[DataFrame, DataFrame]:
+def _tiers_in_rounds(spans: DataFrame, kept: DataFrame) -> DataFrame:
+    """(s, k, tier) of all stories at once, a round for each relation on the longest chain."""
+    floor = spans.withColumn("least", F.lit(0).cast("long"))
+    while True:
+        tiers = checkpointed(_sweep(floor.where("a IS NOT NULL").select("s", "k", "a", "b", "least")).unionByName(floor.where("a IS NULL").select("s", "k", F.col("least").alias("tier"))))
+        need = kept.join(tiers.select("s", F.col("k").alias("x"), "tier"), ["s", "x"]).groupBy("s", F.col("y").alias("k")).agg((F.max("tier") + 1).alias("need"))
+        raised = tiers.join(need, ["s", "k"], "left").select("s", "k", F.greatest("tier", F.coalesce("need", F.lit(0))).alias("least"), (F.coalesce("need", F.lit(0)) > F.col("tier")).alias("moved"))
+        raised = checkpointed(raised)
+        if raised.where("moved").isEmpty():
+            return tiers
+        floor = spans.join(raised.select("s", "k", "least"), ["s", "k"])
+
+
+def ordered_timeline(events: DataFrame, relations: DataFrame, story: str = "story_id", key: str = "canonical_id", start: str = "t_start", end: str = "t_end", earlier: str = "earlier", later: str = "later", in_task: int = IN_TASK) -> tuple[DataFrame, DataFrame]:
     """``((story, key, tier), (story, earlier, later))``: tiers, and the relations dropped because they contradict the rest.
 
     The tier of an event is the longest chain before it, by the clock and by relations: sweeps by the clock and steps along relations take turns until
@@ -126,17 +211,15 @@ def ordered_timeline(events: DataFrame, relations: DataFrame, story: str = "stor
     raw = _spans(events, story, key, start, end).where("s IS NOT NULL AND k IS NOT NULL")
     spans = checkpointed(raw.groupBy("s", "k").agg(F.min("a").alias("a"), F.max("b").alias("b")))
     edges = checkpointed(relation_edges(spans, relations, story, earlier, later))
-    gone = dropped_relations(edges)
+    size = spans.groupBy("s").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+    large = checkpointed(size.where(F.col("n") > in_task).select("s").distinct())
+    of = lambda df, how: df.join(large, "s", how)
+    gone = _dropped_in_tasks(of(edges, "left_anti"))
+    some = not large.isEmpty()
+    gone = checkpointed(gone.unionByName(dropped_relations(of(edges, "left_semi"))) if some else gone)
     kept = checkpointed(edges.join(gone, ["s", "x", "y"], "left_anti").select("s", "x", "y"))
-    floor = spans.withColumn("least", F.lit(0).cast("long"))
-    while True:
-        tiers = checkpointed(_sweep(floor.where("a IS NOT NULL").select("s", "k", "a", "b", "least")).unionByName(floor.where("a IS NULL").select("s", "k", F.col("least").alias("tier"))))
-        need = kept.join(tiers.select("s", F.col("k").alias("x"), "tier"), ["s", "x"]).groupBy("s", F.col("y").alias("k")).agg((F.max("tier") + 1).alias("need"))
-        raised = tiers.join(need, ["s", "k"], "left").select("s", "k", F.greatest("tier", F.coalesce("need", F.lit(0))).alias("least"), (F.coalesce("need", F.lit(0)) > F.col("tier")).alias("moved"))
-        raised = checkpointed(raised)
-        if raised.where("moved").isEmpty():
-            break
-        floor = spans.join(raised.select("s", "k", "least"), ["s", "k"])
+    tiers = _tiers_in_tasks(of(spans, "left_anti"), of(kept, "left_anti"))
+    tiers = checkpointed(tiers.unionByName(_tiers_in_rounds(of(spans, "left_semi"), of(kept, "left_semi"))) if some else tiers)
     far = spans.groupBy("s").agg(F.max("a").alias("last_start"), F.min("b").alias("first_end"))
     related = kept.select("s", F.col("x").alias("k")).unionByName(kept.select("s", F.col("y").alias("k"))).distinct().withColumn("__rel", F.lit(True))
     placed = spans.join(tiers, ["s", "k"]).join(far, "s").join(related, ["s", "k"], "left")
