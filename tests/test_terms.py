@@ -19,3 +19,13 @@ def test_rows_without_a_home_row_of_two_terms(spark):
     assert {r.k for r in L.held_without_home(df, "k", "home", "terms").collect()} == want and 900 in want and 901 not in want
     out = L.held_without_home(df, "k", "home", "terms")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in out  # home rows are only asked whether they are there
+
+
+def test_parents_are_the_first_of_those_that_share_most(spark):
+    rows, df = titles(spark, 2)
+    want = set()
+    for k, _, t in rows:
+        met = sorted((-len(set(t or ()) & set(u or ())), j) for j, _, u in rows if j < k)
+        want |= {(k, j, -n) for n, j in [m for m in met if m[0] <= -3][:6]}
+    got = [tuple(r) for r in L.parents_by_terms(df, "k", "terms").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(n > 3 for _, _, n in want)
