@@ -29,3 +29,12 @@ def test_parents_are_the_first_of_those_that_share_most(spark):
         want |= {(k, j, -n) for n, j in [m for m in met if m[0] <= -3][:6]}
     got = [tuple(r) for r in L.parents_by_terms(df, "k", "terms").collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(n > 3 for _, _, n in want)
+
+
+def test_pairs_that_share_terms_arise_once(spark):
+    rows, df = titles(spark, 3)
+    one, two = df.where("home").selectExpr("k AS a", "terms"), df.where("NOT home").selectExpr("k AS b", "terms")
+    want = sorted((i, j, len(set(t) & set(u or ()))) for i, h, t in rows if h for j, g, u in rows if g is False and len(set(t) & set(u or ())) >= 2)
+    out = L.shared_terms(one, two, "a", "b")
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert "Aggregate" not in out._jdf.queryExecution().sparkPlan().toString()  # pairs are not gathered
