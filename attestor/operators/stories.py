@@ -26,35 +26,80 @@ def story_core(rows: DataFrame, story: str, key: str, at: str, vector: str) -> D
     return first_by(score, [story], [F.desc("__s"), F.col("__i")]).select(story, F.col("__a").alias("core"))
 
 
+def _near_parts(x: np.ndarray, cut: float, rows: int = 512) -> list[np.ndarray]:
+    """Rows of unit vectors in parts that no cosine of ``cut`` or more connects; ``rows`` rows meet all others at a time."""
+    left, parts = np.ones(len(x), dtype=bool), []
+    while left.any():
+        part, todo = [], [int(left.argmax())]
+        left[todo] = False
+        while todo:
+            now, todo = todo[:rows], todo[rows:]
+            part += now
+            rest = np.flatnonzero(left)
+            found = rest[(x[rest] @ x[now].T >= cut - 1e-9).any(axis=1)]
+            left[found] = False
+            todo += found.tolist()
+        parts.append(np.sort(np.array(part)))
+    return parts
+
+
+def average_linkage(x: np.ndarray, cut: float) -> list[list[int]]:
+    """Average-linkage groups of the rows of unit vectors at a cosine cut.
+
+    The mean cosine between two groups is the product of their mean vectors, so no matrix of all pairs is held.  Chains of nearest
+    neighbours end in two groups that are nearest to each other, which the greedy order would merge as well; a merged group is never nearer to a third than
+    its parts were, so a group without a neighbour at the cut is done.  Equal rows are one from the start; rows of zeros stay alone.
+    """
+    told = np.flatnonzero(x.any(axis=1))
+    done = [[int(i)] for i in np.flatnonzero(~x.any(axis=1))]
+    mean, of = np.unique(x[told], axis=0, return_inverse=True)
+    members = [[] for _ in range(len(mean))]
+    for i, g in zip(told.tolist(), of.ravel()):
+        members[g].append(i)
+    for part in _near_parts(mean, cut):
+        m, own = mean[part].copy(), [members[g] for g in part]
+        size, bias, chain = np.array([len(g) for g in own], dtype=np.float64), np.zeros(len(part)), []
+        alive = len(part)
+        while alive:
+            if not chain:
+                if 2 * alive <= len(m):
+                    keep = bias == 0
+                    m, size, own = m[keep], size[keep], [g for g, k in zip(own, keep) if k]
+                    bias = np.zeros(len(m))
+                chain.append(int((bias == 0).argmax()))
+            a = chain[-1]
+            near = m @ m[a] + bias
+            near[a] = -np.inf
+            b = int(near.argmax())
+            if len(chain) > 1 and near[chain[-2]] >= near[b] - 1e-12:
+                b = chain[-2]
+            if near[b] < cut:
+                done.append(own[chain.pop()])
+                bias[a], alive = -np.inf, alive - 1
+            elif len(chain) > 1 and b == chain[-2]:
+                del chain[-2:]
+                m[b] = (m[a] * size[a] + m[b] * size[b]) / (size[a] + size[b])
+                size[b] += size[a]
+                own[b] = own[b] + own[a]
+                bias[a], alive = -np.inf, alive - 1
+            else:
+                chain.append(b)
+    return done
+
+
 def story_split(rows: DataFrame, story: str, key: str, vector: str, cut: float = 0.72, least: int = 4) -> DataFrame:
     """``(story, key, part)``: average-linkage groups at a cosine cut; part 0 is the largest and keeps the story.
 
-    A story is bounded by its time window; stories below ``least`` rows stay whole.
+    A story is bounded by its time window; stories below ``least`` rows stay whole.  Memory grows with the rows of a story, not with their square.
     """
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        n = len(pdf)
-        label = np.zeros(n, dtype=np.int64)
-        if n >= least:
+        label = np.zeros(len(pdf), dtype=np.int64)
+        if len(pdf) >= least:
             x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            sums, groups = x @ x.T, [[i] for i in range(n)]
-            sizes = np.ones(n)
-            while len(groups) > 1:
-                mean = sums / np.outer(sizes, sizes)
-                np.fill_diagonal(mean, -2)
-                a, b = divmod(int(mean.argmax()), len(groups))
-                if mean[a, b] < cut:
-                    break
-                a, b = min(a, b), max(a, b)
-                groups[a] += groups.pop(b)
-                sums[a] += sums[b]
-                sums[:, a] += sums[:, b]
-                sums = np.delete(np.delete(sums, b, 0), b, 1)
-                sizes[a] += sizes[b]
-                sizes = np.delete(sizes, b)
-            groups.sort(key=lambda g: (-len(g), min(g)))
+            groups = sorted(average_linkage(x, cut), key=lambda g: (-len(g), min(g)))
             for part, g in enumerate(groups):
                 label[g] = part if len(g) >= 2 or part == 0 else 0
         return pd.DataFrame({story: pdf[story].to_numpy(), key: pdf[key].to_numpy(), "part": label})
