@@ -42,20 +42,21 @@ def position_items(told: DataFrame, omissions: DataFrame, frames: DataFrame, voi
     that tells it and one that does not.  ``frames`` (story_id, item, word, unit): loaded words used for a fact, an item where at least three units tell the fact and some, not
     all, use the word.  ``voices`` (story_id, voice, unit): who is quoted, an item where at least three units of the story quote someone and not all of them this
     one.  Stories with fewer than three units have no items but omissions.
+
+    What repeated rows say is put together first and written down, so that all that follows grows with facts and units, not with the reports.
     """
-    wide = told.groupBy("story_id").agg(F.count_distinct("unit").alias("__n")).where("__n >= 3").select("story_id")
-    told, frames, voices = (x.join(wide, "story_id", "left_semi") for x in (told, frames, voices))
-    answers = told.groupBy("story_id", "item", "unit").agg(F.min(F.when(F.col("denies"), 0).otherwise(1)).alias("y"))
+    answers = durable(told.groupBy("story_id", "item", "unit").agg(F.min(F.when(F.col("denies"), 0).otherwise(1)).alias("y")), "answers")
+    wide = answers.select("story_id", "unit").distinct().where("unit IS NOT NULL").groupBy("story_id").agg(F.count(F.lit(1)).alias("__n")).where("__n >= 3").select("story_id")
+    uses, quotes = durable(frames.select("story_id", "item", "word", "unit").distinct(), "uses"), durable(voices.select("story_id", "voice", "unit").distinct(), "quotes")
+    answers, uses, quotes = (x.join(wide, "story_id", "left_semi") for x in (answers, uses, quotes))
     split = answers.groupBy("story_id", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
     stance = answers.join(split.where("n >= 2 AND ones BETWEEN 1 AND n - 1"), ["story_id", "item"], "left_semi")
-    left = omissions.groupBy("story_id", "item", "unit").agg(F.max(F.col("told").cast("int")).alias("y"))
+    left = durable(omissions.groupBy("story_id", "item", "unit").agg(F.max(F.col("told").cast("int")).alias("y")), "omissions")
     sized = left.groupBy("story_id", "item").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).where("n >= 3 AND ones >= 1 AND ones < n")
     omitted = left.join(sized, ["story_id", "item"], "left_semi")
-    uses = frames.select("story_id", "item", "word", "unit").distinct()
     used = uses.groupBy("story_id", "item", "word").agg(F.count(F.lit(1)).alias("ones"))
     framed = used.join(split.where("n >= 3").select("story_id", "item", "n"), ["story_id", "item"]).where("ones < n").select("story_id", "item", "word")
     framing = framed.join(answers.select("story_id", "item", "unit"), ["story_id", "item"]).join(uses.withColumn("y", F.lit(1)), ["story_id", "item", "word", "unit"], "left")
-    quotes = voices.select("story_id", "voice", "unit").distinct()
     quoting = quotes.select("story_id", "unit").distinct()
     many = quoting.groupBy("story_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     carried = quotes.groupBy("story_id", "voice").agg(F.count(F.lit(1)).alias("ones")).join(many, "story_id").where("ones < n").select("story_id", "voice")
@@ -248,6 +249,7 @@ def ideal_points(items: DataFrame, least: int = LEAST_ANSWERS) -> DataFrame:
     The unit with most answers (the first by name on a tie) is on the positive side.  Items come as of ``position_items``; repeated
     answers of a unit on an item count as often as they come.
     """
+    items = durable(items.select("story_id", "type", "item", "unit", "y"), "items")
     counts = counted_units(items, least)
     units = list(counts)
     rows = []
@@ -261,6 +263,7 @@ def ideal_points(items: DataFrame, least: int = LEAST_ANSWERS) -> DataFrame:
 
 def first_step(items: DataFrame, least: int = LEAST_ANSWERS) -> DataFrame:
     """``(unit, theta)`` after one step from the fixed start, items at their first Newton step: what a fit does, small enough to be checked."""
+    items = durable(items.select("story_id", "type", "item", "unit", "y"), "items")
     units = list(counted_units(items, least))
     fit = Fit(0, None, start(units) if units else np.empty(0))
     if units:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import corroboration as C
 from attestor.operators import positions as P
+from attestor.plans.durable import durable, small
 from attestor.plans.q_corroboration import OWNERS, owners
 from attestor.plans.registry import query
 from attestor.plans.tables import Tables
@@ -19,7 +20,7 @@ cv AS (SELECT fc.story_id, fc.item, us.unit, rd.item IS NOT NULL AS told FROM fc
 def coverage_of(t: Tables) -> DataFrame:
     """What the units of every story report and leave out."""
     read = t.v_outlets.where("text_source <> 'summary'").select("article_id").join(owners(t), "article_id").where(~F.col("grp").startswith("gov:"))
-    return C.coverage(t.v_claims.join(read, "article_id").select("story_id", F.col("canonical_id").alias("item"), F.col("grp").alias("unit")))
+    return C.coverage(t.v_claims.join(small(read), "article_id").select("story_id", F.col("canonical_id").alias("item"), F.col("grp").alias("unit")))
 
 
 @query("coverage_omission", f"WITH {OWNERS}, {COVERAGE} SELECT story_id, unit, coalesce(string_agg(item, ',' ORDER BY item) FILTER (told), '') AS reported, coalesce(string_agg(item, ',' ORDER BY item) FILTER (NOT told), '') AS omitted FROM cv GROUP BY ALL")
@@ -43,8 +44,8 @@ UNION ALL SELECT vo.story_id, 'voices', vo.voice, u.unit, CASE WHEN qu.unit IS N
 
 def items_of(t: Tables) -> DataFrame:
     """The items of all stories; own words and unnamed or unresolved sources are no voices."""
-    rows = t.v_claims.join(owners(t), "article_id").select("story_id", F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("stance") == "denies").alias("denies"), F.col("loaded_word").alias("word"), "attributed_to")
-    named = t.v_attributions.where("kind IN ('police', 'government', 'court', 'person')").select("attributed_to", F.col("name").alias("voice"))
+    rows = t.v_claims.join(small(owners(t)), "article_id").select("story_id", F.col("canonical_id").alias("item"), F.col("grp").alias("unit"), (F.col("stance") == "denies").alias("denies"), F.col("loaded_word").alias("word"), "attributed_to")
+    named = small(durable(t.v_attributions.where("kind IN ('police', 'government', 'court', 'person')").select("attributed_to", F.col("name").alias("voice")), "attributions"))
     return P.position_items(rows, coverage_of(t), rows, rows.join(named, "attributed_to"))
 
 
