@@ -1,195 +1,228 @@
-"""Adaptive context-mixing range coder for token ids.
+"""Context-mixing range coder for token ids.
 
 Blocks are coded side by side: one numpy step handles the same position of up to
-a thousand blocks, each with its own model, which starts fresh, and its own coder state.
-So every block can be decoded alone.
-
-For each id three predictors speak: order 2 and order 1 name the id that followed the
-same one or two ids before; order 0 knows the ids of the block so far, in a tier of
-frequent ones and a tier of the rest.  A row of adaptive weights, chosen by the
-confidence of the two higher orders, mixes them into one distribution over five events (order 2
-is right, order 1 is right, a frequent id, a seen id, a new id), and the id is coded within its event.
+some thousand blocks, each with its own adaptive models, which start fresh, and its own coder state.
+
+For each id three predictors speak.  Order 2 and order 1 adapt: they name the id that last followed the
+same two ids or the same id.  Order 0 is a table of frequencies of the whole group of blocks, which the
+group's first block carries; with it every block can be decoded alone.  A pair of adaptive bounds,
+chosen by the confidence of the two higher orders, mixes the three into one distribution.
+
+Bounds and frequencies have powers of two as totals, so that coding divides nothing and decoding once.
+Carries are added to the last word written and settled at the end, so that the decoder needs no lower end.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
-EVENTS, LEARN, FREQUENT, MOST_TOTAL = 5, 32, 4, 30000
 #: Entries of the tables of a block: small, so that those of a thousand blocks stay near the processor.
-_TABLE, _SLOTS, _CONTEXTS = 1024, 2048, 32
-MOST_STEPS = 4096
+_TABLE, _CONTEXTS = 1024, 32
+#: Bits of the bounds and of the frequencies, and the rate at which bounds adapt.
+_MIX, _FREQ, _RATE = 15, 18, 5
+#: What bounds keep free for each event; rounding may take 32 of it.
+_LEAST = 64
+_FULL = 1 << _MIX
+#: Where the bounds head after order 2, order 1 or order 0 was right, as two 16-bit numbers in one.
+_GOALS = np.array([[_FULL - 2 * _LEAST, _FULL - _LEAST], [_LEAST, _FULL - _LEAST], [_LEAST, 2 * _LEAST]], dtype="<i2").view("<u4").ravel()
+#: The bounds at the start, by confidence of order 2, of order 1, and whether both name the same id.
+_FIRST = np.array([[a, a + b] for a in (256, 4096, 10240, 18432) for b in (512, 2048, 6144, 10240) for _ in range(2)], dtype="<i2").view("<u4").ravel()
 _U = np.uint64
-_TOP, _BOT, _16, _48 = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
-#: Cumulative weights of the events at the start (nothing is known but that new ids are likely), and what each event adds.
-_START = np.array([0, 8, 16, 24, 40, 104, 0, 0], dtype=np.int32)
-_GAIN = np.array([[LEARN if e < c <= EVENTS else 0 for c in range(8)] for e in range(EVENTS)], dtype=np.int32)
+_32, _MIXED, _SHARED, _FLOOR = _U(32), _U(_MIX), _U(_FREQ), _U(1 << 32)
+_WORD = _U(0xFFFFFFFF)
 
 
 class _Model:
-    """The predictors of all lanes; arrays are flat, lane after lane.
+    """The adaptive predictors of all lanes; arrays are flat, lane after lane.
 
-    A prediction packs its id with its confidence; a slot packs an id, its count and its place in a tier.
+    A prediction packs its id with a confidence of two bits.
     """
 
-    def __init__(self, lanes: int, steps: int, vocab: int):
-        self.order2, self.order1 = np.zeros(lanes * _TABLE, np.int32), np.zeros(lanes * _TABLE, np.int32)
-        self.weights = np.tile(_START, (lanes * _CONTEXTS, 1))
-        if steps > MOST_STEPS:
-            raise ValueError("a place in a tier has 12 bits")
-        self.slot = np.zeros(lanes * _SLOTS, np.int32)
-        self.frequent, self.seen = np.zeros(lanes * steps, np.uint16), np.zeros(lanes * steps, np.uint16)
-        # how many values an event can have: one for the named ids, the sizes of the tiers, the vocabulary
-        self.sizes = np.ones((EVENTS, lanes), np.int64)
-        self.sizes[2:4], self.sizes[4] = 0, vocab
-        lane = np.arange(lanes, dtype=np.int64)
-        self.lane, self.table, self.slots, self.rows, self.lists = lane, lane * _TABLE, lane * _SLOTS, lane * _CONTEXTS, lane * steps
-        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, k: int) -> None:
-        h = self.before1[:k] * 40503
+    def __init__(self, lanes: int):
+        self.order2, self.order1 = np.zeros(lanes * _TABLE, np.uint32), np.zeros(lanes * _TABLE, np.uint32)
+        self.bounds = np.tile(_FIRST, lanes)
+        self.table, self.rows = np.arange(lanes, dtype=np.int64) * _TABLE, np.arange(lanes, dtype=np.int64) * _CONTEXTS
+        self.before, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by order 2 and 1, and the two bounds of each lane."""
+        h = self.before[:k] * 40503
         self.at1 = self.table[:k] + ((h >> 4) & (_TABLE - 1))
-        self.at2 = self.table[:k] + (((h ^ (self.before2[:k] * 30011)) >> 3) & (_TABLE - 1))
+        self.at2 = self.table[:k] + (((h ^ self.hashed[:k]) >> 3) & (_TABLE - 1))
         e1, e2 = self.order1.take(self.at1), self.order2.take(self.at2)
-        self.p1, self.p2, self.k1, self.k2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
-        self.row = self.rows[:k] + (self.k2 * 8 + self.k1 * 2 + (self.p1 == self.p2))
-        self.cum = self.weights.take(self.row, axis=0)
-
-    def find(self, x: np.ndarray) -> None:
-        """Looks the ids up in the order-0 slots."""
-        self.at = self.slots[: len(x)] + (((x * 40503) >> 2) & (_SLOTS - 1))
-        entry = self.slot.take(self.at)
-        self.n = (entry >> 16) & 7
-        self.known = ((entry & 0xFFFF) == x) & (self.n > 0)
-        self.place = entry >> 19
-
-    def update(self, x: np.ndarray, event: np.ndarray) -> None:
+        p1, p2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
+        self.sure1, self.sure2 = e1 & np.uint32(3), e2 & np.uint32(3)
+        context = (self.sure2 << np.uint32(3)) | (self.sure1 << np.uint32(1)) | (p1 == p2)
+        self.row = self.rows[:k] + context
+        self.pair = self.bounds.take(self.row)
+        return p2, p1, self.pair.view("<u2").reshape(-1, 2)
+
+    def update(self, x: np.ndarray, right2: np.ndarray, right1: np.ndarray, event: np.ndarray) -> None:
         k = len(x)
-        full = np.flatnonzero(self.cum[:, EVENTS] > MOST_TOTAL)
-        self.cum += _GAIN.take(event, axis=0)
-        if full.size:
-            parts = np.diff(self.cum[full, : EVENTS + 1], axis=1) >> 1
-            self.cum[full, 1 : EVENTS + 1] = np.cumsum(parts | 1, axis=1)
-        self.weights[self.row] = self.cum
-        for at, table, p, n in ((self.at2, self.order2, self.p2, self.k2), (self.at1, self.order1, self.p1, self.k1)):
-            right = p == x
-            table[at] = np.where(right, p | (np.minimum(n + 1, 3) << 16), np.where(n < 2, x | 0x10000, p | ((n >> 1) << 16)))
-        n = np.where(self.known, np.minimum(self.n + 1, 7), 1)
-        seen = self.sizes[3, :k]
-        place = np.where(self.known, self.place, seen)
-        up = np.flatnonzero(self.known & (self.n == FREQUENT - 1))
-        if up.size:
-            rank = self.sizes[2].take(up)
-            place[up] = rank
-            self.frequent[self.lists[up] + rank] = x[up]
-            self.sizes[2, up] = rank + 1
-        self.slot[self.at] = x | (n << 16) | (place << 19)
-        new = np.flatnonzero(~self.known)
-        self.seen[self.lists[new] + seen[new]] = x[new]
-        self.sizes[3, new] += 1
-        self.before2[:k] = self.before1[:k]
-        self.before1[:k] = x
-
-    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of the events among the weights, and the number of values within."""
-        k = len(event)
-        flat, at = self.cum.ravel(), self.lane[:k] * 8 + event
-        lo = flat.take(at)
-        return lo.astype(np.uint64), (flat.take(at + 1) - lo).astype(np.uint64), self.sizes[event, self.lane[:k]].astype(np.uint64)
+        pair = self.pair.view("<i2")
+        pair += (_GOALS.take(event).view("<i2") - pair) >> _RATE
+        self.bounds[self.row] = self.pair
+        entry = x << np.uint32(2)
+        for at, table, sure, right in ((self.at2, self.order2, self.sure2, right2), (self.at1, self.order1, self.sure1, right1)):
+            table[at] = entry | np.minimum(sure + right, np.uint32(3)) * right
+        np.multiply(self.before[:k], 30011, out=self.hashed[:k])
+        self.before[:k] = x
+
+
+class Table:
+    """Frequencies of ids, all of which add up to 2 ** 18; ids that do not occur have none."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray, vocab: int):
+        self.ids, self.freq, self.vocab = ids, freq, vocab
+        if len(ids) != len(freq) or not len(ids) or int(freq.sum()) != 1 << _FREQ or freq.min() < 1 or ids.max() >= vocab:
+            raise ValueError("table of frequencies")
+        # the last entry stands for ids that a higher order has named
+        self.width, self.start = np.zeros(vocab + 1, _U), np.zeros(vocab + 1, _U)
+        self.width[ids], self.width[vocab] = freq, 1 << _FREQ
+        self.start[ids] = np.cumsum(freq) - freq
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vocab: int) -> Table:
+        counts = np.bincount(ids, minlength=vocab)
+        present = np.flatnonzero(counts)
+        counts, full = counts[present], 1 << _FREQ
+        low, high = 0.0, full / len(ids)
+        for _ in range(40):  # the largest factor at which all ids, each with 1 at least, have room
+            factor = (low + high) / 2
+            low, high = (factor, high) if np.maximum(1, counts * factor).astype(np.int64).sum() <= full else (low, factor)
+        freq = np.maximum(1, (counts * low).astype(np.int64))
+        freq[counts.argmax()] += full - freq.sum()
+        return cls(present, freq, vocab)
+
+    def pack(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u2").tobytes() + (self.freq - 1).astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes | memoryview, vocab: int) -> Table:
+        plain = zlib.decompress(data)
+        n = len(plain) // 6
+        return cls(np.cumsum(np.frombuffer(plain, "<u2", n), dtype=np.int64), np.frombuffer(plain, "<u4", n, 2 * n).astype(np.int64) + 1, vocab)
+
+    def lookup(self) -> np.ndarray:
+        return np.repeat(self.ids.astype(np.uint16), self.freq)
+
+
+_SIZE = struct.Struct("<I")
+
+
+def carries_table(block: bytes | memoryview) -> bool:
+    """Whether a block is the first of its group."""
+    return _SIZE.unpack_from(block)[0] > 0
 
 
 def encode(ids: np.ndarray, size: int, vocab: int) -> list[bytes]:
-    """The ids in blocks of ``size`` (the last may be shorter), each coded alone."""
+    """The ids in blocks of ``size`` (the last may be shorter); the first holds the table for all."""
     lanes = -(-len(ids) // size)
-    grid = np.zeros(lanes * size, np.int64)
+    table = Table.of(ids, vocab)
+    grid = np.zeros(lanes * size, np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, size).T)
     last = len(ids) - (lanes - 1) * size
-    model = _Model(lanes, size, vocab)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    room = 2 * size + 8
-    out, at = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
+    model = _Model(lanes)
+    low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    room = size + 3  # a word before the first takes no carry, for all stays below 1
+    out, at = np.zeros(lanes * room, _U), np.arange(lanes, dtype=np.int64) * room + 1
+    named = np.uint32(vocab)
     for t in range(size):
         k = lanes if t < last else lanes - 1
         if not k:
             break
         x = grid[t, :k]
-        model.predict(k)
-        model.find(x)
-        event = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(model.known, np.where(model.n >= FREQUENT, 2, 3), 4)))
-        value = np.where(event == 4, x, np.where(event >= 2, model.place, 0)).astype(np.uint64)
-        lo, share, total = model.share(event)
-        step = width[:k] // model.cum[:, EVENTS].astype(np.uint64)
-        inner = step * share // total
-        low[:k] += step * lo + inner * value
-        width[:k] = inner
-        some = np.arange(k)
-        while True:
-            a, w = low[some], width[some]
-            crosses = (a ^ (a + w)) >= _TOP
-            due = ~crosses | (w < _BOT)
-            if not due.any():
-                break
-            some, a, w = some[due], a[due], np.where(crosses[due], (_U(0) - a[due]) & (_BOT - _U(1)), w[due])
-            out[at[some]] = (a >> _48).astype(np.uint16)
-            at[some] += 1
-            low[some], width[some] = a << _16, w << _16
-        model.update(x, event)
-    for _ in range(4):
-        out[at] = (low >> _48).astype(np.uint16)
+        p2, p1, bounds = model.predict(k)
+        right2, right1 = p2 == x, p1 == x
+        event = np.where(right2, 0, 2 - right1)
+        b1, b2 = bounds[:, 0].astype(_U), bounds[:, 1].astype(_U)
+        symbol = np.where(right1 | right2, named, x)
+        step = width[:k] >> _MIXED
+        begin = np.where(right2, _U(0), np.where(right1, b1, b2))
+        end = np.where(right2, b1, np.where(right1, b2, _U(_FULL)))
+        inner = (step * (end - begin)) >> _SHARED
+        more = low[:k] + (step * begin + inner * table.start.take(symbol))
+        over = np.flatnonzero(more < low[:k])
+        if over.size:
+            out[at[over] - 1] += _U(1)
+        low[:k] = more
+        width[:k] = inner * table.width.take(symbol)
+        due = np.flatnonzero(width < _FLOOR)
+        if due.size:
+            a, place = low[due], at[due]
+            out[place] = a >> _32
+            at[due] = place + 1
+            low[due] = a << _32
+            width[due] <<= _32
+        model.update(x, right2, right1, event)
+    for _ in range(2):
+        out[at] = low >> _32
         at += 1
-        low <<= _16
-    return [out[i * room : at[i]].tobytes() for i in range(lanes)]
+        low <<= _32
+    ends = at - np.arange(lanes) * room
+    words = out.reshape(lanes, room)[:, : ends.max()]
+    for j in range(words.shape[1] - 1, 0, -1):
+        words[:, j - 1] += words[:, j] >> _32
+    words = (words & _WORD).astype("<u4")
+    head = table.pack()
+    return [_SIZE.pack(0 if i else len(head)) + (b"" if i else head) + words[i, 1 : ends[i]].tobytes() for i in range(lanes)]
+
 
+def table_of(block: bytes | memoryview, vocab: int) -> Table:
+    """The table that the first block of a group carries."""
+    n = _SIZE.unpack_from(block)[0]
+    if not n:
+        raise ValueError("the table stands in the first block of a group")
+    return Table.unpack(block[_SIZE.size : _SIZE.size + n], vocab)
 
-def decode(blocks: list[bytes], counts: list[int], size: int, vocab: int) -> np.ndarray:
-    """The ids of blocks of ``size`` ids (fewer only in the last), one after the other."""
+
+def decode(blocks: list[bytes], counts: list[int], size: int, vocab: int, table: Table | None = None) -> np.ndarray:
+    """The ids of blocks of ``size`` ids (fewer only in the last), one after the other.
+
+    Blocks without the first of their group need its ``table``.
+    """
     lanes = len(blocks)
     if any(c != size for c in counts[:-1]) or not 0 < counts[-1] <= size:
         raise ValueError("only the last block may be short")
-    last = counts[-1]
-    words = np.frombuffer(b"".join(blocks) + b"\0" * 64, dtype=np.uint16).astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]]).astype(np.int64)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _16) | words[at]
-        at += 1
-    model = _Model(lanes, size, vocab)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    table = table or table_of(blocks[0], vocab)
+    lookup, last = table.lookup(), counts[-1]
+    codes = [memoryview(b)[_SIZE.size + _SIZE.unpack_from(b)[0] :] for b in blocks]
+    words = np.frombuffer(b"".join(codes) + b"\0" * 64, dtype="<u4").astype(_U)
+    at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])[:-1]]).astype(np.int64)
+    ahead = (words[at] << _32) | words[at + 1]  # how far the code is above the lower end
+    at += 2
+    model = _Model(lanes)
+    width = np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
     grid = np.zeros((size, lanes), np.uint16)
+    most, named = _U((1 << _FREQ) - 1), np.uint32(vocab)
     for t in range(size):
         k = lanes if t < last else lanes - 1
         if not k:
             break
-        model.predict(k)
-        total = model.cum[:, EVENTS].astype(np.uint64)
-        step = width[:k] // total
-        v = np.minimum((code[:k] - low[:k]) // step, total - _U(1)).astype(np.int32)
-        event = (model.cum[:, 1:EVENTS] <= v[:, None]).sum(axis=1)
-        lo, share, totals = model.share(event)
-        inner = step * share // totals
-        low[:k] += step * lo
-        value = np.minimum((code[:k] - low[:k]) // inner, totals - _U(1))
-        low[:k] += inner * value
-        width[:k] = inner
-        value = value.astype(np.int64)
-        x = np.where(event == 0, model.p2, np.where(event == 1, model.p1, value))
-        listed = np.flatnonzero((event == 2) | (event == 3))
-        if listed.size:
-            where = model.lists[listed] + value[listed]
-            x[listed] = np.where(event[listed] == 2, model.frequent[where], model.seen[where])
-        model.find(x)
+        p2, p1, bounds = model.predict(k)
+        b1, b2 = bounds[:, 0].astype(_U), bounds[:, 1].astype(_U)
+        step, d = width[:k] >> _MIXED, ahead[:k]
+        s1, s2 = step * b1, step * b2
+        in2, in1 = d < s1, d < s2
+        begin = np.where(in2, _U(0), np.where(in1, s1, s2))
+        d = d - begin
+        inner = (np.where(in2, s1, np.where(in1, s2, step << _MIXED)) - begin) >> _SHARED
+        found = lookup.take(np.minimum(d // inner, most).astype(np.int64)).astype(np.uint32)
+        event = 2 - in1.astype(np.int64) - in2
+        symbol = np.where(in1, named, found)
+        x = np.where(in2, p2, np.where(in1, p1, found))
+        ahead[:k] = d - inner * table.start.take(symbol)
+        width[:k] = inner * table.width.take(symbol)
         grid[t, :k] = x
-        some = np.arange(k)
-        while True:
-            a, w = low[some], width[some]
-            crosses = (a ^ (a + w)) >= _TOP
-            due = ~crosses | (w < _BOT)
-            if not due.any():
-                break
-            some, a, w = some[due], a[due], np.where(crosses[due], (_U(0) - a[due]) & (_BOT - _U(1)), w[due])
-            code[some] = (code[some] << _16) | words[at[some]]
-            at[some] += 1
-            low[some], width[some] = a << _16, w << _16
-        model.update(x, event)
+        due = np.flatnonzero(width < _FLOOR)
+        if due.size:
+            place = at[due]
+            ahead[due] = (ahead[due] << _32) | words[place]
+            at[due] = place + 1
+            width[due] <<= _32
+        model.update(x, x == p2, x == p1, event)
     return grid.T.ravel()[: (lanes - 1) * size + last]

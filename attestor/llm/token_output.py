@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -17,25 +18,62 @@ from attestor.plans.durable import durable
 
 END_ID = 2
 #: Ids in a block, and blocks coded side by side.
-BLOCK, LANES = 1024, 2048
+BLOCK, LANES = 1024, 4096
 #: Stands between blocks; a reader that lost its place can look for it.
 SYNC = b"\xf5\xf7sync\xf7\xf5"
-_MAGIC = b"ATB1"
+_MAGIC = b"ATB2"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, block size, vocabulary, bytes of the index, bytes of the payload, crc32
 _NULL = -(1 << 63)
 _MEMO: dict[str, Tokens] = {}
 
 
-class Tokens:
-    """Ids of texts by a tokenizer file, with the ids of white-space-free chunks remembered.
+#: Signs that may stand behind a word; the pre-tokenizer below cuts there (not before an apostrophe, which may open an ending).
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: What a tokenizer must do to a text for words to go to its model directly.
+_NORMALIZER = ["NFC", ("Replace", {"Regex": r"\s+"}, " "), "Lowercase"]
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How bytes stand in a byte-level vocabulary, as Latin-1 characters.
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _cuts_words(tokenizer) -> bool:
+    """Whether lower-case words stand alone: NFC and lower case, letters apart from signs, then bytes."""
+    form = json.loads(tokenizer.to_str())
+    steps = [(n["type"], n.get("pattern"), n.get("content")) if n["type"] == "Replace" else n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])]
+    pre = [(p["type"], p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    alone = all(t["special"] and t["content"].startswith("<|") and not t["normalized"] for t in form["added_tokens"])
+    return alone and form["model"]["type"] == "BPE" and steps == _NORMALIZER and pre == [("Split", {"Regex": _CUTS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+
+
+class Tokens(dict):
+    """Ids of texts by a tokenizer file; as a dictionary, the little-endian 16-bit ids of white-space-free chunks.
 
     The vocabularies' pre-tokenizers never join text across white space, so the
     ids of a text are those of its chunks in order.  Chunks are cut at the six ASCII
     white-space characters only; anything else is left to the tokenizer.  A text with a
     special token's brackets goes to the tokenizer whole.
+
+    Where the tokenizer cuts words by ``_CUTS``, a word of lower-case Latin-1 letters is a piece of
+    its own, which its model takes without the steps before, and ``_SIGNS`` behind it are
+    others; texts of Latin-1 characters, which NFC leaves alone, are put in lower case first.
+
+    ``most`` chunks are remembered, in two halves: those looked up since the last turn, and those of the turn before.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    #: Longer chunks are not remembered.
+    LONG = 100
+
+    def __init__(self, path: str, most: int = 800_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,49 +81,57 @@ class Tokens:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.vocab > 65536:
             raise ValueError("ids must fit 16 bits")
-        self.memo: dict[bytes, bytes] = {}
-        self.most = most
-        # a mark between chunks of one call: a lone control character, one id that only it gives
-        mark = self._ids("\x01")
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) + len(chunks) > self.most:
-            self.memo.clear()
-        plain = [c for c in chunks if b"\x01" not in c and self.mark is not None]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            ids = np.array(self._ids(" \x01 ".join(c.decode() for c in part)), dtype="<u2")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                for c in part:
-                    self.memo[c] = np.array(self._ids(c.decode()), dtype="<u2").tobytes()
-                continue
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(part, [*cuts.tolist(), len(ids)]):
-                self.memo[c] = raw[2 * a : 2 * b]
-                a = b + 1
-        for c in chunks:
-            if c not in self.memo:
-                self.memo[c] = np.array(self._ids(c.decode()), dtype="<u2").tobytes()
+        self.model = self.tokenizer.model if _cuts_words(self.tokenizer) else None
+        self.bytes_of = [struct.pack("<H", i) for i in range(self.vocab)]
+        self.half, self.old = most // 2, {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _work_out(self, chunk: bytes) -> bytes:
+        if self.model is None:
+            return self._ids(chunk.decode())
+        word = chunk.rstrip(_SIGNS)
+        if word.isalpha() and word.islower():  # ASCII letters only
+            if len(word) < len(chunk):
+                return self[word] + self[chunk[len(word) :]]
+            return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(word.decode())])
+        text = chunk.decode()
+        if not _is_latin(text):
+            return self._ids(text)
+        if (low := text.lower()) != text:
+            return self[low.encode()]
+        if word.decode().isalpha():
+            if len(word) < len(chunk):
+                return self[word] + self[chunk[len(word) :]]
+            return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(word.decode("latin-1").translate(_BYTES))])
+        return self._ids(text)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._work_out(chunk)
+        if len(chunk) <= self.LONG:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 16-bit ids of each text."""
-        split = [(t or b"").split() for t in texts]
-        fresh = {c for chunks in split for c in chunks if c not in self.memo}
-        if len(self.memo) + len(fresh) > self.most:
-            fresh = {c for chunks in split for c in chunks}
-        if fresh:
-            self._learn(fresh)
-        get = self.memo.__getitem__
-        for text, chunks in zip(texts, split):
-            if text and b"<|" in text:
-                yield np.array(self._ids(text.decode()), dtype="<u2").tobytes()
-            else:
-                yield b"".join(map(get, chunks))
+        get = self.__getitem__
+        for text in texts:
+            text = text or b""
+            if b"<|" in text:
+                yield self._ids(text.decode())
+                continue
+            if self.model is not None:
+                if text.isascii():
+                    text = text.lower()
+                elif _is_latin(plain := text.decode()):
+                    text = plain.lower().encode()
+            yield b"".join(map(get, text.split()))
 
 
 def _tokens(path: str) -> Tokens:
@@ -133,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
     """Writes the ids of all documents, each followed by ``end_id``, in ascending order of ``key``.
 
     Files follow each other by their part numbers, and blocks inside a file; a block
-    notes the documents that begin in it.  Null keys come first, null texts are empty, rows alike in
+    notes the documents that begin in it, the first of each group of ``lanes`` the frequencies of the group's ids.  Null keys come first, null texts are empty, rows alike in
     key are ordered by a hash of the text.  Spark's text writer carries the blocks to any file
     system, with SYNC as its line separator.
     """
@@ -187,11 +233,15 @@ def _parse(data: bytes | memoryview) -> Iterator[tuple[int, int, int, np.ndarray
 
 
 def read_ids(data: bytes | memoryview, lanes: int = LANES) -> Iterator[tuple[int | None | bool, np.ndarray]]:
-    """``(key, ids)`` pieces of a file in order; where a document goes on in a later group of blocks, the key of that piece is False."""
+    """``(key, ids)`` pieces of a file in order; where a document goes on in a later group of blocks, the key of that piece is False.
+
+    At most ``lanes`` blocks are decoded side by side; a block with a table of frequencies begins a group.
+    """
     group: list[tuple[int, int, int, np.ndarray, bytes]] = []
+    table: rangecoder.Table | None = None
 
     def flush() -> Iterator[tuple[int | None | bool, np.ndarray]]:
-        ids = rangecoder.decode([g[4] for g in group], [g[0] for g in group], group[0][1], group[0][2])
+        ids = rangecoder.decode([g[4] for g in group], [g[0] for g in group], group[0][1], group[0][2], table)
         offsets = np.concatenate([[0], np.cumsum([g[0] for g in group])])
         docs = np.concatenate([g[3][0] for g in group])
         begins = np.concatenate([g[3][1] + o for g, o in zip(group, offsets)]).astype(np.int64)
@@ -202,9 +252,12 @@ def read_ids(data: bytes | memoryview, lanes: int = LANES) -> Iterator[tuple[int
             yield (None if d == _NULL else d), ids[cuts[i] : cuts[i + 1]]
 
     for found in _parse(data):
-        if group and (len(group) == lanes or found[1] != group[0][1] or group[-1][0] != group[0][1]):
+        first = rangecoder.carries_table(found[4])
+        if group and (first or len(group) == lanes or found[1] != group[0][1] or group[-1][0] != group[0][1]):
             yield from flush()
             group = []
+        if first:
+            table = rangecoder.table_of(found[4], found[2])
         group.append(found)
     if group:
         yield from flush()
